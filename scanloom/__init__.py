@@ -1 +1,96 @@
-"""Source-risk analytics on Spark."""
+"""Source-risk analytics on Spark: files in, findings, scores, reports, fixes and reviews out.
+
+    from scanloom import read_tree, scan, project_scores
+    files, listing = read_tree(spark, ["/projects/a", "/projects/b"])
+    findings = scan(files, listing)
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+
+from scanloom.operators.findings import (
+    cap_per_file,
+    in_report_order,
+    report_positions,
+    risk_score,
+    severity_counts,
+    top_risks,
+    with_score,
+)
+from scanloom.operators.fixes import fixed_files, patch_bundle, patch_lines, suggestions
+from scanloom.operators.pluggable import python_rule
+from scanloom.operators.reports import (
+    html_payload,
+    json_report,
+    risk_detail,
+    risk_summary,
+    sarif_report,
+    write_documents,
+)
+from scanloom.operators.rulebook import (
+    Rulebook,
+    admit_rules,
+    compile_rules,
+    custom_rule,
+    list_rules,
+    merge_rules,
+)
+from scanloom.plans.scan import analyze, project_scores, scan, scan_errors
+from scanloom.plans.storage import settle
+from scanloom.sources.rulefiles import load_rule_files
+from scanloom.sources.tree import list_tree, read_files
+from scanloom.streaming.watch import scan_stream
+
+
+def read_tree(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Files of source trees with content and status, and the names of all files below them."""
+    listing = list_tree(spark, roots)
+    return read_files(listing), listing.select("project_id", "path")
+
+
+def load_rules(
+    spark: SparkSession, default_file: str | None = None, directory: str | None = None
+) -> Rulebook:
+    """The built-in rules and, if files are named, the custom rules they hold."""
+    if default_file is None and directory is None:
+        return Rulebook()
+    admitted, _ = admit_rules(load_rule_files(spark, default_file or "", directory))
+    return Rulebook().with_custom(compile_rules(admitted))
+
+
+__all__ = [
+    "Rulebook",
+    "admit_rules",
+    "analyze",
+    "cap_per_file",
+    "compile_rules",
+    "custom_rule",
+    "fixed_files",
+    "html_payload",
+    "in_report_order",
+    "json_report",
+    "list_rules",
+    "list_tree",
+    "load_rule_files",
+    "load_rules",
+    "merge_rules",
+    "patch_bundle",
+    "patch_lines",
+    "project_scores",
+    "python_rule",
+    "read_files",
+    "read_tree",
+    "report_positions",
+    "risk_detail",
+    "risk_score",
+    "risk_summary",
+    "sarif_report",
+    "scan",
+    "scan_errors",
+    "scan_stream",
+    "settle",
+    "severity_counts",
+    "suggestions",
+    "top_risks",
+    "with_score",
+    "write_documents",
+]

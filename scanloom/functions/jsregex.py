@@ -14,6 +14,7 @@ import pandas as pd
 import regex as checker
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanloom.functions.text import WS_CHARS
 
@@ -130,7 +131,7 @@ def _python_char(m: re.Match) -> str:
     return "\\U" + m.group(1).rjust(8, "0")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def java_regex_column(patterns: pd.Series, flags: pd.Series) -> pd.Series:
     """Translate arrays of patterns; a pattern JavaScript rejects becomes null."""
     return pd.Series(

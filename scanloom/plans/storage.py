@@ -7,9 +7,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_fallback: str | None = None
+
+
+def use_folder(folder: str) -> None:
+    """The folder to use where the session names none, as in tests on one machine."""
+    global _fallback
+    _fallback = folder
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the session names it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors can reach: the session's ``spark.checkpoint.dir``."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _fallback
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
     return folder.rstrip("/")
@@ -17,7 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, removed when the application ends."""
-    path = f"{shared_folder(spark)}/scanloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    path = f"{shared_folder(spark)}/scanloom/{app}/{label}-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     target = hadoop.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
