@@ -401,7 +401,7 @@ _env_header = "[" + ", ".join(q(h) for h in fixes.ENV_HEADER) + "]"
 TEMPLATE = f"""
 template_lines AS (
   SELECT project_id, unnest(range(len(ls)))::INT AS k, unnest(ls) AS text FROM (
-    SELECT project_id, list_concat({_env_header}, list_transform(string_split(content, {NL}), l ->
+    SELECT project_id, list_concat({_env_header}, list_transform(string_split(content, {NL}), lambda l:
       CASE WHEN trim(l) = '' OR starts_with(trim(l), '#') OR strpos(l, '=') <= 1 THEN l
         WHEN regexp_matches(trim(split_part(l, '=', 1)), '(?i)password|secret|key|token|private|api_key|auth')
         THEN trim(split_part(l, '=', 1)) || '=YOUR_' || regexp_replace(upper(trim(split_part(l, '=', 1))), '[^A-Z0-9]', '_', 'g') || '_HERE'
@@ -425,8 +425,8 @@ new_contents AS (
 new_patches AS (
   SELECT project_id, fix_ordinal, path, k + 3 AS line_no, '+' || text AS text FROM new_contents UNION ALL
   SELECT project_id, fix_ordinal, path, unnest([0, 1, 2]), unnest(['--- /dev/null' || chr(9) || '{STAMP}',
-    '+++ b/' || path || chr(9) || '{STAMP}', '@@ -1,0 +1,' || count(*) || ' @@'])
-  FROM new_contents GROUP BY ALL)"""
+    '+++ b/' || path || chr(9) || '{STAMP}', '@@ -1,0 +1,' || n || ' @@'])
+  FROM (SELECT project_id, fix_ordinal, path, count(*) AS n FROM new_contents GROUP BY ALL))"""
 
 # --- reviews -------------------------------------------------------------------------------------
 

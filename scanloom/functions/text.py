@@ -102,8 +102,19 @@ def fill_template(template: Column, match: Column) -> Column:
     ).otherwise(template)
 
 
-def any_contains(c: Column, words: list[str] | tuple[str, ...]) -> Column:
-    """True when the text holds at least one of the words, by byte search without decoding."""
+def sql_text(s: str) -> str:
+    """A string literal for an SQL expression."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def any_contains(c: Column | str, words: list[str] | tuple[str, ...]) -> Column:
+    """True when the text holds at least one of the words, by byte search without decoding.
+
+    For a named column the whole test is one expression text, which builds faster than one column
+    object per word.
+    """
+    if isinstance(c, str):
+        return F.expr(" OR ".join(f"contains({c}, {sql_text(w)})" for w in words))
     found = F.contains(c, F.lit(words[0]))
     for word in words[1:]:
         found = found | F.contains(c, F.lit(word))

@@ -190,27 +190,18 @@ def _manifest_hits(book: Rulebook) -> Column:
 # --- line rules ----------------------------------------------------------------------------------
 
 
-def _first_match(target: Column, rule: Rule, book: Rulebook) -> Column:
-    """The hit of the first pattern that matches; patterns are tried in order."""
-    first, line = book.first_code(rule), F.col("line")
-
-    def arm(k: int, p: Pattern) -> Column:
-        matched = F.lit(None)
-        if rule.rule_id not in _BUILT_IN:
-            matched = F.regexp_extract(target, p.regex, 0)
-        return F.when(
-            F.rlike(target, F.lit(p.regex)),
-            _hit(rule.ordinal, line, F.lit(0), line, F.lit(first + k), matched),
-        )
-
+def _first_match(target: str, rule: Rule, book: Rulebook) -> Column:
+    """Code of the first pattern that matches; patterns are tried in order."""
+    first = book.first_code(rule)
     # Neighbouring patterns with the same needs are behind one test of those needs.
     groups = []
     for (needs, folded), members in itertools.groupby(
         enumerate(rule.patterns), lambda kp: (kp[1].needs, kp[1].needs_folded)
     ):
-        found = F.coalesce(*[arm(k, p) for k, p in members])
+        arms = [F.when(F.rlike(target, F.lit(p.regex)), F.lit(first + k)) for k, p in members]
+        found = F.coalesce(*arms)
         if folded:
-            found = F.when(text.any_contains(F.lower(target), folded), found)
+            found = F.when(text.any_contains(f"lower({target})", folded), found)
         groups.append(F.when(text.any_contains(target, needs), found) if needs else found)
     return F.coalesce(*groups)
 
@@ -226,36 +217,40 @@ def _possible(rule: Rule) -> Column:
     """Cheap necessary condition for a line to match a rule."""
     if rule.rule_id == catalog.WEAK_CRYPTO.rule_id:
         other = [p.needs[0] for p in rule.patterns[:2]]
-        return F.coalesce("near", F.lit(False)) | text.any_contains(F.col("code"), other)
-    line = F.col("raw") if rule.rule_id in _ON_RAW_LINES else F.col("code")
+        return F.coalesce("near", F.lit(False)) | text.any_contains("code", other)
+    line = "raw" if rule.rule_id in _ON_RAW_LINES else "code"
     plain = sorted({n for p in rule.patterns if not p.needs_folded for n in p.needs})
     tests = [text.any_contains(line, plain)] if plain else []
     for p in rule.patterns:
         if p.needs_folded:
-            tests.append(
-                text.any_contains(line, p.needs)
-                & text.any_contains(F.lower(line), p.needs_folded)
-            )
+            folded = text.any_contains(f"lower({line})", p.needs_folded)
+            tests.append(text.any_contains(line, p.needs) & folded)
     return _any(tests)
 
 
-def _line_hits(rule: Rule, book: Rulebook) -> list[Column]:
-    """What a line gets from one rule: one hit or null, except that weak crypto tests three times."""
-    stripped = F.col("stripped")
+def _line_codes(rule: Rule, book: Rulebook) -> list[Column]:
+    """What a line gets from one rule: one code or null; weak crypto tests three times."""
     if rule.rule_id not in _BUILT_IN or rule.rule_id in _ON_RAW_LINES:
-        return [_first_match(F.col("raw"), rule, book)]
+        return [_first_match("raw", rule, book)]
     if rule.rule_id in _NOT_IN_COMMENT_LINES:
-        return [F.when(~F.col("is_comment"), _first_match(stripped, rule, book))]
+        return [F.when(~F.col("is_comment"), _first_match("stripped", rule, book))]
     if rule.rule_id == catalog.WEAK_CRYPTO.rule_id:
-        active = ~F.rlike(stripped, F.lit(f"^{text.WS}*+\\*"))
-        tests = [F.rlike(stripped, F.lit(p.regex)) for p in rule.patterns]
+        active = ~F.rlike("stripped", F.lit(f"^{text.WS}*+\\*"))
+        tests = [F.rlike("stripped", F.lit(p.regex)) for p in rule.patterns]
         tests[2] = F.coalesce("near", F.lit(False)) & tests[2]
-        first, line = book.first_code(rule), F.col("line")
-        return [
-            F.when(t & active, _hit(rule.ordinal, line, F.lit(0), line, F.lit(first + k), F.lit(None)))
-            for k, t in enumerate(tests)
-        ]
-    return [_first_match(stripped, rule, book)]
+        first = book.first_code(rule)
+        return [F.when(t & active, F.lit(first + k)) for k, t in enumerate(tests)]
+    return [_first_match("stripped", rule, book)]
+
+
+def _matched(rule: Rule, code: Column, book: Rulebook) -> Column:
+    """The text a custom pattern matched."""
+    first = book.first_code(rule)
+    arms = [
+        F.when(code == first + k, F.regexp_extract("raw", p.regex, 0))
+        for k, p in enumerate(rule.patterns)
+    ]
+    return F.coalesce(*arms)
 
 
 def _near_keyword() -> Column:
@@ -378,11 +373,24 @@ def line_and_file_hits(files: DataFrame, rules: Sequence[Rule], book: Rulebook)
     # The array function on file_hits keeps this projection out of whole-stage code generation:
     # some fifty patterns in one generated method would be too long for the JVM to compile, while
     # a projection on its own is split into many. Only candidate lines get here.
-    arms = [F.when(applies(r), hit) for r in line_rules for hit in _line_hits(r, book)]
-    own = F.array_compact("file_hits")
-    hits = F.concat(F.array(*arms), own) if arms else own
+    codes, shapes = [], []
+    for r in line_rules:
+        for k, code in enumerate(_line_codes(r, book)):
+            name, detail = f"code_{r.ordinal}_{k}", "CAST(NULL AS STRING)"
+            codes.append(F.when(applies(r), code).alias(name))
+            if r.rule_id not in _BUILT_IN:
+                detail = f"detail_{r.ordinal}"
+                codes.append(F.when(applies(r), _matched(r, code, book)).alias(detail))
+            shapes.append(
+                f"CASE WHEN {name} IS NOT NULL THEN named_struct('rule_ordinal', {r.ordinal}, "
+                f"'ord', line, 'sub', 0, 'line', line, 'code', {name}, 'detail', {detail}) END"
+            )
+    coded = candidates.select(
+        "project_id", "path", "line", *codes, F.array_compact("file_hits").alias("own")
+    )
+    hits = F.expr(f"concat(array({', '.join(shapes)}), own)") if shapes else F.col("own")
     return (
-        candidates.select("project_id", "path", hits.alias("hits"))
+        coded.select("project_id", "path", hits.alias("hits"))
         .select("project_id", "path", F.explode_outer("hits").alias("hit"))
         .where(F.col("hit").isNotNull())
         .select("project_id", "path", "hit.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -13,6 +14,12 @@ from scanloom import schemas
 from scanloom.functions.jsregex import java_regex, java_regex_column
 from scanloom.operators.catalog import BUILT_IN_RULES, Pattern, Rule
 
+_FACTS = "struct<rule_id:string,severity:string,category:string,template:string>"
+_RULE_ROW = (
+    "struct<rule_ordinal:int,rule_id:string,name:string,description:string,category:string,"
+    "severity:string,applicable_to:array<string>>"
+)
+
 # Fixed value: longest pattern a custom rule may carry.
 MAX_PATTERN_LENGTH = 500
 
@@ -52,39 +59,36 @@ class Rulebook:
 
     def describe(self, code: Column) -> Column:
         """The rule facts and message template behind a pattern code, as a struct."""
-        facts = F.array(
-            *[
-                F.struct(
-                    F.lit(r.rule_id).alias("rule_id"),
-                    F.lit(r.severity).alias("severity"),
-                    F.lit(r.category).alias("category"),
-                    F.lit(p.message).alias("template"),
-                )
-                for r in self.rules
-                for p in r.patterns
-            ]
-        )
-        return F.element_at(facts, code)
+        facts = [
+            {
+                "rule_id": r.rule_id,
+                "severity": r.severity,
+                "category": r.category,
+                "template": p.message,
+            }
+            for r in self.rules
+            for p in r.patterns
+        ]
+        # A constant the optimizer folds; as JSON it is one value to pass, however many rules.
+        constant = F.from_json(F.lit(json.dumps(facts)), f"array<{_FACTS}>")
+        return F.element_at(constant, code)
 
     def table(self, spark: SparkSession) -> DataFrame:
         """The rules as rows, for joins and listings."""
-        rows = F.array(
-            *[
-                F.struct(
-                    F.lit(r.ordinal).alias("rule_ordinal"),
-                    F.lit(r.rule_id).alias("rule_id"),
-                    F.lit(r.name).alias("name"),
-                    F.lit(r.description).alias("description"),
-                    F.lit(r.category).alias("category"),
-                    F.lit(r.severity).alias("severity"),
-                    F.array(*[F.lit(a) for a in r.applicable_to])
-                    .cast("array<string>")
-                    .alias("applicable_to"),
-                )
-                for r in self.rules
-            ]
-        )
-        return spark.range(1).select(F.inline(rows))
+        rows = [
+            {
+                "rule_ordinal": r.ordinal,
+                "rule_id": r.rule_id,
+                "name": r.name,
+                "description": r.description,
+                "category": r.category,
+                "severity": r.severity,
+                "applicable_to": r.applicable_to,
+            }
+            for r in self.rules
+        ]
+        constant = F.from_json(F.lit(json.dumps(rows)), f"array<{_RULE_ROW}>")
+        return spark.range(1).select(F.inline(constant))
 
 
 # --- rule tables ---------------------------------------------------------------------------------
