@@ -15,6 +15,7 @@ from checks import oracle as o
 from scanloom.functions import paths, scalars, text
 from scanloom.operators import findings as ops
 from scanloom.operators import fixes, history, reports, review, rulebook
+from scanloom.operators.linestate import strip_by_line
 from scanloom.operators.pluggable import python_rule
 from scanloom.operators.rulebook import Rulebook
 from scanloom.plans import corpus, scan, storage
@@ -118,6 +119,20 @@ def comment_strip(spark, sf):
     )
 
 
+@register(
+    "comment_strip_by_line",
+    f"""WITH {o.CODE}, files AS (SELECT * FROM code), {o.stripped_lines('files')}
+SELECT project_id, path, line, raw, stripped FROM lines""",
+)
+def comment_strip_by_line(spark, sf):
+    lines = corpus.code(spark, sf).select(
+        "project_id", "path", F.posexplode(text.split_lines(F.col("content"))).alias("pos", "raw")
+    )
+    return strip_by_line(
+        lines.select("project_id", "path", (F.col("pos") + 1).alias("line"), "raw")
+    )
+
+
 @register(
     "inline_strip",
     f"""WITH {o.CODE}, {o.raw_lines('code')}

@@ -62,12 +62,19 @@ def java_regex(pattern: str, flags: str = "") -> str | None:
         return None
     out: list[str] = []
     in_class = quantifiable = False
-    depth = 0
+    depth = opened = 0
     for token in _TOKEN.findall(pattern):
         if in_class:
             if token == "]":
                 in_class = False
-                out.append("]")
+                body = "".join(out[opened + 1 :])
+                # An empty class matches nothing, its negation anything.
+                if body in ("", "^"):
+                    out[opened:] = [r"[\s\S]" if body else r"[^\s\S]"]
+                else:
+                    out.append("]")
+            elif token == "^" and len(out) == opened + 1:
+                out.append("^")
             elif token.startswith("\\") and len(token) > 1:
                 if token == "\\S":
                     return None
@@ -85,6 +92,7 @@ def java_regex(pattern: str, flags: str = "") -> str | None:
         quantifiable = True
         if token == "[":
             in_class = True
+            opened = len(out)
             out.append("[")
         elif token == "\\":
             return None
@@ -114,7 +122,7 @@ def java_regex(pattern: str, flags: str = "") -> str | None:
             out.append("\\" + token if token in "{}]" else token)
     if in_class or depth:
         return None
-    text = "".join(out).replace("[^]", r"[\s\S]").replace("[]", r"[^\s\S]")
+    text = "".join(out)
     if "i" in flags:
         text = f"(?iu:{text})" if "u" in flags else f"(?i:{text})"
     if "y" in flags:

@@ -29,6 +29,8 @@ _CODE = (
 _BLOCK = r"/\*(?:[^*]++|\*(?!/))*+(?:\*/)?"
 _PIECES = f"(?:{_CODE})++|//[^\\n]*+|{_BLOCK}"
 _CODE_PREFIX = f"^(?:{_CODE})*+"
+_CLOSED = r"/\*(?:[^*]++|\*(?!/))*+\*/"
+_ENDS_OPEN = f"^(?:{_CODE}|{_CLOSED})*+/\\*(?:[^*]++|\\*(?!/))*+$"
 
 
 def _col(c: Column | str) -> Column:
@@ -88,6 +90,18 @@ def strip_inline_comments(line: Column) -> Column:
     return strip_comments(line)
 
 
+def ends_in_block_comment(line: Column) -> Column:
+    """Whether a line that starts outside a block comment ends inside one."""
+    return F.rlike(_col(line), F.lit(_ENDS_OPEN))
+
+
+def after_block_end(line: Column) -> Column:
+    """What follows the first end of a block comment, null where there is none."""
+    line = _col(line)
+    at = F.instr(line, "*/")
+    return F.when(at > 0, F.substring(line, at + 2, F.length(line)))
+
+
 def fill_template(template: Column, match: Column) -> Column:
     """The template with its first ``{match}`` replaced by the literal text matched."""
     mark = "{match}"
