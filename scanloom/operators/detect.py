@@ -142,25 +142,28 @@ def _manifest_keys() -> Column:
     is_object = F.rlike(content, F.lit(f"^{text.WS}*+\\{{")) & F.rlike(
         content, F.lit(f"\\}}{text.WS}*$")
     )
-    one = F.when(is_object & (F.size(parsed) == 1), F.element_at(parsed, 1))
     none = F.array().cast("array<string>")
 
-    def keys(field: str) -> Column:
-        return F.coalesce(F.json_object_keys(one[field]), none)
+    def keys(objects: Column, field: str) -> Column:
+        return F.coalesce(F.json_object_keys(F.element_at(objects, 1)[field]), none)
 
-    return F.array_union(keys("dependencies"), keys("devDependencies"))
+    # Bound to a lambda, the text is parsed once for all that is asked of it.
+    one = F.filter(F.array(F.when(is_object, parsed)), lambda objects: F.size(objects) == 1)
+    return F.flatten(
+        F.transform(
+            one,
+            lambda objects: F.array_union(
+                keys(objects, "dependencies"), keys(objects, "devDependencies")
+            ),
+        )
+    )
 
 
 def _manifest_hits(book: Rulebook) -> Column:
     """A hit per listed package, at the last line that starts its first key with that name."""
     rule = catalog.DEPENDENCY
     first = book.first_code(rule)
-    listed = F.array(
-        *[
-            F.struct(F.lit(name).alias("name"), F.lit(k).alias("place"))
-            for k, (name, _) in enumerate(catalog.DANGEROUS_PACKAGES)
-        ]
-    )
+    listed = F.array(*[F.lit(name) for name, _ in catalog.DANGEROUS_PACKAGES])
 
     def last_line(name: Column) -> Column:
         key = F.concat(F.lit('"'), name, F.lit('"'))
@@ -174,14 +177,15 @@ def _manifest_hits(book: Rulebook) -> Column:
         )
         return F.array_max(at)
 
+    # The intersection keeps the order of the list and looks at the keys once.
     return F.transform(
-        F.filter(listed, lambda p: F.array_contains(F.col("manifest_keys"), p["name"])),
-        lambda p: _hit(
+        F.array_intersect(listed, F.col("manifest_keys")),
+        lambda name: _hit(
             rule.ordinal,
             F.lit(0),
-            p["place"],
-            last_line(p["name"]),
-            p["place"] + first,
+            F.array_position(listed, name) - 1,
+            last_line(name),
+            F.array_position(listed, name) + (first - 1),
             F.lit(None),
         ),
     )
@@ -322,14 +326,17 @@ def line_and_file_hits(files: DataFrame, rules: Sequence[Rule], book: Rulebook)
             _near_keyword(),
         )
     strings, booleans = "array<string>", "array<boolean>"
+    # Files that only whole-file rules apply to need one row, not one per line.
+    by_line = _any([F.col(n) for n in dict.fromkeys(flags[r.applicable_to] for r in line_rules)])
+    raw_lines = F.when(by_line, F.col("lines")).otherwise(F.slice("lines", 1, 1))
     units = base.select(
         "project_id",
         "path",
         *flags.values(),
         file_hits.alias("file_hits"),
         F.arrays_zip(
-            F.col("lines").alias("raw"),
-            F.coalesce("bare_lines", F.array().cast(strings)).alias("bare"),
+            raw_lines.alias("raw"),
+            F.coalesce(F.when(by_line, F.col("bare_lines")), F.array().cast(strings)).alias("bare"),
             F.coalesce(near.cast(booleans), F.array().cast(booleans)).alias("near"),
         ).alias("units"),
     )

@@ -98,10 +98,12 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_paths(events: DataFrame) -> DataFrame:
-    """Code files without content: project, path and the file number they come from."""
-    return events.select(F.expr("event_id div 40").alias("f")).distinct().select(
-        "f", _project("f"), _code_path()
-    )
+    """Code files without content: project, path and the file number they come from.
+
+    The number is taken from the aggregate, so that tests on the path run on files, not on events.
+    """
+    numbers = events.select(F.expr("event_id div 40").alias("n")).groupBy("n")
+    return numbers.agg(F.min("n").alias("f")).select("f", _project("f"), _code_path())
 
 
 def _project(column: str) -> Column:
@@ -138,8 +140,9 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         events.withColumn("f", F.expr("event_id div 40"))
         .withColumn("sn", number.cast("int"))
-        .groupBy("f")
-        .agg(F.array_join(lines, "\n").alias("content"))
+        .withColumnRenamed("f", "n")
+        .groupBy("n")
+        .agg(F.min("n").alias("f"), F.array_join(lines, "\n").alias("content"))
         .select(_project("f"), _code_path(), "content")
     )
 
