@@ -763,7 +763,8 @@ def fix_suggestions(spark, sf):
 
 
 def suggested(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    files = scan.scannable(corpus.workspace(spark, sf))
+    files = fixes.fixable_files(scan.scannable(corpus.workspace(spark, sf)))
+    files = storage.settle(files, "fixable")
     listing = corpus.workspace_listing(spark, sf)
     found = stored_findings(spark, sf, 100)
     return fixes.suggestions(files, listing, found), files, listing, found

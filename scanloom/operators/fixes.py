@@ -15,6 +15,8 @@ from scanloom.functions.editdiff import edit_hunks_column
 from scanloom.operators import catalog
 from scanloom.operators.numbering import number_rows
 from scanloom.operators.reports import iso_instant
+from scanloom.plans.scan import analyze
+from scanloom.plans.storage import settle
 
 # File names, rule names and texts of the fixes.
 ENV_EXAMPLE = ".env.example"
@@ -59,29 +61,25 @@ _HEADER_LINES = 3
 PATCH_LINES = "project_id string, fix_ordinal int, path string, line_no bigint, text string"
 
 
-def _new_file_patch(
-    content: DataFrame, fix_ordinal: int, path: str, total: DataFrame, as_of: Column
-) -> DataFrame:
-    """Patch lines for a new file: ``content(project_id, k, text)``, ``total(project_id, n)``."""
+def _new_file_header(path: str, lines: Column, as_of: Column) -> Column:
     stamp = scalars.diff_stamp(as_of)
-    header = F.array(
+    return F.array(
         F.concat(F.lit("--- /dev/null\t"), stamp),
         F.concat(F.lit(f"+++ b/{path}\t"), stamp),
-        F.concat(F.lit("@@ -1,0 +1,"), F.col("n").cast("string"), F.lit(" @@")),
-    )
-    head = total.select("project_id", F.posexplode(header).alias("line_no", "text"))
-    body = content.select(
-        "project_id",
-        (F.col("k") + _HEADER_LINES).alias("line_no"),
-        F.concat(F.lit("+"), "text").alias("text"),
+        F.concat(F.lit("@@ -1,0 +1,"), lines.cast("string"), F.lit(" @@")),
     )
-    return head.unionByName(body).select(
-        "project_id",
-        F.lit(fix_ordinal).alias("fix_ordinal"),
-        F.lit(path).alias("path"),
-        F.col("line_no").cast("bigint").alias("line_no"),
-        "text",
+
+
+def fixable_files(files: DataFrame) -> DataFrame:
+    """The few files the fixes look into: root environment files and Dockerfiles to edit.
+
+    Store this table and give it to the functions below, so that all fixes together read the whole
+    set of files once.
+    """
+    edited = paths.applies_to(F.col("path"), catalog.DOCKER.applicable_to) & F.rlike(
+        "content", F.lit("(?i)expose")
     )
+    return files.where((F.col("path") == ".env") | edited).select("project_id", "path", "content")
 
 
 # --- environment template ------------------------------------------------------------------------
@@ -96,11 +94,29 @@ def _root_env(files: DataFrame, listing: DataFrame) -> DataFrame:
     )
 
 
+def _template_lines() -> Column:
+    own = F.transform(text.split_lines(F.col("content")), scalars.env_template_line)
+    return F.concat(F.array(*[F.lit(h) for h in ENV_HEADER]), own, F.array(F.lit("")))
+
+
 def env_template(files: DataFrame, listing: DataFrame) -> DataFrame:
     """Lines of the template for each project whose root ``.env`` has no example beside it."""
-    own = F.transform(text.split_lines(F.col("content")), scalars.env_template_line)
-    lines = F.concat(F.array(*[F.lit(h) for h in ENV_HEADER]), own, F.array(F.lit("")))
-    return _root_env(files, listing).select("project_id", F.posexplode(lines).alias("k", "text"))
+    return _root_env(files, listing).select(
+        "project_id", F.posexplode(_template_lines()).alias("k", "text")
+    )
+
+
+def _env_patch_lines(files: DataFrame, listing: DataFrame, as_of: Column) -> DataFrame:
+    """The patch that adds the template; one file is one row, so its length is at hand."""
+    lines = _root_env(files, listing).select("project_id", _template_lines().alias("lines"))
+    added = F.transform("lines", lambda line: F.concat(F.lit("+"), line))
+    whole = F.concat(_new_file_header(ENV_EXAMPLE, F.size("lines"), as_of), added)
+    return lines.select(
+        "project_id",
+        F.lit(1).alias("fix_ordinal"),
+        F.lit(ENV_EXAMPLE).alias("path"),
+        F.posexplode(whole).alias("line_no", "text"),
+    ).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 # --- logging note --------------------------------------------------------------------------------
@@ -166,6 +182,25 @@ def logging_note(
     return top.unionByName(rows).unionByName(bottom)
 
 
+def _note_patch_lines(note: DataFrame, as_of: Column) -> DataFrame:
+    """The patch that adds the note. It may be long, so its length is counted apart."""
+    size = note.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
+    header = _new_file_header(NOTE_PATH, F.col("n"), as_of)
+    head = size.select("project_id", F.posexplode(header).alias("line_no", "text"))
+    body = note.select(
+        "project_id",
+        (F.col("k") + _HEADER_LINES).alias("line_no"),
+        F.concat(F.lit("+"), "text").alias("text"),
+    )
+    return head.unionByName(body).select(
+        "project_id",
+        F.lit(2).alias("fix_ordinal"),
+        F.lit(NOTE_PATH).alias("path"),
+        F.col("line_no").cast("bigint").alias("line_no"),
+        "text",
+    )
+
+
 # --- Dockerfile edit -----------------------------------------------------------------------------
 
 
@@ -210,7 +245,7 @@ def suggestions(
     """All fix suggestions, numbered within their project from 1.
 
     The environment template depends on the files alone. A Dockerfile gets one suggestion per
-    finding that names it.
+    finding that names it. The suggestions are stored before they are numbered.
     """
     env = _root_env(files, listing).select(
         "project_id",
@@ -254,7 +289,7 @@ def suggestions(
             F.lit(False).alias("can_auto_apply"),
         )
     )
-    every = env.unionByName(note).unionByName(docker)
+    every = settle(env.unionByName(note).unionByName(docker), "suggestions")
     numbered = number_rows(
         every, ["project_id"], ["fix_ordinal", "path", "occurrence"], "n", **limits
     )
@@ -265,10 +300,7 @@ def patch_lines(
     files: DataFrame, listing: DataFrame, findings: DataFrame, as_of: Column, **limits: int
 ) -> DataFrame:
     """The lines of every patch, once per patched file."""
-    template = env_template(files, listing)
-    template_size = template.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
     note = logging_note(findings, listing, as_of, **limits)
-    note_size = note.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
     named = (
         findings.where(F.col("rule_id") == catalog.DOCKER.rule_id)
         .select("project_id", "path")
@@ -276,8 +308,8 @@ def patch_lines(
     )
     edits = docker_edits(files).join(named, ["project_id", "path"], "left_semi")
     return (
-        _new_file_patch(template, 1, ENV_EXAMPLE, template_size, as_of)
-        .unionByName(_new_file_patch(note, 2, NOTE_PATH, note_size, as_of))
+        _env_patch_lines(files, listing, as_of)
+        .unionByName(_note_patch_lines(note, as_of))
         .unionByName(_docker_patch_lines(edits, as_of))
     )
 
@@ -451,8 +483,6 @@ def targeted_suggestions(
     The rule is run on the files; projects without findings get no suggestions, the others get the
     whole set that these findings and their files lead to.
     """
-    from scanloom.plans.scan import analyze
-
     aimed = files if path is None else files.where(F.col("path") == path)
     found = analyze(aimed, [rule_id], listing)
     concerned = found.select("project_id").distinct()

@@ -26,14 +26,18 @@ def number_rows(
 ) -> DataFrame:
     """Add ``name``, the 0-based place of each row of its group in ascending order.
 
-    ``order`` must identify a row within its group. ``df`` is read up to three times and should be
-    a stored table (see ``plans.storage.settle``). Rows in hot groups get their range from cut keys
-    picked by hash, about ``ranges`` per group; the cut keys are joined without a hint, so Spark
-    broadcasts them only when they are small and handles the skewed side otherwise.
+    ``order`` must identify a row within its group. ``df`` is read several times and should be a
+    stored table (see ``plans.storage.settle``); it is counted at once, and without a hot group a
+    plain window is all there is. Rows in hot groups get their range from cut keys picked by hash,
+    about ``ranges`` per group; the cut keys are joined without a hint, so Spark broadcasts them
+    only when they are small and handles the skewed side otherwise.
     """
     group, order = list(group), list(order)
     key = F.struct(*order)
     hot = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    if hot.isEmpty():
+        plain = Window.partitionBy(*group).orderBy(*order)
+        return df.withColumn(name, (F.row_number().over(plain) - 1).cast("bigint"))
     every = F.greatest(F.lit(1), F.expr(f"_n div {ranges}"))
     cuts = (
         df.join(hot, group)
@@ -64,6 +68,6 @@ def number_rows(
     return (
         ranged.withColumn("_k", F.row_number().over(within) - 1)
         .join(shifts, [*group, "_range"], "left")
-        .withColumn(name, F.col("_k") + F.coalesce("_shift", F.lit(0)))
+        .withColumn(name, (F.col("_k") + F.coalesce("_shift", F.lit(0))).cast("bigint"))
         .drop("_range", "_k", "_shift")
     )
