@@ -55,6 +55,71 @@ def _escape(token: str, in_class: bool) -> str:
     return "\\" + kind if not kind.isalnum() and kind.isascii() else kind
 
 
+def _word_atom(token: str) -> bool:
+    return token in (r"\d", r"\w") or (len(token) == 1 and (token == "_" or token.isalnum()) and token.isascii())
+
+
+def _optional(token: str) -> bool:
+    return token[0] in "*?" or token.startswith(("{0", "{,"))
+
+
+def _quantifier(token: str) -> bool:
+    return token[0] in "*+?" or (token[0] == "{" and len(token) > 1)
+
+
+def _edge(tokens: list[str], i: int) -> str:
+    """A word edge; where a neighbour is known to be a word character one side is enough."""
+    after = tokens[i + 1 : i + 3]
+    right = bool(after) and _word_atom(after[0]) and not (len(after) > 1 and _optional(after[1]))
+    before = tokens[max(0, i - 2) : i]
+    left = False
+    if before and _quantifier(before[-1]):
+        left = len(before) > 1 and _word_atom(before[0]) and not _optional(before[-1])
+    elif before:
+        left = _word_atom(before[-1])
+    if right and not left:
+        return f"(?<!{_WORD})"
+    if left and not right:
+        return f"(?!{_WORD})"
+    return _EDGE
+
+
+def required_text(pattern: str, flags: str = "") -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """A text that is part of every match, as (as it is, lower-cased); both empty if none is known.
+
+    The longest run of plain characters outside groups and classes. Patterns with alternatives are
+    left alone.
+    """
+    tokens = _TOKEN.findall(pattern)
+    if "|" in tokens or ("i" in flags and "u" in flags):
+        return (), ()
+    runs, run, depth, in_class = [], "", 0, False
+    for i, token in enumerate(tokens):
+        follows = tokens[i + 1] if i + 1 < len(tokens) else ""
+        literal = None
+        if in_class:
+            in_class = token != "]"
+        elif token == "[":
+            in_class = True
+        elif token[0] == "(":
+            depth += 1
+        elif token == ")":
+            depth -= 1
+        elif depth == 0 and len(token) == 1 and token not in "^$.*+?{}]\\":
+            literal = token
+        elif depth == 0 and len(token) == 2 and token[0] == "\\" and not token[1].isalnum():
+            literal = token[1]
+        if literal is not None and literal.isascii() and not (follows and _quantifier(follows)):
+            run += literal
+        elif not (token in (r"\b", "^") and not run):
+            runs.append(run)
+            run = ""
+    best = max([*runs, run], key=len)
+    if len(best) < 3:
+        return (), ()
+    return ((), (best.lower(),)) if "i" in flags else ((best,), ())
+
+
 @lru_cache(maxsize=4096)
 def java_regex(pattern: str, flags: str = "") -> str | None:
     """The pattern for Spark's regex functions, or None where JavaScript rejects it."""
@@ -63,7 +128,8 @@ def java_regex(pattern: str, flags: str = "") -> str | None:
     out: list[str] = []
     in_class = quantifiable = False
     depth = opened = 0
-    for token in _TOKEN.findall(pattern):
+    tokens = _TOKEN.findall(pattern)
+    for i, token in enumerate(tokens):
         if in_class:
             if token == "]":
                 in_class = False
@@ -96,6 +162,8 @@ def java_regex(pattern: str, flags: str = "") -> str | None:
             out.append("[")
         elif token == "\\":
             return None
+        elif token == r"\b":
+            out.append(_edge(tokens, i))
         elif token[0] == "\\":
             out.append(_escape(token, False))
         elif token[0] == "(":

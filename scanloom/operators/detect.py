@@ -42,6 +42,8 @@ _NOT_IN_COMMENT_LINES = {r.rule_id for r in (catalog.ERROR_LEAK, catalog.SQL, ca
 _ON_RAW_LINES = {catalog.SECRETS.rule_id}
 _FILE_RULES = {r.rule_id for r in (catalog.DOCKER, catalog.DEPENDENCY, catalog.CONSOLE)}
 _BUILT_IN = {r.rule_id for r in catalog.BUILT_IN_RULES}
+# Custom patterns tested one by one before they are joined into an alternation.
+SEPARATE_PATTERNS = 8
 _RANDOM = "Math.random"
 _CONSOLE = "console.log"
 
@@ -210,11 +212,24 @@ def _first_match(target: str, rule: Rule, book: Rulebook) -> Column:
     return F.coalesce(*groups)
 
 
-def _one_regex(patterns: Sequence[str]) -> list[str]:
-    """Patterns as one alternation; those with numbered groups stay on their own."""
-    numbered = [p for p in patterns if re.search(r"\\[1-9k]", p)]
-    joined = "|".join(f"(?:{p})" for p in patterns if p not in numbered)
-    return numbered + ([joined] if joined else [])
+def _custom_possible(patterns: Sequence[Pattern]) -> Column:
+    """Necessary condition for custom patterns: the text they need, or else the pattern itself.
+
+    Many patterns without such a text are tried as one alternation, those with numbered groups
+    apart.
+    """
+    needs = sorted({n for p in patterns for n in p.needs})
+    folded = sorted({n for p in patterns for n in p.needs_folded})
+    tests = [text.any_contains("raw", needs)] if needs else []
+    if folded:
+        tests.append(text.any_contains("lower(raw)", folded))
+    bare = [p.regex for p in patterns if not p.needs and not p.needs_folded]
+    numbered = [p for p in bare if re.search(r"\\[1-9k]", p)]
+    joined = [p for p in bare if p not in numbered]
+    if len(joined) > SEPARATE_PATTERNS:
+        joined = ["|".join(f"(?:{p})" for p in joined)]
+    tests += [F.rlike("raw", F.lit(p)) for p in numbered + joined]
+    return _any(tests)
 
 
 def _possible(rule: Rule) -> Column:
@@ -358,14 +373,13 @@ def line_and_file_hits(files: DataFrame, rules: Sequence[Rule], book: Rulebook)
     possible = [applies(r) & _possible(r) for r in line_rules if r.rule_id in _BUILT_IN]
     for reach, name in flags.items():
         own = [
-            p.regex
+            p
             for r in line_rules
             if r.rule_id not in _BUILT_IN and r.applicable_to == reach
             for p in r.patterns
         ]
         if own:
-            tests = [F.rlike("raw", F.lit(regex)) for regex in _one_regex(own)]
-            possible.append(F.col(name) & _any(tests))
+            possible.append(F.col(name) & _custom_possible(own))
     candidates = lines.where((F.size("file_hits") > 0) | _any(possible)).select(
         "project_id",
         "path",

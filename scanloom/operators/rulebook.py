@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom import schemas
-from scanloom.functions.jsregex import java_regex, java_regex_column
+from scanloom.functions.jsregex import java_regex, java_regex_column, required_text
 from scanloom.operators.catalog import BUILT_IN_RULES, Pattern, Rule
 
 _FACTS = "struct<rule_id:string,severity:string,category:string,template:string>"
@@ -100,7 +100,7 @@ def admit_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     A rule needs all its texts, a known severity, a list of path patterns without gaps and at least
     one usable pattern. A pattern is usable when it has 1 to 500 characters, a message, and
     compiles; unusable patterns are dropped, and a rule left without any is rejected. Patterns come
-    out translated to the dialect Spark evaluates.
+    out translated to the dialect Spark evaluates, beside their source.
     """
 
     def usable(p: Column) -> Column:
@@ -147,7 +147,11 @@ def admit_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
                 "kept",
                 "java",
                 lambda p, j: F.struct(
-                    j.alias("regex"), F.lit("").alias("flags"), p["message"].alias("message")
+                    j.alias("regex"),
+                    F.lit("").alias("flags"),
+                    p["message"].alias("message"),
+                    p["regex"].alias("source"),
+                    F.coalesce(p["flags"], F.lit("")).alias("source_flags"),
                 ),
             ),
             lambda p: p["regex"].isNotNull(),
@@ -234,7 +238,9 @@ def compile_rules(rules: DataFrame) -> list[Rule]:
     out = []
     for row in rows:
         patterns = tuple(
-            Pattern(p["regex"], p["message"]) for p in row["patterns"] if p["regex"] in good
+            Pattern(p["regex"], p["message"], *required_text(p["source"], p["source_flags"]))
+            for p in row["patterns"]
+            if p["regex"] in good
         )
         if patterns:
             out.append(
@@ -262,7 +268,10 @@ def custom_rule(
     patterns: Sequence[tuple[str, str, str]],
 ) -> Rule:
     """A scan rule written in code; patterns are (regex, flags, message) in JavaScript's dialect."""
-    translated = [(java_regex(regex, flags), message) for regex, flags, message in patterns]
+    translated = [
+        (java_regex(regex, flags), message, *required_text(regex, flags))
+        for regex, flags, message in patterns
+    ]
     return Rule(
         0,
         rule_id,
@@ -271,5 +280,5 @@ def custom_rule(
         category,
         severity,
         tuple(applicable_to),
-        tuple(Pattern(regex, message) for regex, message in translated if regex is not None),
+        tuple(Pattern(*p) for p in translated if p[0] is not None),
     )

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from scanloom.functions.jsregex import java_regex
+from scanloom.functions.jsregex import java_regex, required_text
 from scanloom.operators import detect, findings
 from scanloom.operators.rulebook import Rulebook, custom_rule
 from scanloom.plans import scan
@@ -200,6 +200,10 @@ def test_size_and_status(spark):
         (r"^[^a^]$", "", "b", "^"),
         (r"a[^]b", "", "a\nb", "ab"),
         (r"a|[]", "", "a", "b"),
+        (r"\bx\d+\b", "", chr(0xE9) + "x1" + chr(0xE9), "ax1"),
+        (r"\bx?1", "", "a1 1", "ax1"),
+        (r"x*\b1", "", "-1", "a1"),
+        (r"x\b", "", "x-", "xy"),
         (r"[\]^]", "", "]", "a"),
     ],
 )
@@ -209,6 +213,24 @@ def test_javascript_patterns(spark, js, flags, yes, no):
     assert [r[0] for r in df.select(F.rlike("s", F.lit(regex))).collect()] == [True, False]
 
 
+@pytest.mark.parametrize(
+    ("js", "flags", "expected"),
+    [
+        (r"track\(\d+\)", "", (("track(",), ())),
+        (r"\bfoo", "", (("foo",), ())),
+        ("ONload=", "i", ((), ("onload=",))),
+        ("abc|def", "", ((), ())),
+        ("abcd*", "", (("abc",), ())),
+        ("(abc)?x", "", ((), ())),
+        ("[abc]de", "", ((), ())),
+        (r"a\sbcd", "", (("bcd",), ())),
+        (r"abc{2}def", "", (("def",), ())),
+    ],
+)
+def test_required_text(js, flags, expected):
+    assert required_text(js, flags) == expected
+
+
 @pytest.mark.parametrize(("js", "flags"), [("(", ""), ("a)", ""), ("[a", ""), ("*a", ""), ("a**", ""), ("a", "q"), ("a", "ii"), ("a++", ""), ("\\", "")])
 def test_rejected_patterns(js, flags):
     assert java_regex(js, flags) is None
