@@ -787,12 +787,13 @@ def all_patch_lines(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
     return every, fixes.patch_lines(files, listing, found, as_of())
 
 
-def stored_bundle(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Suggestions and the patch document made of them, each from stored tables."""
-    every, lines = all_patch_lines(spark, sf)
-    every, lines = storage.settle(every, "suggestions"), storage.settle(lines, "patch-lines")
+def stored_bundle(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Suggestions, the patch document made of them and the findings, from stored tables."""
+    every, files, listing, found = suggested(spark, sf)
+    lines = fixes.patch_lines(files, listing, found, as_of())
+    every, lines = storage.settle(every, "numbered"), storage.settle(lines, "patch-lines")
     projects = workspace_names(spark, sf).select("project_id")
-    return every, fixes.patch_bundle(projects, every, lines, as_of())
+    return every, fixes.patch_bundle(projects, every, lines, as_of()), found
 
 
 @register(
@@ -840,8 +841,7 @@ def patch_banners(spark, sf):
 
 @register("fix_json", None)
 def fix_json(spark, sf):
-    every, bundle = stored_bundle(spark, sf)
-    found = workspace_findings(spark, sf, 100)
+    every, bundle, found = stored_bundle(spark, sf)
     return fixes.fix_report(workspace_scores(spark, sf, found), every, bundle, as_of())
 
 
@@ -892,7 +892,24 @@ def latest_fresh_scan(spark, sf):
     )
 
 
-@register("latest_scan_view", None)
+_LATEST = f"""{o.SCAN}, {o.LOG}, now AS (SELECT max(ts) AS t FROM events), newest AS (
+  SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ts DESC) AS rn FROM scan_log),
+latest AS (SELECT *, (SELECT t FROM now) - ts <= INTERVAL 30 MINUTE AS fresh FROM newest WHERE rn = 1),
+shown AS (
+  SELECT 'u' || substr(project_id, 2) AS project_id, row_number() OVER (PARTITION BY project_id ORDER BY {o.REPORT_ORDER}) - 1 AS item,
+    {_FINDING_JSON} AS json FROM findings)"""
+
+
+@register(
+    "latest_scan_view",
+    f"""WITH {_LATEST}
+SELECT project_id, unnest([0, 2]) AS section, 0 AS item, unnest(['{{"score":' || score || ',"path":"' || project_id || '","scannedAt":"' ||
+  strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') || '","summary":{{"critical":' || critical || ',"medium":' || medium || ',"low":' || low ||
+  '}},"findings":[', '],"metadata":{{"filesScanned":' || files_scanned || '}}}}']) AS text FROM latest WHERE fresh
+UNION ALL SELECT project_id, 0, 0, '{{"message":"No scan results available. Run a scan first."}}' FROM latest WHERE NOT fresh
+UNION ALL SELECT project_id, 1, item, CASE WHEN item > 0 THEN ',' ELSE '' END || json
+FROM shown WHERE project_id IN (SELECT project_id FROM latest WHERE fresh)""",
+)
 def latest_scan_view(spark, sf):
     log = corpus.scan_log(spark, sf)
     latest = history.latest_fresh(
@@ -1109,12 +1126,24 @@ def review_result(spark, sf):
     )
 
 
-@register("ranking_request", None)
+@register(
+    "ranking_request",
+    f"""WITH {o.ANSWERS}, {_FILLED}
+SELECT project_id, unnest([0, 2]) AS section, 0 AS item, unnest(['[', ']']) AS text FROM (SELECT DISTINCT project_id FROM answers)
+UNION ALL SELECT project_id, 1, place, CASE WHEN place > 0 THEN ',' ELSE '' END || '{{"index":' || place ||
+  ',"finding":{{"filePath":"t' || turn || '","line":' || turn || ',"severity":"low","message":' || to_json(response) ||
+  ',"ruleId":"review","category":"review"}},"analysis":{{"severity":"' || severity || '","cvss":' || cvss::DOUBLE::VARCHAR ||
+  ',"impact":"' || impact || '","exploitability":"' || exploitability || '","remediation":"' || remediation ||
+  '","falsePositiveRisk":"' || "falsePositiveRisk" || '"}}}}'
+FROM (SELECT a.project_id, a.turn, a.response, f.severity, f.cvss, f.impact, f.exploitability, f.remediation, f."falsePositiveRisk",
+    a.finding_index AS place
+  FROM answers a JOIN filled f ON f.project_id = a.project_id AND f.finding_index = a.finding_index)""",
+)
 def ranking_request(spark, sf):
     given = answers(spark, sf)
     found = given.select(
         "project_id",
-        F.concat(F.lit("t"), "turn").alias("path"),
+        F.concat(F.lit("t"), F.lpad(F.col("turn").cast("string"), 6, "0")).alias("path"),
         F.col("turn").cast("int").alias("line"),
         F.lit("low").alias("severity"),
         F.col("response").alias("message"),

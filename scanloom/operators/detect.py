@@ -292,6 +292,44 @@ def _flag(rule: Rule) -> str:
     return f"applies_{rule.ordinal}"
 
 
+def _worth_splitting(rules: Sequence[Rule]) -> Column:
+    """Files that may hold a hit at all; the others are dropped before they are cut into lines.
+
+    A text some pattern needs must occur in the content. Where comments are stripped first, a block
+    comment may stand in the middle of that text, so any block comment keeps the file.
+    """
+    words: dict[tuple[str, ...], set[str]] = {}
+    folded: dict[tuple[str, ...], list[Column]] = {}
+    always: set[tuple[str, ...]] = set()
+    for r in rules:
+        reach = r.applicable_to
+        words.setdefault(reach, set())
+        if r.rule_id == catalog.CONSOLE.rule_id:
+            words[reach] |= {_CONSOLE, "/*"}
+        elif r.rule_id in _FILE_RULES:
+            always.add(reach)
+        elif r.rule_id in _LINE_RULES - _ON_RAW_LINES:
+            words[reach].add("/*")
+        for p in r.patterns if r.rule_id not in _FILE_RULES else ():
+            if p.needs_folded:
+                test = text.any_contains("lower(content)", p.needs_folded)
+                if p.needs:
+                    test = text.any_contains("content", p.needs) & test
+                folded.setdefault(reach, []).append(test)
+            elif p.needs:
+                words[reach] |= set(p.needs)
+            else:
+                always.add(reach)
+    tests = []
+    for reach, own in words.items():
+        covered = paths.applies_to(F.col("path"), reach)
+        if reach not in always:
+            found = [text.any_contains("content", sorted(own))] if own else []
+            covered = covered & _any(found + folded.get(reach, []))
+        tests.append(covered)
+    return _any(tests)
+
+
 def line_and_file_hits(files: DataFrame, rules: Sequence[Rule], book: Rulebook) -> DataFrame:
     """Hits of the given rules over ``files(project_id, path, content)``."""
     ids = {r.rule_id for r in rules}
@@ -309,7 +347,7 @@ def line_and_file_hits(files: DataFrame, rules: Sequence[Rule], book: Rulebook)
 
     script = paths.applies_to(path, catalog.XSS.applicable_to)
     blocky = script & text.has_block_comment(content) if needs_code else F.lit(False)
-    base = files.where(_any([paths.applies_to(path, reach) for reach in flags])).select(
+    base = files.where(_worth_splitting(rules)).select(
         "project_id",
         "path",
         "content",
@@ -428,10 +466,8 @@ def env_hits(files: DataFrame, listing: DataFrame, book: Rulebook) -> DataFrame:
     ``listing(project_id, path)`` names every file of the projects, also those a scan skips.
     """
     rule = catalog.ENV
-    examples = (
-        listing.where(paths.basename(F.col("path")) == ".env.example")
-        .select("project_id", paths.dirname(F.col("path")).alias("dir"))
-        .distinct()
+    examples = listing.where(paths.basename(F.col("path")) == ".env.example").select(
+        "project_id", paths.dirname(F.col("path")).alias("dir")
     )
     return (
         files.where(paths.applies_to(F.col("path"), rule.applicable_to))

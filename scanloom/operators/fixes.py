@@ -86,7 +86,7 @@ def fixable_files(files: DataFrame) -> DataFrame:
 
 
 def _root_env(files: DataFrame, listing: DataFrame) -> DataFrame:
-    examples = listing.where(F.col("path") == ENV_EXAMPLE).select("project_id").distinct()
+    examples = listing.where(F.col("path") == ENV_EXAMPLE).select("project_id")
     return (
         files.where(F.col("path") == ".env")
         .select("project_id", "content")
@@ -133,7 +133,7 @@ def logging_files(findings: DataFrame) -> DataFrame:
 
 
 def _noted(findings: DataFrame, listing: DataFrame) -> DataFrame:
-    notes = listing.where(F.col("path") == NOTE_PATH).select("project_id").distinct()
+    notes = listing.where(F.col("path") == NOTE_PATH).select("project_id")
     return (
         logging_files(findings)
         .where(F.col("count") > 0)
