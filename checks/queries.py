@@ -1131,7 +1131,7 @@ def review_result(spark, sf):
     f"""WITH {o.ANSWERS}, {_FILLED}
 SELECT project_id, unnest([0, 2]) AS section, 0 AS item, unnest(['[', ']']) AS text FROM (SELECT DISTINCT project_id FROM answers)
 UNION ALL SELECT project_id, 1, place, CASE WHEN place > 0 THEN ',' ELSE '' END || '{{"index":' || place ||
-  ',"finding":{{"filePath":"t' || turn || '","line":' || turn || ',"severity":"low","message":' || to_json(response) ||
+  ',"finding":{{"filePath":"t' || lpad(turn::VARCHAR, 6, '0') || '","line":' || turn || ',"severity":"low","message":' || to_json(response) ||
   ',"ruleId":"review","category":"review"}},"analysis":{{"severity":"' || severity || '","cvss":' || cvss::DOUBLE::VARCHAR ||
   ',"impact":"' || impact || '","exploitability":"' || exploitability || '","remediation":"' || remediation ||
   '","falsePositiveRisk":"' || "falsePositiveRisk" || '"}}}}'

@@ -56,7 +56,7 @@ def _escape(token: str, in_class: bool) -> str:
 
 
 def _word_atom(token: str) -> bool:
-    return token in (r"\d", r"\w") or (len(token) == 1 and (token == "_" or token.isalnum()) and token.isascii())
+    return token in (r"\d", r"\w") or re.fullmatch("[A-Za-z0-9_]", token) is not None
 
 
 def _optional(token: str) -> bool:

@@ -117,8 +117,9 @@ def fill_template(template: Column, match: Column) -> Column:
 
 
 def sql_text(s: str) -> str:
-    """A string literal for an SQL expression."""
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    """A string literal for an SQL expression, cut where Spark would look for a variable."""
+    quoted = s.replace("\\", "\\\\").replace("'", "\\'")
+    return "'" + quoted.replace("${", "$' || '{") + "'"
 
 
 def any_contains(c: Column | str, words: list[str] | tuple[str, ...]) -> Column:

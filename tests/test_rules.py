@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +150,13 @@ def test_custom_rules(project):
     ]
 
 
+def test_texts_that_look_like_sql(project):
+    texts = ["${spark.app.name}", "it's \\d", "a\\'b${"]
+    rule = custom_rule("odd", "n", "d", "c", "low", [".ts"], [(re.escape(t), "", t) for t in texts])
+    files = project({f"{i}.ts": f"x {t} y" for i, t in enumerate(texts)})
+    assert [m for *_, m in found(files, ["odd"], book=Rulebook().with_custom([rule]))] == texts
+
+
 def test_more_custom_rules_than_one_pass(project, monkeypatch):
     monkeypatch.setattr(detect, "RULES_PER_PASS", 3)
     rules = [custom_rule(f"r{i}", "n", "d", "c", "low", [".ts"], [(f"w{i}(?!\\d)", "", f"m{i}")]) for i in range(10)]
