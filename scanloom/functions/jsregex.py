@@ -8,7 +8,6 @@ ends, bare brackets inside classes, and escapes one side does not know.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pandas as pd
 import regex as checker
@@ -120,7 +119,6 @@ def required_text(pattern: str, flags: str = "") -> tuple[tuple[str, ...], tuple
     return ((), (best.lower(),)) if "i" in flags else ((best,), ())
 
 
-@lru_cache(maxsize=4096)
 def java_regex(pattern: str, flags: str = "") -> str | None:
     """The pattern for Spark's regex functions, or None where JavaScript rejects it."""
     if any(f not in _FLAGS for f in flags) or len(set(flags)) != len(flags):
