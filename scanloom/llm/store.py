@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,13 +14,10 @@ SLICE = 1 << 14
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder ``spark.checkpoint.dir`` names. Only where the session names none and runs in a single
-    process (as in tests) is one made."""
+    """The folder ``spark.checkpoint.dir`` names; where the session names none, one in its warehouse."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="scanloom-"))
+        context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
     return context.getCheckpointDir()
 
 
