@@ -393,7 +393,7 @@ def workspace_findings(spark: SparkSession, sf: str, cap: int = CAP) -> DataFram
 
 
 def stored_findings(spark: SparkSession, sf: str, cap: int = CAP) -> DataFrame:
-    return storage.settle(workspace_findings(spark, sf, cap), "findings")
+    return storage.settle(workspace_findings(spark, sf, cap))
 
 
 def workspace_scores(spark: SparkSession, sf: str, found: DataFrame) -> DataFrame:
@@ -764,7 +764,7 @@ def fix_suggestions(spark, sf):
 
 def suggested(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     files = fixes.fixable_files(scan.scannable(corpus.workspace(spark, sf)))
-    files = storage.settle(files, "fixable")
+    files = storage.settle(files)
     listing = corpus.workspace_listing(spark, sf)
     found = stored_findings(spark, sf, 100)
     return fixes.suggestions(files, listing, found), files, listing, found
@@ -791,7 +791,7 @@ def stored_bundle(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, D
     """Suggestions, the patch document made of them and the findings, from stored tables."""
     every, files, listing, found = suggested(spark, sf)
     lines = fixes.patch_lines(files, listing, found, as_of())
-    every, lines = storage.settle(every, "numbered"), storage.settle(lines, "patch-lines")
+    every, lines = storage.settle(every), storage.settle(lines)
     projects = workspace_names(spark, sf).select("project_id")
     return every, fixes.patch_bundle(projects, every, lines, as_of()), found
 

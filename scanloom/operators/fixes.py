@@ -289,7 +289,7 @@ def suggestions(
             F.lit(False).alias("can_auto_apply"),
         )
     )
-    every = settle(env.unionByName(note).unionByName(docker), "suggestions")
+    every = settle(env.unionByName(note).unionByName(docker))
     numbered = number_rows(
         every, ["project_id"], ["fix_ordinal", "path", "occurrence"], "n", **limits
     )

@@ -1,26 +1,16 @@
-"""Storing intermediate tables that several later steps read."""
+"""Tables that several later steps read, and places for sinks."""
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
-_fallback: str | None = None
-
-
-def use_folder(folder: str) -> None:
-    """The folder to use where the session names none, as in tests on one machine."""
-    global _fallback
-    _fallback = folder
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach: the session's ``spark.checkpoint.dir``."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _fallback
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+    """A folder all executors reach: the session's ``spark.checkpoint.dir``, else its warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return folder.rstrip("/")
 
 
@@ -34,12 +24,10 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def settle(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write a table and read it back.
+def settle(df: DataFrame) -> DataFrame:
+    """Keep a table that several steps read, so that they do not scan the sources again.
 
-    Cuts the lineage, so later steps do not scan the sources again, and survives the loss of
-    executors, which a cached table does not. Later steps read only the columns they need.
+    Nothing runs until an action needs it. The lineage stays, so what a lost executor held is
+    computed anew.
     """
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

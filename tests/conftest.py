@@ -8,16 +8,13 @@ sys.path.insert(0, ROOT)
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from checks.compare import session
     from pyspark import cloudpickle
 
     import scanloom
-    from scanloom.plans import storage
-
     cloudpickle.register_pickle_by_value(scanloom)
     s = session("8", "8")
-    storage.use_folder(str(tmp_path_factory.mktemp("shared")))
     yield s
     s.stop()
 
