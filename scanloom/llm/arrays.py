@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at a time; a longer text is a part by itself.
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 17
 
 #: Bytes that end a word: blank and \\x09-\\x0D.
 NOT_BLANK = np.ones(256, dtype=bool)

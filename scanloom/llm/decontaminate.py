@@ -159,7 +159,7 @@ def _search(docs: DataFrame, phrases, whole: bool) -> DataFrame:
         return pa.record_batch({c: pa.array(v, kinds[c]) for c, v in out.items()})
 
     def rows(batches: Iterator[pa.RecordBatch]):
-        known = phrases.value
+        known = store.received(phrases)
         hashes = arrays.SpanHash()
         shard = Shard(known)
         ids: list = []
@@ -225,10 +225,9 @@ def find_benchmark(
         F.xxhash64(F.col("text").cast("string")).alias("version"),
         F.col("text").cast("string").alias("text"),
     )
-    context = docs.sparkSession.sparkContext
     found = None
     for items in benchmark_blocks(benchmark, block_words):
-        more = _search(docs, context.broadcast(Phrases(items, window)), whole=found is None)
+        more = _search(docs, store.sent(docs, Phrases(items, window)), whole=found is None)
         if found is None:
             found = more.withColumn("whole", F.lit(1))
             continue

@@ -59,7 +59,7 @@ def _prefixes(docs: DataFrame, counts, words: int, percent: int) -> DataFrame:
     """Per document the size and hash of its set and the rarest shingles that a partner must share."""
 
     def rows(batches):
-        often = counts.value
+        often = store.received(counts)
         for some, sets in _sets(batches, words):
             flat, first = _flat(sets)
             sizes = np.diff(first)
@@ -89,12 +89,13 @@ def _prefixes(docs: DataFrame, counts, words: int, percent: int) -> DataFrame:
 def _wanted_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """Sets of the wanted documents by their hash. The texts do not move: a filter of fixed size passes
     the wanted ids and few others, which the joins that follow drop."""
-    table = docs.sparkSession.sparkContext.broadcast(store.id_filter(ids))
+    table = store.sent(docs, store.id_filter(ids))
 
     def chosen(batches):
+        known = store.received(table)
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
-            passed = store.passes(table.value, batch.column(0).to_numpy(zero_copy_only=False))
+            passed = store.passes(known, batch.column(0).to_numpy(zero_copy_only=False))
             yield batch.filter(pa.array(passed, pa.bool_()))
 
     def rows(batches):
@@ -172,7 +173,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     rows; those that repeat an id with another text go by their own text.
     """
     docs = _texts(docs)
-    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, words))
+    counts = store.sent(docs, shingle_counts(docs, words))
     rows = store.kept(_prefixes(docs, counts, words, percent))
     some = rows.where("n > 0 and doc_id is not null")
     classes = some.groupBy("h1", "h2").agg(

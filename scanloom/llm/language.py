@@ -30,7 +30,7 @@ def _grams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.n
     Characters are lower-cased; a run of characters that are no letters is one blank, so n-grams know
     where words begin and end. A row's n-grams of all sizes stand together.
     """
-    for part in arrays.parts(column, 1 << 18):
+    for part in arrays.parts(column, 1 << 16):
         text = part.data.tobytes().decode("utf-8", "replace")
         # Row limits in characters: bytes that do not continue one begin one.
         begins = np.concatenate(([0], np.cumsum((part.data & 0xC0) != 0x80)))[part.offsets]
@@ -119,11 +119,11 @@ def identify(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
     nothing could be learned. Ties go to the first language by name. Rows with null or repeated ids
     have a row each.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, fit_documents))
+    model = store.sent(docs, train(docs, fit_documents))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def rows(batches):
-        names, prior, logs = model.value
+        names, prior, logs = store.received(model)
         for batch in batches:
             pred = np.full(len(batch), -1)
             score = np.zeros(len(batch))

@@ -59,6 +59,21 @@ def simhash(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _normalised(part: arrays.Part, lines: arrays.Spans, hashes: arrays.SpanHash, min_words: int):
+    """Lines of enough words: which, where their words start in the words' hashes, those hashes, and the
+    size of their normalised text (words with one blank between)."""
+    # Words never hold a line end, so they are found for whole rows at once.
+    found = arrays.spans(part, arrays.ALNUM)
+    tokens = hashes(part.data, found.starts, found.ends)
+    first = np.searchsorted(found.starts, np.append(lines.starts, len(part.data)))
+    chosen = np.flatnonzero(np.diff(first) >= min_words)
+    counts = np.diff(first)[chosen]
+    place = np.repeat(first[chosen] - (np.cumsum(counts) - counts), counts)
+    size = np.concatenate(([0], np.cumsum(found.ends - found.starts)))
+    size = size[first[chosen + 1]] - size[first[chosen]] + counts - 1
+    return chosen, np.concatenate(([0], np.cumsum(counts))), tokens[place + np.arange(len(place))], size
+
+
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     """One row per line of enough words: where it stands, the hash of its words, and its SimHash."""
 
@@ -68,101 +83,159 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
             for part in arrays.parts(batch.column(2)):
                 part.data = arrays.LOWER[part.data]
                 lines = _line_spans(part)
-                # Words never hold a line end, so they are found for whole rows at once.
-                found = arrays.spans(part, arrays.ALNUM)
-                tokens = hashes(part.data, found.starts, found.ends)
-                first = np.searchsorted(found.starts, np.append(lines.starts, len(part.data)))
-                chosen = np.flatnonzero(np.diff(first) >= min_words)
+                chosen, start, tokens, size = _normalised(part, lines, hashes, min_words)
                 if not len(chosen):
                     continue
-                counts = np.diff(first)[chosen]
-                place = np.repeat(first[chosen] - (np.cumsum(counts) - counts), counts)
-                tokens = tokens[place + np.arange(len(place))]
-                start = np.concatenate(([0], np.cumsum(counts)))
-                # Characters of the normalised line: its words with one blank between.
-                size = np.concatenate(([0], np.cumsum(found.ends - found.starts)))
-                size = size[first[chosen + 1]] - size[first[chosen]] + counts - 1
-                bits = simhash(tokens, start)
-                row = lines.row[chosen] + part.first
-                blocks = bits.view(np.int32 if BLOCK_BITS == 32 else np.int64).astype(np.int64)
+                bits = simhash(tokens, start).view(np.int64)
+                row = pa.array(lines.row[chosen] + part.first)
                 yield pa.record_batch(
                     {
-                        "doc_id": batch.column(0).take(pa.array(row)),
-                        "version": batch.column(1).take(pa.array(row)),
+                        "doc_id": batch.column(0).take(row),
+                        "version": batch.column(1).take(row),
                         "line": pa.array(lines.index()[chosen], pa.int32()),
                         "h1": pa.array(arrays.signed(arrays.sequence_hash(tokens, start, 31)), pa.int64()),
                         "h2": pa.array(arrays.signed(arrays.sequence_hash(tokens, start, 47)), pa.int64()),
                         "size": pa.array(size, pa.int32()),
-                        "blocks": arrays.lists(
-                            blocks.ravel(), np.arange(len(blocks) + 1) * blocks.shape[1], pa.int64()
-                        ),
+                        **{f"bits{k}": pa.array(bits[:, k], pa.int64()) for k in range(bits.shape[1])},
                     }
                 )
 
-    schema = "doc_id long, version long, line int, h1 long, h2 long, size int, blocks array<long>"
-    return docs.mapInArrow(rows, schema)
+    bits = "".join(f", bits{k} long" for k in range(SIMHASH_BITS // 64))
+    return docs.mapInArrow(rows, f"doc_id long, version long, line int, h1 long, h2 long, size int{bits}")
 
 
-def _place(doc_id: np.ndarray, version: np.ndarray, line: np.ndarray) -> np.ndarray:
-    mixed = arrays.mix(doc_id.view(np.uint64)) + version.view(np.uint64)
-    return arrays.mix(mixed + line.astype(np.uint64)).view(np.int64)
+def _place(doc_id: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return arrays.mix(arrays.mix(doc_id.view(np.uint64)) + line.astype(np.uint64)).view(np.int64)
 
 
-def _wanted_lines(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """The normalised text of wanted lines, and a few others that the joins after it drop."""
-    filled = places.mapInArrow(
-        lambda batches: (
-            pa.record_batch(
-                {"id": pa.array(_place(*(c.to_numpy(zero_copy_only=False) for c in b.columns)), pa.int64())}
-            )
-            for b in batches
-        ),
-        "id long",
-    )
-    table = docs.sparkSession.sparkContext.broadcast(store.id_filter(filled))
+def _wanted_lines(docs: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
+    """Class and normalised text of the lines at wanted places, and a few others that the joins after it
+    drop. The texts do not move: a filter of fixed size passes the places."""
+
+    def numbered(batches):
+        for batch in batches:
+            ids, line = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            yield pa.record_batch({"id": pa.array(_place(ids, line), pa.int64())})
+
+    table = store.sent(docs, store.id_filter(places.mapInArrow(numbered, "id long")))
 
     def rows(batches):
+        known = store.received(table)
+        hashes = arrays.SpanHash()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            versions = batch.column(1).to_numpy(zero_copy_only=False)
             for part in arrays.parts(batch.column(2)):
                 lines = _line_spans(part)
-                row = lines.row + part.first
-                number = lines.index()
-                passed = store.passes(table.value, _place(ids[row], versions[row], number))
-                if not passed.any():
+                passed = np.flatnonzero(store.passes(known, _place(ids[lines.row + part.first], lines.index())))
+                if not len(passed):
                     continue
-                part.data = arrays.LOWER[part.data]
-                blank = np.where(arrays.ALNUM[part.data], part.data, np.uint8(0x20))
+                data = arrays.LOWER[part.data]
+                cut = [data[lines.starts[k] : lines.ends[k]] for k in passed]
+                some = arrays.Part(0, np.concatenate(cut), np.concatenate(([0], np.cumsum([len(c) for c in cut]))))
+                chosen, start, tokens, _ = _normalised(some, _line_spans(some), hashes, min_words)
+                blank = np.where(arrays.ALNUM[some.data], some.data, np.uint8(0x20))
                 texts = [
-                    " ".join(blank[lines.starts[k] : lines.ends[k]].tobytes().decode("utf-8").split())
-                    for k in np.flatnonzero(passed)
+                    b" ".join(blank[some.offsets[k] : some.offsets[k + 1]].tobytes().split()).decode("utf-8")
+                    for k in chosen
                 ]
                 yield pa.record_batch(
                     {
-                        "doc_id": pa.array(ids[row[passed]], pa.int64()),
-                        "version": pa.array(versions[row[passed]], pa.int64()),
-                        "line": pa.array(number[passed], pa.int32()),
+                        "id": pa.array(arrays.signed(arrays.sequence_hash(tokens, start, 31)), pa.int64()),
                         "words": pa.array(texts, pa.string()),
                     }
                 )
 
-    return docs.mapInArrow(rows, "doc_id long, version long, line int, words string")
+    return docs.mapInArrow(rows, "id long, words string").dropDuplicates(["id"])
+
 
+def within_edits(x: str, y: str, most: int) -> bool:
+    """Whether two texts are at most so many edits of a character apart.
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    Common ends are cut; then one column of the table of distances at a time is held as the bits of
+    two whole numbers, which tell where a distance is one more or one less than the one above it.
+    """
+    if abs(len(x) - len(y)) > most:
+        return False
+    # Words replaced one by one bound the distance from above, which settles most pairs.
+    p, q = x.split(" "), y.split(" ")
+    if len(p) == len(q) and sum(max(len(v), len(w)) for v, w in zip(p, q, strict=True) if v != w) <= most:
+        return True
+    if len(x) > len(y):
+        x, y = y, x
+    a = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    b = np.frombuffer(y.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    n = len(a)
+    differ = np.flatnonzero(a != b[:n])
+    head = int(differ[0]) if len(differ) else n
+    differ = np.flatnonzero(a[head:][::-1] != b[head:][::-1][: n - head])
+    tail = int(differ[0]) if len(differ) else n - head
+    a, b = a[head : n - tail], b[head : len(b) - tail]
+    if len(a) == 0 or len(b) <= most:
+        return len(b) <= most
+    where = {
+        int(c): int.from_bytes(np.packbits(a == c, bitorder="little").tobytes(), "little") for c in np.unique(a)
+    }
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = full, 0, len(a)
+    for done, c in enumerate(b.tolist(), 1):
+        same = where.get(c, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        right_up = down | ~(diagonal | up) & full
+        right_down = up & diagonal
+        if right_up & last:
+            distance += 1
+        elif right_down & last:
+            distance -= 1
+        right_up = (right_up << 1 | 1) & full
+        right_down = right_down << 1 & full
+        up = right_down | ~(diagonal | right_up) & full
+        down = right_up & diagonal
+        if distance - (len(b) - done) > most:
+            return False
+    return distance <= most
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, min_words: int, percent: int) -> DataFrame:
     """Pairs whose normalised lines reach the edit similarity."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    places = store.kept(classes.join(ids, "id", "left_semi").select("id", "seat.*"))
-    found = _wanted_lines(docs, places.select("doc_id", "version", "line"))
-    texts = store.kept(
-        places.join(found, ["doc_id", "version", "line"]).groupBy("id").agg(F.min("words").alias("words"))
-    )
+    places = classes.join(ids, "id", "left_semi").select(_seat_doc(), _seat_line())
+    texts = store.kept(_wanted_lines(docs, places, min_words))
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("words").alias("y")), "b"
     )
-    most = f"cast(floor(greatest(length(x), length(y)) * {100 - percent} / 100) as int)"
-    return joined.where(F.expr(f"levenshtein(x, y, {most}) >= 0")).select("a", "b")
+
+    def rows(batches):
+        for batch in batches:
+            good = [
+                within_edits(x, y, max(len(x), len(y)) * (100 - percent) // 100)
+                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            ]
+            pairs = pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"])
+            yield pairs.filter(pa.array(good, pa.bool_()))
+
+    return joined.select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
+
+
+#: A line's place as one number, which hash aggregation can hold: doc_id, then ten digits of the line.
+_SEAT = "cast(doc_id as decimal(20,0)) * 10000000000BD + line"
+
+
+def _block_keys(bits: list[str]) -> list:
+    """A long for each block: its number above its value."""
+    per = 64 // BLOCK_BITS
+    return [
+        F.shiftleft(F.lit(k).cast("long"), BLOCK_BITS)
+        + F.shiftrightunsigned(F.shiftleft(F.col(bits[k // per]), (k % per) * BLOCK_BITS), 64 - BLOCK_BITS)
+        for k in range(SIMHASH_BITS // BLOCK_BITS)
+    ]
+
+
+def _seat_line():
+    return F.expr("cast(pmod(seat, 10000000000) as int)").alias("line")
+
+
+def _seat_doc():
+    return F.expr("(seat - pmod(seat, 10000000000)) div 10000000000").alias("doc_id")
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 5, percent: int = 90) -> DataFrame:
@@ -173,36 +246,34 @@ def repeated_lines(docs: DataFrame, min_words: int = 5, percent: int = 90) -> Da
     no matter of this operator. Equal normalised lines are one class (128 bits of hash). The SimHash
     of each class is cut into blocks; classes that share a block are candidates, and link when their
     edit similarity, 1 - edits / longer length, is ``percent`` / 100 or more. Of each connected group
-    one occurrence stays: the smallest (doc_id, version, line).
+    one occurrence stays: the one with the smallest doc_id and line.
     """
     lines = store.kept(_lines(docs, min_words))
-    classes = store.kept(
-        lines.groupBy("h1", "h2").agg(
-            F.min(F.struct("doc_id", "version", "line")).alias("seat"),
-            F.count("*").alias("n"),
-            F.first("size").alias("size"),
-            F.first("blocks").alias("blocks"),
-        )
-    ).withColumnRenamed("h1", "id")
-    entries = classes.select("id", "size", F.posexplode("blocks").alias("block", "value"))
-    # The block's number in its value's unused bits.
-    key = F.col("value") * (SIMHASH_BITS // BLOCK_BITS) + F.col("block") if BLOCK_BITS == 32 else F.xxhash64(
-        "value", "block"
+    bits = [f"bits{k}" for k in range(SIMHASH_BITS // 64)]
+    classes = lines.groupBy("h1", "h2").agg(
+        F.min(F.expr(_SEAT)).alias("seat"),
+        F.count("*").alias("n"),
+        F.first("size").alias("size"),
+        *[F.first(b).alias(b) for b in bits],
     )
-    entries = entries.select(key.alias("key"), "id", "size")
+    classes = store.kept(classes.withColumnRenamed("h1", "id"))
+    entries = classes.select("id", "size", F.explode(F.array(*_block_keys(bits))).alias("key"))
 
     def near(a, b):
         least, most = F.least(a("size"), b("size")), F.greatest(a("size"), b("size"))
         return least * 100 >= most * percent
 
-    groups = near_groups(entries, near, lambda pairs: _verified(pairs, docs, classes, percent))
+    groups = near_groups(
+        entries, near, lambda pairs: _verified(pairs, docs, classes, min_words, percent)
+    )
     label = F.coalesce("component", F.col("id"))
     grouped = classes.join(groups, "id", "left").select("id", "h2", "seat", "n", label.alias("label"))
     stay = grouped.groupBy("label").agg(F.min("seat").alias("stay"), F.sum("n").alias("many")).where("many > 1")
     repeated = grouped.join(stay, "label").select(F.col("id").alias("h1"), "h2", "stay")
     return (
-        lines.join(repeated, ["h1", "h2"])
-        .where(F.struct("doc_id", "version", "line") != F.col("stay"))
+        lines.select("doc_id", "version", "line", "h1", "h2")
+        .join(repeated, ["h1", "h2"])
+        .where(f"{_SEAT} <> stay")
         .select("doc_id", "version", "line")
         .distinct()
     )

@@ -7,8 +7,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+from scanloom.llm.arrays import mix
+
+def sent(df: DataFrame, model: object) -> Broadcast:
+    """A model of bounded size for all tasks. It travels like the functions do, so workers that do not
+    have the package installed can read it with ``received``."""
+    return df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def received(model: Broadcast):
+    return cloudpickle.loads(model.value)
+
+
 #: Entries of a fixed-size table that travel in one row.
 SLICE = 1 << 14
 
@@ -89,8 +102,6 @@ FILTER_BITS = 1 << 23
 def id_filter(ids: DataFrame) -> np.ndarray:
     """A filter of fixed size over a column of long ids: it passes all of them, and few others
     while they are fewer than its bits. What passes is joined with the ids afterwards."""
-    from scanloom.llm.arrays import mix
-
     def share(batches):
         bits = np.zeros(FILTER_BITS, dtype=bool)
         for batch in batches:
@@ -102,8 +113,6 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
 
 def passes(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    from scanloom.llm.arrays import mix
-
     at = mix(ids.view(np.uint64)) % np.uint64(FILTER_BITS)
     return (table[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 > 0
 

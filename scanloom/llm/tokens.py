@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm import arrays
+from scanloom.llm import arrays, store
 
 #: A vocabulary file of a public tokenizer; any other may be named.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -57,8 +57,9 @@ class PieceCounter:
             if piece:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
-        known = {p for p, _ in pieces}
+        known = self.known = {p for p, _ in pieces}
         self.unknown = pieces[unknown][0]
+        self.plain = len(self.unknown) > 1
         self.single = {p for p in known if len(p) == 1}
         self.penalty = min((s for _, s in pieces), default=0.0) - _UNKNOWN_PENALTY
         self.fallback = {b for b in range(256) if f"<0x{b:02X}>" in known}
@@ -70,22 +71,42 @@ class PieceCounter:
         self.foreign = re.compile(f"([^{re.escape(''.join(sorted(letters)))}]+)") if letters else re.compile("(.+)", re.S)
 
     def _unknown(self, text: str) -> int:
+        if text in self.known:
+            return 1
         octets = text.encode("utf-8", "surrogatepass")
         return len(octets) if all(b in self.fallback for b in octets) else 1
 
     def _segment(self, text: str) -> int:
         """Pieces of the best path, each run of unknown characters as its fallback."""
+        if self.plain and self.single.issuperset(text) and self.unknown not in text:
+            return self._known(text)
+        return self._mixed(text)
+
+    def _known(self, text: str) -> int:
+        """The same where every character is a piece: the best sum and its pieces up to each place."""
+        n = len(text) + 1
+        best, pieces = [-math.inf] * n, [0] * n
+        best[0] = 0.0
+        # Matches come by their end, the longest first, that is by start.
+        for end, (size, score) in self.automaton.iter(text):
+            end += 1
+            total = best[end - size] + score
+            if total > best[end]:
+                best[end] = total
+                pieces[end] = pieces[end - size] + 1
+        return pieces[-1]
+
+    def _mixed(self, text: str) -> int:
         n = len(text)
         best = [-math.inf] * (n + 1)
         best[0] = 0.0
         back = [0] * (n + 1)
         matches: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, (size, score) in self.automaton.iter(text):
-            matches[end].append((size, score))
+        for end, match in self.automaton.iter(text):
+            matches[end].append(match)
         single = self.single
         for end in range(n):
             top, start = -math.inf, end
-            # Longest first, that is by start.
             for size, score in matches[end]:
                 total = best[end + 1 - size] + score
                 if total > top:
@@ -156,11 +177,11 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     A word's count is remembered. Null and empty texts have no tokens; rows with null or repeated ids
     have a row each; words are runs of non-blanks.
     """
-    model = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    model = store.sent(docs, read_vocabulary(vocabulary))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def rows(batches: Iterator[pa.RecordBatch]):
-        counter = PieceCounter(*model.value)
+        counter = PieceCounter(*store.received(model))
         for batch in batches:
             for part in arrays.parts(batch.column(1)):
                 found = arrays.spans(part, arrays.NOT_BLANK)
