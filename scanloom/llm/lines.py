@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm import arrays, store
-from scanloom.llm.links import near_groups
+from scanloom.llm.links import by_tile, near_groups, smallest_labels, tiles
 
 #: Bits of the SimHash, joined in blocks of BLOCK_BITS: lines whose hashes differ in fewer bits than
 #: there are blocks share a block for sure, most that differ in a few more bits do too.
@@ -60,8 +60,7 @@ def simhash(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _normalised(part: arrays.Part, lines: arrays.Spans, hashes: arrays.SpanHash, min_words: int):
-    """Lines of enough words: which, where their words start in the words' hashes, those hashes, and the
-    size of their normalised text (words with one blank between)."""
+    """Lines of enough words: which, where their words start in the words' hashes, and those hashes."""
     # Words never hold a line end, so they are found for whole rows at once.
     found = arrays.spans(part, arrays.ALNUM)
     tokens = hashes(part.data, found.starts, found.ends)
@@ -69,9 +68,7 @@ def _normalised(part: arrays.Part, lines: arrays.Spans, hashes: arrays.SpanHash,
     chosen = np.flatnonzero(np.diff(first) >= min_words)
     counts = np.diff(first)[chosen]
     place = np.repeat(first[chosen] - (np.cumsum(counts) - counts), counts)
-    size = np.concatenate(([0], np.cumsum(found.ends - found.starts)))
-    size = size[first[chosen + 1]] - size[first[chosen]] + counts - 1
-    return chosen, np.concatenate(([0], np.cumsum(counts))), tokens[place + np.arange(len(place))], size
+    return chosen, np.concatenate(([0], np.cumsum(counts))), tokens[place + np.arange(len(place))]
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
@@ -83,7 +80,7 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
             for part in arrays.parts(batch.column(2)):
                 part.data = arrays.LOWER[part.data]
                 lines = _line_spans(part)
-                chosen, start, tokens, size = _normalised(part, lines, hashes, min_words)
+                chosen, start, tokens = _normalised(part, lines, hashes, min_words)
                 if not len(chosen):
                     continue
                 bits = simhash(tokens, start).view(np.int64)
@@ -95,7 +92,7 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
                         "line": pa.array(lines.index()[chosen], pa.int32()),
                         "h1": pa.array(arrays.signed(arrays.sequence_hash(tokens, start, 31)), pa.int64()),
                         "h2": pa.array(arrays.signed(arrays.sequence_hash(tokens, start, 47)), pa.int64()),
-                        "size": pa.array(size, pa.int32()),
+                        "size": pa.array(np.diff(start), pa.int32()),
                         **{f"bits{k}": pa.array(bits[:, k], pa.int64()) for k in range(bits.shape[1])},
                     }
                 )
@@ -109,8 +106,8 @@ def _place(doc_id: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 
 def _wanted_lines(docs: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
-    """Class and normalised text of the lines at wanted places, and a few others that the joins after it
-    drop. The texts do not move: a filter of fixed size passes the places."""
+    """Class and words (32 bits of their hashes) of the lines at wanted places, and a few others that the
+    joins after it drop. The texts do not move: a filter of fixed size passes the places."""
 
     def numbered(batches):
         for batch in batches:
@@ -132,49 +129,28 @@ def _wanted_lines(docs: DataFrame, places: DataFrame, min_words: int) -> DataFra
                 data = arrays.LOWER[part.data]
                 cut = [data[lines.starts[k] : lines.ends[k]] for k in passed]
                 some = arrays.Part(0, np.concatenate(cut), np.concatenate(([0], np.cumsum([len(c) for c in cut]))))
-                chosen, start, tokens, _ = _normalised(some, _line_spans(some), hashes, min_words)
-                blank = np.where(arrays.ALNUM[some.data], some.data, np.uint8(0x20))
-                texts = [
-                    b" ".join(blank[some.offsets[k] : some.offsets[k + 1]].tobytes().split()).decode("utf-8")
-                    for k in chosen
-                ]
+                _, start, tokens = _normalised(some, _line_spans(some), hashes, min_words)
                 yield pa.record_batch(
                     {
                         "id": pa.array(arrays.signed(arrays.sequence_hash(tokens, start, 31)), pa.int64()),
-                        "words": pa.array(texts, pa.string()),
+                        "words": arrays.lists((tokens >> np.uint64(32)).astype(np.uint32).view(np.int32), start, pa.int32()),
                     }
                 )
 
-    return docs.mapInArrow(rows, "id long, words string").dropDuplicates(["id"])
+    return docs.mapInArrow(rows, "id long, words array<int>").dropDuplicates(["id"])
 
 
-def within_edits(x: str, y: str, most: int) -> bool:
-    """Whether two texts are at most so many edits of a character apart.
+#: Words of a line up to which pairs are compared many at a time, and table cells of one comparison.
+_TOGETHER_WORDS = 600
+_TOGETHER_CELLS = 1 << 19
 
-    Common ends are cut; then one column of the table of distances at a time is held as the bits of
-    two whole numbers, which tell where a distance is one more or one less than the one above it.
-    """
-    if abs(len(x) - len(y)) > most:
-        return False
-    # Words replaced one by one bound the distance from above, which settles most pairs.
-    p, q = x.split(" "), y.split(" ")
-    if len(p) == len(q) and sum(max(len(v), len(w)) for v, w in zip(p, q, strict=True) if v != w) <= most:
-        return True
-    if len(x) > len(y):
-        x, y = y, x
-    a = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    b = np.frombuffer(y.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    n = len(a)
-    differ = np.flatnonzero(a != b[:n])
-    head = int(differ[0]) if len(differ) else n
-    differ = np.flatnonzero(a[head:][::-1] != b[head:][::-1][: n - head])
-    tail = int(differ[0]) if len(differ) else n - head
-    a, b = a[head : n - tail], b[head : len(b) - tail]
-    if len(a) == 0 or len(b) <= most:
-        return len(b) <= most
-    where = {
-        int(c): int.from_bytes(np.packbits(a == c, bitorder="little").tobytes(), "little") for c in np.unique(a)
-    }
+
+def _bits_within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """Whether two sequences are at most so many edits apart, one column of the table of distances at a
+    time, held as the bits of two whole numbers: where a distance is one more or less than above it."""
+    if len(a) == 0 or len(b) == 0:
+        return max(len(a), len(b)) <= most
+    where = {c: int.from_bytes(np.packbits(a == c, bitorder="little").tobytes(), "little") for c in np.unique(a).tolist()}
     full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, distance = full, 0, len(a)
     for done, c in enumerate(b.tolist(), 1):
@@ -195,27 +171,148 @@ def within_edits(x: str, y: str, most: int) -> bool:
     return distance <= most
 
 
+def _band_within(xs: list[np.ndarray], ys: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+    """The same for many pairs at a time, in a band around the diagonal."""
+    k = int(most.max())
+    width = 2 * k + 1
+    lx, ly = np.array([len(x) for x in xs]), np.array([len(y) for y in ys])
+    n = len(xs)
+    # Places beyond an end differ from each other and from all words.
+    x = np.full((n, lx.max()), -1, dtype=np.int64)
+    y = np.full((n, max(int(ly.max()), int(lx.max()) + k) + width), -2, dtype=np.int64)
+    for row, (v, w) in enumerate(zip(xs, ys, strict=True)):
+        x[row, : len(v)] = v.view(np.uint32)
+        y[row, k : k + len(w)] = w.view(np.uint32)
+    far = 1 << 20
+    place = np.arange(width)
+    table = np.where(place >= k, place - k, far) + np.zeros((n, 1), dtype=np.int64)
+    result = np.full(n, far)
+    result[lx == 0] = ly[lx == 0]
+    for i in range(1, int(lx.max()) + 1):
+        step = table + (x[:, i - 1, None] != y[:, i - 1 : i - 1 + width])
+        step[:, :-1] = np.minimum(step[:, :-1], table[:, 1:] + 1)
+        if i <= k:
+            step[:, : k - i] = far
+            step[:, k - i] = i
+        table = np.minimum.accumulate(step - place, axis=1) + place
+        ended = np.flatnonzero(lx == i)
+        if len(ended):
+            off = ly[ended] - i + k
+            inside = (off >= 0) & (off < width)
+            result[ended[inside]] = table[ended[inside], off[inside]]
+    return result <= most
+
+
+def within_edits(xs: list[np.ndarray], ys: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of word sequences have an edit similarity of ``percent`` / 100 or more: edits of
+    words allowed are the longer length's rest to 100 percent."""
+    good = np.zeros(len(xs), dtype=bool)
+    longest = np.array([max(len(x), len(y)) for x, y in zip(xs, ys, strict=True)], dtype=np.int64)
+    most = longest * (100 - percent) // 100
+    order = np.argsort(longest, kind="stable")
+    at = 0
+    while at < len(order) and longest[order[at]] <= _TOGETHER_WORDS:
+        size = int(longest[order[at]])
+        end = at + 1
+        # About equally long ones together.
+        while (
+            end < len(order)
+            and longest[order[end]] <= min(_TOGETHER_WORDS, size + size // 8 + 2)
+            and (end - at) * (2 * most[order[end]] + 1) < _TOGETHER_CELLS // 8
+        ):
+            end += 1
+        some = order[at:end]
+        good[some] = _band_within([xs[k] for k in some], [ys[k] for k in some], most[some])
+        at = end
+    for k in order[at:]:
+        good[k] = _bits_within(xs[k], ys[k], int(most[k]))
+    return good
+
+
+def _rows(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a list column as numpy arrays."""
+    values = column.flatten().to_numpy()
+    first = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy())))
+    return [values[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, min_words: int, percent: int) -> DataFrame:
-    """Pairs whose normalised lines reach the edit similarity."""
+    """Pairs of classes whose lines reach the edit similarity."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    places = classes.join(ids, "id", "left_semi").select(_seat_doc(), _seat_line())
-    texts = store.kept(_wanted_lines(docs, places, min_words))
+    texts = store.kept(_wanted_lines(docs, _places(classes, ids), min_words))
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("words").alias("y")), "b"
     )
 
     def rows(batches):
         for batch in batches:
-            good = [
-                within_edits(x, y, max(len(x), len(y)) * (100 - percent) // 100)
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            ]
+            good = within_edits(_rows(batch.column(2)), _rows(batch.column(3)), percent)
             pairs = pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"])
             yield pairs.filter(pa.array(good, pa.bool_()))
 
     return joined.select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
 
 
+def _cross_links(
+    members: DataFrame, docs: DataFrame, classes: DataFrame, bits: list[str], min_words: int, percent: int
+) -> DataFrame:
+    """Links between members of a key that have different labels, found in tiles; no pair is a row.
+
+    A pair that shares several blocks is compared in the first of them only. Of the links found in a
+    tile those that tie its members together leave it.
+    """
+    ids = members.select("id").distinct()
+    texts = _wanted_lines(docs, _places(classes, ids), min_words)
+    content = store.kept(texts.join(classes.select("id", *bits), "id"))
+    dealt = tiles(members.select("key", "id", "label")).join(content, "id")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select("tile", "key", "id", "label", "part", "alone", "words", *bits)
+    dealt = dealt.repartition(partitions, "tile").sortWithinPartitions("tile")
+
+    def handle(batch):
+        tile = batch.column(0).to_numpy()
+        key, ids, label, part = (batch.column(k).to_numpy() for k in range(1, 5))
+        alone = batch.column(5).to_numpy(zero_copy_only=False)
+        words = _rows(batch.column(6))
+        size = np.array([len(w) for w in words])
+        hashes = np.stack([c.to_numpy() for c in batch.columns[7:]], axis=1)
+        blocks = np.ascontiguousarray(hashes).view(np.int32 if BLOCK_BITS == 32 else np.int64)
+        edges = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1], [True])))
+        a, b = [], []
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            i, j = np.triu_indices(y - x, 1)
+            i, j = i + x, j + x
+            good = (label[i] != label[j]) & (key[i] == key[j])
+            if not alone[x]:
+                good &= part[i] != part[j]
+            i, j = i[good], j[good]
+            good = np.minimum(size[i], size[j]) * 100 >= np.maximum(size[i], size[j]) * percent
+            # The number of the block is above its value in the key.
+            at = key[x] >> BLOCK_BITS if BLOCK_BITS < 64 else 0
+            for earlier in range(int(at)):
+                good &= blocks[i, earlier_block(earlier)] != blocks[j, earlier_block(earlier)]
+            a.append(i[good])
+            b.append(j[good])
+        i, j = np.concatenate(a), np.concatenate(b)
+        good = within_edits([words[k] for k in i], [words[k] for k in j], percent)
+        i, j = i[good], j[good]
+        if len(i):
+            least = smallest_labels(ids, i, j)
+            some = least != ids
+            yield pa.record_batch({"a": pa.array(ids[some]), "b": pa.array(least[some])})
+
+    def earlier_block(k):
+        # Blocks are counted from the high end of each long, which little-endian views have last.
+        per = 64 // BLOCK_BITS
+        return k // per * per + per - 1 - k % per
+
+    return dealt.mapInArrow(lambda batches: by_tile(batches, handle), "a long, b long")
+
+
+def _places(classes: DataFrame, ids: DataFrame) -> DataFrame:
+    return classes.join(ids, "id", "left_semi").select(_seat_doc(), _seat_line())
+
+
 #: A line's place as one number, which hash aggregation can hold: doc_id, then ten digits of the line.
 _SEAT = "cast(doc_id as decimal(20,0)) * 10000000000BD + line"
 
@@ -245,7 +342,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 5, percent: int = 90) -> Da
     case, words of letters and digits, one blank between; lines of fewer than ``min_words`` words are
     no matter of this operator. Equal normalised lines are one class (128 bits of hash). The SimHash
     of each class is cut into blocks; classes that share a block are candidates, and link when their
-    edit similarity, 1 - edits / longer length, is ``percent`` / 100 or more. Of each connected group
+    edit similarity, 1 - edits of words / longer number of words, is ``percent`` / 100 or more. Of each connected group
     one occurrence stays: the one with the smallest doc_id and line.
     """
     lines = store.kept(_lines(docs, min_words))
@@ -264,7 +361,10 @@ def repeated_lines(docs: DataFrame, min_words: int = 5, percent: int = 90) -> Da
         return least * 100 >= most * percent
 
     groups = near_groups(
-        entries, near, lambda pairs: _verified(pairs, docs, classes, min_words, percent)
+        entries,
+        near,
+        lambda pairs: _verified(pairs, docs, classes, min_words, percent),
+        lambda members: _cross_links(members, docs, classes, bits, min_words, percent),
     )
     label = F.coalesce("component", F.col("id"))
     grouped = classes.join(groups, "id", "left").select("id", "h2", "seat", "n", label.alias("label"))

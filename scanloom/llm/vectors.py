@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from scanloom.llm import store
 from scanloom.llm.components import components
+from scanloom.llm.links import by_tile, smallest_labels
 
 #: Share of near pairs that one hash keeps together, probes included; sets the number of tables.
 KEPT_TOGETHER = 0.62
@@ -173,32 +174,11 @@ def _compared(members: DataFrame, percent: float) -> DataFrame:
         if not len(i):
             return None
         links = np.bincount(i, weights=n[j], minlength=len(ids)) + np.bincount(j, weights=n[i], minlength=len(ids))
-        label = ids.copy()
-        while True:
-            least = label.copy()
-            np.minimum.at(least, i, label[j])
-            np.minimum.at(least, j, label[i])
-            if (least == label).all():
-                break
-            label = least
+        label = smallest_labels(ids, i, j)
         some = links > 0
         return ids[some], label[some], links[some].astype(np.int64)
 
-    def rows(batches):
-        rest = None
-        for batch in batches:
-            if rest is not None:
-                batch = pa.concat_batches([rest, batch]) if len(rest) else batch
-            keys = batch.column(0).to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            rest = batch.slice(cut)
-            yield from compared(batch.slice(0, cut))
-        if rest is not None:
-            yield from compared(rest)
-
     def compared(batch):
-        if not len(batch):
-            return
         keys = batch.column(0).to_numpy()
         table, ids = batch.column(1).to_numpy(), batch.column(2).to_numpy()
         own, left, right = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5))
@@ -227,7 +207,7 @@ def _compared(members: DataFrame, percent: float) -> DataFrame:
                 }
             )
 
-    return members.mapInArrow(rows, "a long, b long, links long")
+    return members.mapInArrow(lambda batches: by_tile(batches, compared), "a long, b long, links long")
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
