@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from scanloom.llm import arrays, store
 from scanloom.llm.links import near_groups
 
-#: Entries of the table of shingle counts; 4 MB whatever the input.
-COUNT_BITS = 20
+#: Entries of the table of shingle counts; 2 MB whatever the input.
+COUNT_BITS = 18
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -108,7 +108,8 @@ def _wanted_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 }
             )
 
-    return docs.mapInArrow(rows, "id long, grams array<long>").dropDuplicates(["id"])
+    # Another row may have a wanted set too; it makes a pair be compared once more, no more.
+    return docs.mapInArrow(rows, "id long, grams array<long>")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -127,28 +128,69 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return int((y[at] == x).sum()) >= need
 
 
+def may_be_similar(x: np.ndarray, y: np.ndarray, n_x: int, n_y: int, percent: int) -> bool:
+    """The positional filter over all shared shingles of two prefixes, given in their common order.
+
+    Shared shingles that are not in both prefixes come after the last that is, in both sets.
+    """
+    need = -(-percent * (n_x + n_y) // (100 + percent))
+    shared, at_x, at_y = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    if not len(shared):
+        return False
+    return len(shared) + min(n_x - at_x.max(), n_y - at_y.max()) - 1 >= need
+
+
+def _sides(batch: pa.RecordBatch, at: int) -> list[np.ndarray]:
+    column = batch.column(at)
+    values = column.flatten().to_numpy()
+    first = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy())))
+    return [values[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+
+
+def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that the positional filter over their whole prefixes leaves."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    table = store.sent(pairs, store.id_filter(ids))
+
+    def chosen(batches):
+        known = store.received(table)
+        for batch in batches:
+            passed = store.passes(known, batch.column(0).to_numpy())
+            yield batch.filter(pa.array(passed, pa.bool_()))
+
+    heads = classes.select("id", "n", "prefix")
+    heads = heads.mapInArrow(chosen, heads.schema)
+    left = heads.toDF("a", "n_a", "x")
+    right = heads.toDF("b", "n_b", "y")
+
+    def rows(batches):
+        for batch in batches:
+            xs, ys = _sides(batch, 4), _sides(batch, 5)
+            n_x, n_y = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            good = [
+                may_be_similar(xs[k], ys[k], int(n_x[k]), int(n_y[k]), percent) for k in range(len(batch))
+            ]
+            pairs = pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"])
+            yield pairs.filter(pa.array(good, pa.bool_()))
+
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "x", "y")
+    return store.kept(joined.mapInArrow(rows, "a long, b long"))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs of classes whose sets are similar enough."""
+    pairs = _candidates(pairs, classes, percent)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = store.kept(_wanted_sets(docs, classes.join(ids, "id", "left_semi").select("first"), words))
+    sets = _wanted_sets(docs, classes.join(ids, "id", "left_semi").select("first"), words)
 
     def rows(batches):
         for batch in batches:
-            a, b = batch.column(0), batch.column(1)
-            x, y = batch.column(2), batch.column(3)
-            xs, ys = x.flatten().to_numpy(), y.flatten().to_numpy()
-            xo, yo = x.offsets.to_numpy() - x.offsets[0].as_py(), y.offsets.to_numpy() - y.offsets[0].as_py()
-            good = [
-                similar(
-                    xs[xo[i] : xo[i + 1]].view(np.uint64), ys[yo[i] : yo[i + 1]].view(np.uint64), percent
-                )
-                for i in range(len(a))
-            ]
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+            xs, ys = _sides(batch, 2), _sides(batch, 3)
+            good = [similar(x.view(np.uint64), y.view(np.uint64), percent) for x, y in zip(xs, ys, strict=True)]
+            pairs = pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"])
+            yield pairs.filter(pa.array(good, pa.bool_()))
 
-    left = sets.select(F.col("id").alias("a"), F.col("grams").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return joined.mapInArrow(rows, "a long, b long")
 
 
@@ -166,7 +208,8 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     3. Two sets that are similar enough share one of their ``n - ceil(n * percent / 100) + 1`` first
        shingles. Classes are joined on those, with length and positional filters; ``near_groups``
        keeps a shingle shared by very many from making all their pairs.
-    4. Sets of the candidates are made again from the texts, cut by a suffix filter, and compared.
+    4. Candidates are cut by the positional filter over all that their prefixes share. Sets of what is
+       left are made again from the texts, cut by a suffix filter, and compared.
 
     Null or empty texts and texts of blanks have no shingle and link with nothing. A row whose doc_id
     is null links with nothing and has a null component. Rows that repeat an id and text have equal

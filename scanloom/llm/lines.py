@@ -14,8 +14,10 @@ from scanloom.llm.links import by_tile, near_groups, smallest_labels, tiles
 
 #: Bits of the SimHash, joined in blocks of BLOCK_BITS: lines whose hashes differ in fewer bits than
 #: there are blocks share a block for sure, most that differ in a few more bits do too.
-SIMHASH_BITS = 128
+SIMHASH_BITS = 192
 BLOCK_BITS = 32
+#: Words of up to so many bytes carry little and are no features, if a line has others enough.
+SHORT_BYTES, FEATURES_LEAST = 3, 3
 
 _NEWLINE = np.ones(256, dtype=bool)
 _NEWLINE[0x0A] = False
@@ -60,15 +62,21 @@ def simhash(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _normalised(part: arrays.Part, lines: arrays.Spans, hashes: arrays.SpanHash, min_words: int):
-    """Lines of enough words: which, where their words start in the words' hashes, and those hashes."""
+    """Lines of enough words: which, where their words start in the words' hashes, those hashes, and
+    which words are features of the SimHash."""
     # Words never hold a line end, so they are found for whole rows at once.
     found = arrays.spans(part, arrays.ALNUM)
     tokens = hashes(part.data, found.starts, found.ends)
     first = np.searchsorted(found.starts, np.append(lines.starts, len(part.data)))
     chosen = np.flatnonzero(np.diff(first) >= min_words)
     counts = np.diff(first)[chosen]
-    place = np.repeat(first[chosen] - (np.cumsum(counts) - counts), counts)
-    return chosen, np.concatenate(([0], np.cumsum(counts))), tokens[place + np.arange(len(place))]
+    start = np.concatenate(([0], np.cumsum(counts)))
+    place = np.repeat(first[chosen] - start[:-1], counts) + np.arange(start[-1])
+    feature = (found.ends - found.starts)[place] > SHORT_BYTES
+    if len(chosen):
+        few = np.add.reduceat(feature, start[:-1], dtype=np.int64) < FEATURES_LEAST
+        feature |= np.repeat(few, counts)
+    return chosen, start, tokens[place], feature
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
@@ -80,10 +88,10 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
             for part in arrays.parts(batch.column(2)):
                 part.data = arrays.LOWER[part.data]
                 lines = _line_spans(part)
-                chosen, start, tokens = _normalised(part, lines, hashes, min_words)
+                chosen, start, tokens, feature = _normalised(part, lines, hashes, min_words)
                 if not len(chosen):
                     continue
-                bits = simhash(tokens, start).view(np.int64)
+                bits = simhash(tokens[feature], np.concatenate(([0], np.cumsum(feature)))[start]).view(np.int64)
                 row = pa.array(lines.row[chosen] + part.first)
                 yield pa.record_batch(
                     {
@@ -129,7 +137,7 @@ def _wanted_lines(docs: DataFrame, places: DataFrame, min_words: int) -> DataFra
                 data = arrays.LOWER[part.data]
                 cut = [data[lines.starts[k] : lines.ends[k]] for k in passed]
                 some = arrays.Part(0, np.concatenate(cut), np.concatenate(([0], np.cumsum([len(c) for c in cut]))))
-                _, start, tokens = _normalised(some, _line_spans(some), hashes, min_words)
+                _, start, tokens, _ = _normalised(some, _line_spans(some), hashes, min_words)
                 yield pa.record_batch(
                     {
                         "id": pa.array(arrays.signed(arrays.sequence_hash(tokens, start, 31)), pa.int64()),
@@ -336,7 +344,7 @@ def _seat_doc():
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 5, percent: int = 90) -> DataFrame:
-    """Lines to remove: ``doc_id, version, line`` (version: xxhash64 of the text; line: from 0).
+    """Lines to remove, as rows ``doc_id, version, line`` (version: xxhash64 of the text; line: from 0).
 
     ``docs`` holds ``doc_id, version, text`` without null ids. Lines are normalised: A-Z in lower
     case, words of letters and digits, one blank between; lines of fewer than ``min_words`` words are
@@ -375,7 +383,6 @@ def repeated_lines(docs: DataFrame, min_words: int = 5, percent: int = 90) -> Da
         .join(repeated, ["h1", "h2"])
         .where(f"{_SEAT} <> stay")
         .select("doc_id", "version", "line")
-        .distinct()
     )
 
 
@@ -401,11 +408,11 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = 5, percent: int = 90)
     gone = (
         repeated_lines(searched, min_words, percent)
         .groupBy("doc_id", "version")
-        .agg(F.collect_list("line").alias("gone"))
+        .agg(F.collect_set("line").alias("gone"))
         .withColumnsRenamed({"doc_id": "gone_id", "version": "gone_version"})
     )
-    # A null id matches nothing.
-    joined = packed.join(gone, F.expr("id = gone_id and version = gone_version"), "left")
+    # A null id matches nothing. The lists are the small side of each partition; texts are not sorted.
+    joined = packed.join(gone.hint("shuffle_hash"), F.expr("id = gone_id and version = gone_version"), "left")
     joined = joined.select("row", "n_lines", "gone")
     names = joined.schema["row"].dataType.names
 

@@ -97,6 +97,8 @@ def totals(
 
 #: Bits of the filter that lets only wanted ids pass; 1 MB whatever the number of ids.
 FILTER_BITS = 1 << 23
+#: Tasks that fill it.
+FILTER_TASKS = 8
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
@@ -109,7 +111,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
             bits[mix(values.view(np.uint64)) % np.uint64(FILTER_BITS)] = True
         return np.packbits(bits)
 
-    return totals(ids, share, FILTER_BITS // 8, "u1", np.bitwise_or)
+    return totals(ids.repartition(FILTER_TASKS), share, FILTER_BITS // 8, "u1", np.bitwise_or)
 
 
 def passes(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
