@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm import arrays, store
-from scanloom.llm.links import near_groups
+from scanloom.llm.links import by_tile, near_groups, tiles
 
 #: Entries of the table of shingle counts; 2 MB whatever the input.
 COUNT_BITS = 18
@@ -174,12 +174,78 @@ def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
             yield pairs.filter(pa.array(good, pa.bool_()))
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "x", "y")
-    return store.kept(joined.mapInArrow(rows, "a long, b long"))
+    return joined.mapInArrow(rows, "a long, b long")
+
+
+def _cross_candidates(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of a key that have different labels and pass the positional filter over their
+    whole prefixes. They are compared in tiles; a pair is looked at under its first shared key only."""
+    heads = classes.select("id", "n", "prefix").join(members.select("id").distinct(), "id", "left_semi")
+    dealt = tiles(members.select("key", "id", "label")).join(heads, "id")
+    partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select("tile", "key", "id", "label", "part", "alone", "n", "prefix")
+    dealt = dealt.repartition(partitions, "tile").sortWithinPartitions("tile")
+
+    def handle(batch):
+        tile = batch.column(0).to_numpy()
+        keys, ids, label, part = (batch.column(k).to_numpy() for k in range(1, 5))
+        alone = batch.column(5).to_numpy(zero_copy_only=False)
+        sizes = batch.column(6).to_numpy()
+        prefixes = _sides(batch, 7)
+        edges = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1], [True])))
+        out = []
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            group = slice(x, y)
+            for i, j in _tile_pairs(
+                keys[x], label[group], part[group], alone[x], sizes[group], prefixes[x:y], percent
+            ):
+                out.append((ids[x + i], ids[x + j]))
+        if out:
+            pairs = np.array(out, dtype=np.int64)
+            yield pa.record_batch({"a": pa.array(pairs.min(axis=1)), "b": pa.array(pairs.max(axis=1))})
+
+    return dealt.mapInArrow(lambda batches: by_tile(batches, handle), "a long, b long")
+
+
+def _tile_pairs(key, label, part, alone, sizes, prefixes, percent):
+    """Places of the pairs of one tile that may be similar enough."""
+    if (label == label[0]).all():
+        return
+    owner = np.repeat(np.arange(len(prefixes)), [len(p) for p in prefixes])
+    values, inverse, often = np.unique(np.concatenate(prefixes), return_inverse=True, return_counts=True)
+    # Only shingles that several members have matter.
+    column = np.cumsum(often > 1) - 1
+    place = np.concatenate([np.arange(len(p)) for p in prefixes])
+    several = often[inverse] > 1
+    far = 1 << 30
+    places = np.full((len(prefixes), int((often > 1).sum())), far, dtype=np.int64)
+    places[owner[several], column[inverse[several]]] = place[several]
+    of_key = int(column[np.searchsorted(values, key)])
+    for i in range(len(prefixes) - 1):
+        j = np.arange(i + 1, len(prefixes))
+        good = (label[j] != label[i]) & (
+            np.minimum(sizes[j], sizes[i]) * 100 >= np.maximum(sizes[j], sizes[i]) * percent
+        )
+        if not alone:
+            good &= part[j] != part[i]
+        j = j[good]
+        if not len(j):
+            continue
+        mine = np.flatnonzero(places[i] < far)
+        theirs = places[j][:, mine]
+        both = theirs < far
+        own = np.where(both, places[i, mine], -1)
+        # The key is the first that they share, so no other tile looks at the pair.
+        first = np.where(both, places[i, mine], far).min(axis=1) == places[i, of_key]
+        last = np.minimum(sizes[i] - own.max(axis=1), sizes[j] - np.where(both, theirs, -1).max(axis=1))
+        need = -(-percent * (sizes[i] + sizes[j]) // (100 + percent))
+        for k in j[first & (both.sum(axis=1) + last - 1 >= need)]:
+            yield i, int(k)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs of classes whose sets are similar enough."""
-    pairs = _candidates(pairs, classes, percent)
+    pairs = store.kept(pairs)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = _wanted_sets(docs, classes.join(ids, "id", "left_semi").select("first"), words)
 
@@ -232,7 +298,12 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
         after = F.least(a("n") - a("pos"), b("n") - b("pos"))
         return (least * 100 >= most * percent) & (before + after >= need)
 
-    groups = near_groups(entries, near, lambda pairs: _verified(pairs, docs, classes, words, percent))
+    groups = near_groups(
+        entries,
+        near,
+        lambda pairs: _verified(_candidates(pairs, classes, percent), docs, classes, words, percent),
+        lambda some: _verified(_cross_candidates(some, classes, percent), docs, classes, words, percent),
+    )
     labelled = classes.join(groups, "id", "left").select(
         F.col("id").alias("h1"), "h2", "first", F.coalesce("component", F.col("id")).alias("label")
     )

@@ -20,10 +20,10 @@ BASE = (
 )
 #: Short notices searched with errors: words, label, edits allowed.
 NOTICES = (
-    ("under the mit license", "mit", 2),
+    ("under the mit license", "mit", 1),
     ("permission is hereby granted free of charge to any person", "mit", 4),
     ("apache license version 2", "apache-2", 2),
-    ("licensed under cc by nc", "cc-by-nc", 2),
+    ("licensed under cc by nc", "cc-by-nc", 1),
     ("gnu general public license", "gpl", 2),
     ("gnu lesser general public license", "lgpl", 2),
     ("mozilla public license", "mpl", 2),

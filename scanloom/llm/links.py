@@ -75,7 +75,7 @@ def shared_entries(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = kept(ranged.mapInArrow(rows, schema))
     edges = found.where("edge").select(*names).distinct()
     least = edges.groupBy("key").agg(F.min("id").alias("least")).withColumnRenamed("key", "of")
-    hubs = edges.join(least, F.expr("key = of")).cache()
+    hubs = kept(edges.join(least, F.expr("key = of")))
     pairs = hubs.where("id = least").alias("a").join(hubs.where("id <> least").alias("b"), "key")
     return found.where("not edge").drop("edge"), pairs
 
@@ -84,16 +84,16 @@ def near_groups(
     entries: DataFrame,
     near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     verify: Callable[[DataFrame], DataFrame],
-    rest: Callable[[DataFrame], DataFrame] | None = None,
+    rest: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """``id, component`` over all links between ids that share a key, pass ``near`` and ``verify``.
 
     ``entries`` holds ``key, id`` and what ``near`` compares. Two rounds reach the same components as
     all pairs would: first every entry is paired with its key's hub only, a star of as many rows as
-    the key has entries; what that links needs no further pairs among itself. Then pairs are made only
-    between different components of the first round that still share a key, by ``rest`` from entries
-    with their ``label`` (or else as rows). So a key with very many near copies costs its size, not
-    its square, and no pair that could join two components is left out.
+    the key has entries; what that links needs no further pairs among itself. Then ``rest`` finds the
+    links between different components of the first round that still share a key, from the entries
+    of such keys with their ``label``. So a key with very many near copies costs its size, not its
+    square, and no pair that could join two components is left out.
     """
     names = entries.columns
     shared, hubs = shared_entries(entries)
@@ -106,20 +106,13 @@ def near_groups(
     star = shared.where("id <> hub_id").where(near(lambda c: F.col(f"hub_{c}"), F.col))
     star = star.select(F.col("hub_id").alias("a"), F.col("id").alias("b")).union(sides(hubs))
     first = kept(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = kept(verify(first))
-    found = components(links)
+    found = components(verify(first))
     label = F.coalesce("component", F.col("id")).alias("label")
     labelled = kept(shared.select(*names).join(found, "id", "left").select(*names, label))
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     still = kept(labelled.join(open_keys.where("lo < hi").select("key"), "key"))
-    if rest is not None:
-        more = rest(still)
-    else:
-        pairs = still.alias("a").join(
-            still.alias("b"), F.expr("a.key = b.key and a.id < b.id and a.label <> b.label")
-        )
-        more = verify(kept(sides(pairs).distinct().join(first, ["a", "b"], "left_anti")))
-    return components(links.union(more))
+    # What the first round found is a star for each component, so only the new links take rounds.
+    return components(found.toDF("a", "b").union(rest(still)))
 
 
 def tiles(members: DataFrame) -> DataFrame:

@@ -97,8 +97,8 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
     usable = np.flatnonzero((lengths > 0) & (free > 0))
     if not len(usable):
         return taken
-    # One document more than fits can be nearer than none; nothing longer than twice the rest can.
-    most = int(rest + min(rest, float(lengths[usable].min()))) + 1
+    # More than fits can be nearer than less, but not beyond twice the rest: there, nothing is nearer.
+    most = int(2 * rest) + 1
     items = []
     for k in usable:
         n = min(int(free[k]), most // int(lengths[k]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -34,11 +35,26 @@ def _shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Actions in here remove their shuffle files when they end, as their result is written elsewhere."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The table, written to the shared folder and read from there. It survives the loss of executors;
     Spark removes the files once nothing refers to them, if its cleaner is set to."""
     _shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with shuffles_removed(df.sparkSession):
+        return df.checkpoint()
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -82,12 +98,9 @@ def totals(
             )
 
     schema = "slice int, part binary"
-    rows = (
-        df.mapInArrow(shares, schema)
-        .repartition(max(1, min(32, size // SLICE)), "slice")
-        .mapInArrow(added, schema)
-        .collect()
-    )
+    sums = df.mapInArrow(shares, schema).repartition(max(1, min(32, size // SLICE)), "slice").mapInArrow(added, schema)
+    with shuffles_removed(df.sparkSession):
+        rows = sums.collect()
     table = np.zeros(size, dtype=kind)
     for at, part in rows:
         values = np.frombuffer(bytes(part), dtype=kind)
