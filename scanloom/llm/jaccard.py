@@ -178,69 +178,74 @@ def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
 
 
 def _cross_candidates(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of a key that have different labels and pass the positional filter over their
-    whole prefixes. They are compared in tiles; a pair is looked at under its first shared key only."""
-    heads = classes.select("id", "n", "prefix").join(members.select("id").distinct(), "id", "left_semi")
+    """Pairs of members of a key that have different labels and share enough of their prefixes.
+
+    They are compared in tiles, which a member reaches with 16 bits of each shingle of its prefix.
+    Shared shingles outside both prefixes lie beyond the prefix that ends first, so the shared bits
+    and the longer rest bound what two sets share from above; bits shared by chance only raise it.
+    """
+    ids = members.select("id").distinct()
+
+    def marked(batches):
+        for batch in batches:
+            column = batch.column(2)
+            bits = (column.flatten().to_numpy().view(np.uint64) >> np.uint64(20)).astype(np.uint16).view(np.int16)
+            first = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy())))
+            yield pa.record_batch(
+                {"id": batch.column(0), "n": batch.column(1), "marks": arrays.lists(bits, first, pa.int16())}
+            )
+
+    heads = classes.select("id", "n", "prefix").join(ids, "id", "left_semi")
+    heads = heads.mapInArrow(marked, "id long, n long, marks array<short>")
     dealt = tiles(members.select("key", "id", "label")).join(heads, "id")
     partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.select("tile", "key", "id", "label", "part", "alone", "n", "prefix")
+    dealt = dealt.select("tile", "id", "label", "part", "alone", "n", "marks")
     dealt = dealt.repartition(partitions, "tile").sortWithinPartitions("tile")
 
     def handle(batch):
         tile = batch.column(0).to_numpy()
-        keys, ids, label, part = (batch.column(k).to_numpy() for k in range(1, 5))
-        alone = batch.column(5).to_numpy(zero_copy_only=False)
-        sizes = batch.column(6).to_numpy()
-        prefixes = _sides(batch, 7)
+        ids, label, part = (batch.column(k).to_numpy() for k in range(1, 4))
+        alone = batch.column(4).to_numpy(zero_copy_only=False)
+        sizes = batch.column(5).to_numpy()
+        marks = _sides(batch, 6)
         edges = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1], [True])))
-        out = []
+        left, right = [], []
         for x, y in zip(edges[:-1], edges[1:], strict=True):
             group = slice(x, y)
-            for i, j in _tile_pairs(
-                keys[x], label[group], part[group], alone[x], sizes[group], prefixes[x:y], percent
-            ):
-                out.append((ids[x + i], ids[x + j]))
-        if out:
-            pairs = np.array(out, dtype=np.int64)
-            yield pa.record_batch({"a": pa.array(pairs.min(axis=1)), "b": pa.array(pairs.max(axis=1))})
+            i, j = _tile_pairs(label[group], part[group], alone[x], sizes[group], marks[x:y], percent)
+            left.append(ids[x + i])
+            right.append(ids[x + j])
+        if left:
+            a, b = np.concatenate(left), np.concatenate(right)
+            yield pa.record_batch({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
-    return dealt.mapInArrow(lambda batches: by_tile(batches, handle), "a long, b long")
+    return dealt.mapInArrow(lambda batches: by_tile(batches, handle), "a long, b long").distinct()
 
 
-def _tile_pairs(key, label, part, alone, sizes, prefixes, percent):
+def _tile_pairs(label, part, alone, sizes, marks, percent):
     """Places of the pairs of one tile that may be similar enough."""
-    if (label == label[0]).all():
-        return
-    owner = np.repeat(np.arange(len(prefixes)), [len(p) for p in prefixes])
-    values, inverse, often = np.unique(np.concatenate(prefixes), return_inverse=True, return_counts=True)
-    # Only shingles that several members have matter.
-    column = np.cumsum(often > 1) - 1
-    place = np.concatenate([np.arange(len(p)) for p in prefixes])
+    i, j = np.triu_indices(len(label), 1)
+    good = (label[i] != label[j]) & (
+        np.minimum(sizes[i], sizes[j]) * 100 >= np.maximum(sizes[i], sizes[j]) * percent
+    )
+    if not alone:
+        good &= part[i] != part[j]
+    i, j = i[good], j[good]
+    if not len(i):
+        return i, j
+    lengths = np.array([len(m) for m in marks])
+    owner = np.repeat(np.arange(len(marks)), lengths)
+    _, inverse, often = np.unique(np.concatenate(marks), return_inverse=True, return_counts=True)
+    # Only bits that several members have matter; a member may have some more than once.
     several = often[inverse] > 1
-    far = 1 << 30
-    places = np.full((len(prefixes), int((often > 1).sum())), far, dtype=np.int64)
-    places[owner[several], column[inverse[several]]] = place[several]
-    of_key = int(column[np.searchsorted(values, key)])
-    for i in range(len(prefixes) - 1):
-        j = np.arange(i + 1, len(prefixes))
-        good = (label[j] != label[i]) & (
-            np.minimum(sizes[j], sizes[i]) * 100 >= np.maximum(sizes[j], sizes[i]) * percent
-        )
-        if not alone:
-            good &= part[j] != part[i]
-        j = j[good]
-        if not len(j):
-            continue
-        mine = np.flatnonzero(places[i] < far)
-        theirs = places[j][:, mine]
-        both = theirs < far
-        own = np.where(both, places[i, mine], -1)
-        # The key is the first that they share, so no other tile looks at the pair.
-        first = np.where(both, places[i, mine], far).min(axis=1) == places[i, of_key]
-        last = np.minimum(sizes[i] - own.max(axis=1), sizes[j] - np.where(both, theirs, -1).max(axis=1))
-        need = -(-percent * (sizes[i] + sizes[j]) // (100 + percent))
-        for k in j[first & (both.sum(axis=1) + last - 1 >= need)]:
-            yield i, int(k)
+    column = (np.cumsum(often > 1) - 1)[inverse]
+    table = np.zeros((len(marks), int((often > 1).sum())), dtype=np.float32)
+    np.add.at(table, (owner[several], column[several]), 1)
+    shared = (table @ table.T)[i, j]
+    rest = np.maximum(sizes[i] - lengths[i], sizes[j] - lengths[j])
+    need = -(-percent * (sizes[i] + sizes[j]) // (100 + percent))
+    good = shared + rest >= need
+    return i[good], j[good]
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -274,8 +279,9 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     3. Two sets that are similar enough share one of their ``n - ceil(n * percent / 100) + 1`` first
        shingles. Classes are joined on those, with length and positional filters; ``near_groups``
        keeps a shingle shared by very many from making all their pairs.
-    4. Candidates are cut by the positional filter over all that their prefixes share. Sets of what is
-       left are made again from the texts, cut by a suffix filter, and compared.
+    4. Candidates are cut by the positional filter over all that their prefixes share (or, where members
+       of a key are compared in tiles, by a bound on it). Sets of what is left are made again from the
+       texts, cut by a suffix filter, and compared.
 
     Null or empty texts and texts of blanks have no shingle and link with nothing. A row whose doc_id
     is null links with nothing and has a null component. Rows that repeat an id and text have equal
