@@ -253,9 +253,10 @@ findings AS MATERIALIZED (
   FROM placed {kept})"""
 
 
-CAP = 10
-SCAN = f"""{WORKSPACE}, {stripped_lines('files')}, {findings(' UNION ALL '.join(HITS.values()), CAP)}"""
-SCAN_UNCAPPED = f"""{WORKSPACE}, {stripped_lines('files')}, {findings(' UNION ALL '.join(HITS.values()))}"""
+# Fixed value: the usual limit of findings per file.
+CAP = 100
+SCAN = f"""{WORKSPACE}, {stripped_lines('files')}, {findings(' UNION ALL '.join(HITS.values()))}"""
+SCAN_CAPPED = f"""{WORKSPACE}, {stripped_lines('files')}, {findings(' UNION ALL '.join(HITS.values()), CAP)}"""
 RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
 REPORT_ORDER = f"{RANK}, path, rule_ordinal, seq"
 INDEXED = f"""

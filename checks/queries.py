@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import oracle as o
+from scanloom import schemas
 from scanloom.functions import paths, scalars, text
 from scanloom.operators import findings as ops
 from scanloom.operators import fixes, history, reports, review, rulebook
@@ -23,7 +24,6 @@ from scanloom.streaming.watch import scan_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
-CAP = o.CAP
 
 
 def register(name: str, sql: str | None):
@@ -41,13 +41,13 @@ def as_of() -> Column:
 # --- flagship: real text -------------------------------------------------------------------------
 
 _DOC_SCAN = f"""WITH {o.DOCUMENTS}, all_files AS (SELECT * FROM files), {o.raw_lines('files')},
-{o.findings(o.HITS['hardcoded-secrets'], 100)}, {o.SCORES}"""
+{o.findings(o.HITS['hardcoded-secrets'])}, {o.SCORES}"""
 
 
 def document_hits(spark: SparkSession, sf: str) -> DataFrame:
     files = corpus.documents(spark, sf)
     found = scan.detect.detect(files, rule_ids=["hardcoded-secrets"])
-    return ops.cap_per_file(found)
+    return found
 
 
 @register("risk_by_project", f"{_DOC_SCAN} SELECT project_id, critical, medium, low, score, passed FROM scores")
@@ -278,7 +278,7 @@ def custom_rules(spark, sf):
     book = custom_book()
     files = corpus.pages(spark, sf).unionByName(corpus.documents(spark, sf))
     found = scan.detect.detect(files, None, book, ["page-tracking", "year-number", "script-block"])
-    return ops.to_findings(ops.cap_per_file(found), book).select(
+    return ops.to_findings(found, book).select(
         "project_id", "path", "line", "severity", "message", "rule_id"
     )
 
@@ -388,12 +388,12 @@ def rule_listing(spark, sf):
 # --- whole scans ---------------------------------------------------------------------------------
 
 
-def workspace_findings(spark: SparkSession, sf: str, cap: int = CAP) -> DataFrame:
+def workspace_findings(spark: SparkSession, sf: str, cap: int | None = None) -> DataFrame:
     return scan.scan(corpus.workspace(spark, sf), corpus.workspace_listing(spark, sf), cap=cap)
 
 
-def stored_findings(spark: SparkSession, sf: str, cap: int = CAP) -> DataFrame:
-    return storage.settle(workspace_findings(spark, sf, cap))
+def stored_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return storage.settle(workspace_findings(spark, sf))
 
 
 def workspace_scores(spark: SparkSession, sf: str, found: DataFrame) -> DataFrame:
@@ -408,11 +408,16 @@ def workspace_names(spark: SparkSession, sf: str) -> DataFrame:
     return code.unionByName(others.select("project_id", "path"))
 
 
-@register("all_findings_capped", f"WITH {o.SCAN} SELECT {o.FINDING_COLUMNS} FROM findings")
-def all_findings_capped(spark, sf):
+@register("all_findings", f"WITH {o.SCAN} SELECT {o.FINDING_COLUMNS} FROM findings")
+def all_findings(spark, sf):
     return workspace_findings(spark, sf)
 
 
+@register("all_findings_capped", f"WITH {o.SCAN_CAPPED} SELECT {o.FINDING_COLUMNS} FROM findings")
+def all_findings_capped(spark, sf):
+    return workspace_findings(spark, sf, o.CAP)
+
+
 @register(
     "targeted_analysis",
     f"""WITH {o.WORKSPACE}, {o.stripped_lines('files')},
@@ -442,7 +447,7 @@ def targeted_analysis(spark, sf):
 )
 def project_scores(spark, sf):
     files, listing = corpus.workspace(spark, sf), corpus.workspace_listing(spark, sf)
-    scored = scan.project_scores(files, listing, cap=CAP)
+    scored = scan.project_scores(files, listing)
     return scored.select(
         "project_id", "critical", "medium", "low", "total", "score", "threshold", "passed"
     )
@@ -511,7 +516,7 @@ _OUTCOMES = f"""{o.WORKSPACE}, outcomes AS (
 )
 def scan_metadata(spark, sf):
     files = outcome_files(spark, sf)
-    return ops.scan_metadata(scan.read_outcomes(files), scan.scan_errors(files), len(Rulebook().rules))
+    return ops.scan_metadata(scan.read_outcomes(files, schemas.MAX_FILE_BYTES), scan.scan_errors(files), len(Rulebook().rules))
 
 
 @register(
@@ -519,7 +524,7 @@ def scan_metadata(spark, sf):
     f"WITH {_OUTCOMES} SELECT project_id, path, status FROM outcomes",
 )
 def read_outcomes(spark, sf):
-    return scan.read_outcomes(outcome_files(spark, sf)).select("project_id", "path", "status")
+    return scan.read_outcomes(outcome_files(spark, sf), schemas.MAX_FILE_BYTES).select("project_id", "path", "status")
 
 
 # --- reports -------------------------------------------------------------------------------------
@@ -733,10 +738,10 @@ def env_placeholders(spark, sf):
 
 @register(
     "logging_note",
-    f"WITH {o.SCAN_UNCAPPED}, {o.FIXES}, {o.NOTE} SELECT project_id, k, text FROM note_lines",
+    f"WITH {o.SCAN}, {o.FIXES}, {o.NOTE} SELECT project_id, k, text FROM note_lines",
 )
 def logging_note(spark, sf):
-    found = stored_findings(spark, sf, 100)
+    found = stored_findings(spark, sf)
     return fixes.logging_note(found, corpus.workspace_listing(spark, sf), as_of())
 
 
@@ -749,12 +754,13 @@ GROUP BY project_id, path""",
 )
 def docker_fix(spark, sf):
     edits = fixes.docker_edits(scan.scannable(corpus.workspace(spark, sf)))
-    return edits.select("project_id", "path", F.array_join("new", "\n").alias("content"))
+    kept = F.array_join(fixes.kept_lines(F.col("old"), F.col("removed")), "\n")
+    return edits.select("project_id", "path", kept.alias("content"))
 
 
 @register(
     "fix_suggestions",
-    f"""WITH {o.SCAN_UNCAPPED}, {o.FIXES} SELECT project_id, n, path, rule_id, description, can_auto_apply FROM suggested""",
+    f"""WITH {o.SCAN}, {o.FIXES} SELECT project_id, n, path, rule_id, description, can_auto_apply FROM suggested""",
 )
 def fix_suggestions(spark, sf):
     return suggested(spark, sf)[0].select(
@@ -766,13 +772,13 @@ def suggested(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
     files = fixes.fixable_files(scan.scannable(corpus.workspace(spark, sf)))
     files = storage.settle(files)
     listing = corpus.workspace_listing(spark, sf)
-    found = stored_findings(spark, sf, 100)
+    found = stored_findings(spark, sf)
     return fixes.suggestions(files, listing, found), files, listing, found
 
 
 @register(
     "fix_split",
-    f"""WITH {o.SCAN_UNCAPPED}, {o.FIXES} SELECT project_id, count(*) FILTER (can_auto_apply) AS automatic,
+    f"""WITH {o.SCAN}, {o.FIXES} SELECT project_id, count(*) FILTER (can_auto_apply) AS automatic,
   count(*) FILTER (NOT can_auto_apply) AS manual FROM suggested GROUP BY project_id""",
 )
 def fix_split(spark, sf):
@@ -798,7 +804,7 @@ def stored_bundle(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, D
 
 @register(
     "new_file_patches",
-    f"""WITH {o.SCAN_UNCAPPED}, {o.FIXES}, {o.TEMPLATE}, {o.NOTE}, {o.NEW_PATCHES}
+    f"""WITH {o.SCAN}, {o.FIXES}, {o.TEMPLATE}, {o.NOTE}, {o.NEW_PATCHES}
 SELECT project_id, path, line_no, text FROM new_patches""",
 )
 def new_file_patches(spark, sf):
@@ -808,7 +814,7 @@ def new_file_patches(spark, sf):
 
 @register(
     "patched_content",
-    f"""WITH {o.SCAN_UNCAPPED}, {o.FIXES}, {o.TEMPLATE}, {o.NOTE}, {o.NEW_PATCHES}
+    f"""WITH {o.SCAN}, {o.FIXES}, {o.TEMPLATE}, {o.NOTE}, {o.NEW_PATCHES}
 SELECT project_id, path, k + 3 AS line_no, text FROM new_contents""",
 )
 def patched_content(spark, sf):
@@ -829,7 +835,7 @@ def patch_bundle(spark, sf):
 
 @register(
     "patch_banners",
-    f"""WITH {o.SCAN_UNCAPPED}, {o.FIXES}
+    f"""WITH {o.SCAN}, {o.FIXES}
 SELECT project_id, n, '# Fix ' || n || '/' || total || ': ' || rule_id AS title FROM suggested""",
 )
 def patch_banners(spark, sf):
@@ -1175,7 +1181,7 @@ def review_usage(spark, sf):
     """SELECT conv_id, turn, CASE WHEN form = 2 THEN false ELSE true END AS valid,
   CASE WHEN form = 0 THEN 'src/t' || turn || '.ts' ELSE 'found/' || conv_id || '.ts' END AS "filePath",
   CASE WHEN form = 2 THEN 0 ELSE 0.5 END::DOUBLE AS confidence
-FROM (SELECT *, (conv_id + turn) % 4 AS form FROM conversations WHERE role <> 'system')""",
+FROM (SELECT *, (conv_id + turn) % 4 AS form FROM conversations)""",
 )
 def fix_response_fill(spark, sf):
     form = (F.col("conv_id") + F.col("turn")) % 4
@@ -1189,7 +1195,6 @@ def fix_response_fill(spark, sf):
     )
     given = (
         corpus.table(spark, sf, "conversations")
-        .where("role <> 'system'")
         .select(
             "conv_id",
             "turn",
@@ -1203,7 +1208,7 @@ def fix_response_fill(spark, sf):
 
 @register(
     "suggested_rules",
-    """WITH s AS (SELECT conv_id, turn, unnest([0, 1]) AS place FROM conversations WHERE role = 'user' AND (conv_id + turn) % 5 <> 0)
+    """WITH s AS (SELECT conv_id, turn, unnest([0, 1]) AS place FROM conversations WHERE (conv_id + turn) % 5 <> 0)
 SELECT 'rule-' || conv_id || '-' || turn || '-' || place AS rule_id,
   CASE WHEN (turn + place) % 4 = 3 THEN 'unknown severity' WHEN place = 1 AND turn % 2 = 0 THEN 'no usable pattern' ELSE '' END AS reason FROM s""",
 )
@@ -1234,7 +1239,6 @@ def suggested_rules(spark, sf):
     )
     given = (
         corpus.table(spark, sf, "conversations")
-        .where("role = 'user'")
         .select("conv_id", "turn", response.alias("response"))
     )
     checked = review.parse_answer(given, review.SUGGESTED_RULES)

@@ -1,59 +1,65 @@
-"""Edit hunks between two versions of one small file, evaluated on Arrow batches."""
+"""Unified-diff hunks of files that only lose lines."""
 
 from __future__ import annotations
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# Lines of context shown, and equal lines needed to end a hunk.
+# Lines of context around a change; changes whose context would touch share a hunk.
 CONTEXT = 3
-AGREEMENT = 3
 
+_SPANS = "array<struct<first:int,last:int>>"
 
-def _agree(old: list[str], i: int, new: list[str], j: int) -> bool:
-    ahead = old[i : i + AGREEMENT]
-    return bool(ahead) and ahead == new[j : j + AGREEMENT]
 
+def removal_hunks(lines: Column, removed: Column) -> Column:
+    """Header and body lines of all hunks, as an array of text.
 
-def edit_hunks(old: list[str], new: list[str]) -> list[str]:
-    """Header and body lines of all hunks.
-
-    Greedy: lines are taken from the old side while they differ and from the new side while they do
-    not, until the next three lines agree. The counts in a header follow the same bookkeeping as
-    the results this must equal, which counts leading context on the new side only from the fourth
-    line on.
+    ``lines`` are the old lines, ``removed`` the 0-based places of those that go, ascending. Since
+    nothing is added, a hunk follows from the places alone: its old side is the removed lines and
+    their context, its new side the same without them.
     """
-    out: list[str] = []
-    i = j = 0
-    while True:
-        while i < len(old) and j < len(new) and old[i] == new[j]:
-            i, j = i + 1, j + 1
-        if i >= len(old) and j >= len(new):
-            return out
-        lead = old[max(0, i - CONTEXT) : i]
-        from_old, from_new = i, j
-        body: list[str] = []
-        while (i < len(old) or j < len(new)) and not _agree(old, i, new, j):
-            if i < len(old) and (j >= len(new) or old[i] != new[j]):
-                body.append("-" + old[i])
-                i += 1
-            else:
-                body.append("+" + new[j])
-                j += 1
-        tail = old[i : i + CONTEXT]
-        old_count = len(lead) + (i - from_old) + len(tail)
-        new_count = (from_new - from_old) + (j - from_new) + min(len(tail), max(0, len(new) - j))
-        if from_old > CONTEXT:
-            new_count += len(lead)
-        out.append(
-            f"@@ -{from_old - len(lead) + 1},{old_count} "
-            f"+{from_new - len(lead) + 1},{new_count} @@"
-        )
-        out += [" " + line for line in lead] + body + [" " + line for line in tail]
-        i, j = i + len(tail), j + len(tail)
+    spans = F.aggregate(
+        removed,
+        F.lit(None).cast(_SPANS),
+        lambda done, r: F.when(
+            F.element_at(done, -1)["last"] + 2 * CONTEXT >= r - 1,
+            F.concat(
+                F.slice(done, 1, F.size(done) - 1),
+                F.array(F.struct(F.element_at(done, -1)["first"].alias("first"), r.cast("int").alias("last"))),
+            ),
+        ).otherwise(
+            F.concat(
+                F.coalesce(done, F.array().cast(_SPANS)),
+                F.array(F.struct(r.cast("int").alias("first"), r.cast("int").alias("last"))),
+            )
+        ),
+    )
 
+    def hunk(span: Column) -> Column:
+        start = F.greatest(F.lit(0), span["first"] - CONTEXT)
+        end = F.least(F.size(lines) - 1, span["last"] + CONTEXT)
+        gone = F.size(F.filter(removed, lambda r: (r >= start) & (r <= end)))
+        before = F.size(F.filter(removed, lambda r: r < start))
+        kept = end - start + 1 - gone
+        # An empty side is numbered by the line before it.
+        new_start = start - before + F.when(kept > 0, 1).otherwise(0)
+        header = F.concat(
+            F.lit("@@ -"),
+            (start + 1).cast("string"),
+            F.lit(","),
+            (end - start + 1).cast("string"),
+            F.lit(" +"),
+            new_start.cast("string"),
+            F.lit(","),
+            kept.cast("string"),
+            F.lit(" @@"),
+        )
+        body = F.transform(
+            F.sequence(start, end),
+            lambda i: F.concat(
+                F.when(F.array_contains(removed, i), "-").otherwise(" "), F.get(lines, i)
+            ),
+        )
+        return F.concat(F.array(header), body)
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def edit_hunks_column(old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([edit_hunks(list(a), list(b)) for a, b in zip(old, new, strict=True)])
+    return F.flatten(F.transform(F.coalesce(spans, F.array().cast(_SPANS)), hunk))

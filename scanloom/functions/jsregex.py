@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-import regex as checker
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +17,7 @@ from pyspark.sql import types as T
 from scanloom.functions.text import WS_CHARS
 
 # Flags JavaScript accepts, and the inline flag each needs here.
-_FLAGS = {"g": "", "y": "", "d": "", "i": "i", "s": "", "m": "", "u": ""}
+_FLAGS = {"g": "", "y": "", "d": "", "i": "i", "s": "", "m": "", "u": "", "v": ""}
 
 _WORD = "[A-Za-z0-9_]"
 _EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
@@ -26,18 +25,34 @@ _NO_EDGE = f"(?:(?<={_WORD})(?={_WORD})|(?<!{_WORD})(?!{_WORD}))"
 _LINE_ENDS = r"\n\r\x{2028}\x{2029}"
 _SAME_ESCAPES = set("dDwWtnrfv")
 _TOKEN = re.compile(
-    r"\\u\{[0-9A-Fa-f]+\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\c[A-Za-z]"
+    r"\\[pP]\{[^{}]*\}|\\u\{[0-9A-Fa-f]+\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\c[A-Za-z]"
     r"|\\k<[^>]+>|\\[1-9][0-9]*|\\.|\(\?(?:<[A-Za-z$_][^>=!]*>|<?[=!]|:)|[*+?]\??|\{\d+(?:,\d*)?\}\??|.",
     re.S,
 )
 
 
+def _plain_tokens(pattern: str, flags: str) -> list[str]:
+    """The pattern in pieces; what only Unicode patterns or named groups know is taken apart elsewhere."""
+    out = []
+    unicode = "u" in flags or "v" in flags
+    named = unicode or re.search(r"\(\?<[^=!]", pattern) is not None
+    for token in _TOKEN.findall(pattern):
+        apart = (token[:2] in (r"\p", r"\P") and not unicode) or (token[:3] == r"\k<" and not named)
+        out += [token[:2], *token[2:]] if apart and len(token) > 2 else [token]
+    return out
+
+
 def _escape(token: str, in_class: bool) -> str:
     kind = token[1]
+    if kind in "pP" and len(token) > 2:
+        name = token[3:-1].replace("Script_Extensions=", "script=").replace("General_Category=", "gc=")
+        return f"\\{kind}{{{name}}}"
+    if kind == "c" and len(token) == 3:
+        return f"\\x{{{ord(token[2]) % 32:X}}}"
     if kind == "s":
         return WS_CHARS if in_class else f"[{WS_CHARS}]"
     if kind == "S":
-        return f"[^{WS_CHARS}]" if not in_class else f"&&[^{WS_CHARS}]"
+        return f"[^{WS_CHARS}]"
     if kind == "b":
         return r"\x08" if in_class else _EDGE
     if kind == "B" and not in_class:
@@ -89,7 +104,7 @@ def required_text(pattern: str, flags: str = "") -> tuple[tuple[str, ...], tuple
     The longest run of plain characters outside groups and classes. Patterns with alternatives are
     left alone.
     """
-    tokens = _TOKEN.findall(pattern)
+    tokens = _plain_tokens(pattern, flags)
     if "|" in tokens or ("i" in flags and "u" in flags):
         return (), ()
     runs, run, depth, in_class = [], "", 0, False
@@ -119,54 +134,95 @@ def required_text(pattern: str, flags: str = "") -> tuple[tuple[str, ...], tuple
     return ((), (best.lower(),)) if "i" in flags else ((best,), ())
 
 
+def _reversed_range(pattern: str) -> bool:
+    """Whether a class holds a range of plain characters that ends before it begins."""
+    for body in re.findall(r"(?<!\\)\[\^?((?:[^\]\\]|\\.)*)\]", pattern, re.S):
+        tokens = _TOKEN.findall(body)
+        k = 0
+        while k + 2 < len(tokens):
+            if tokens[k + 1] == "-":
+                if len(tokens[k]) == len(tokens[k + 2]) == 1 and tokens[k] > tokens[k + 2]:
+                    return True
+                k += 3
+            else:
+                k += 1
+    return False
+
+
 def java_regex(pattern: str, flags: str = "") -> str | None:
-    """The pattern for Spark's regex functions, or None where JavaScript rejects it."""
-    if any(f not in _FLAGS for f in flags) or len(set(flags)) != len(flags):
+    """The pattern for Spark's regex functions, or None where JavaScript rejects it.
+
+    What Java refuses beyond that shows when rules are compiled, see ``rulebook.compiling``.
+    """
+    if any(f not in _FLAGS for f in flags) or len(set(flags)) != len(flags) or {"u", "v"} <= set(flags):
         return None
     out: list[str] = []
-    in_class = quantifiable = False
+    in_class = quantifiable = not_blank = False
     depth = opened = 0
-    tokens = _TOKEN.findall(pattern)
+    if _reversed_range(pattern):
+        return None
+    tokens = _plain_tokens(pattern, flags)
+    # Names of groups are freer in JavaScript; here they are numbered.
+    names = [t[3:-1] for t in tokens if t.startswith("(?<") and t[3:4] not in ("=", "!")]
+    if len(set(names)) != len(names):
+        return None
+    groups = {name: f"name{k}" for k, name in enumerate(names)}
     for i, token in enumerate(tokens):
         if in_class:
             if token == "]":
                 in_class = False
                 body = "".join(out[opened + 1 :])
+                if not_blank:
+                    # Anything but blanks, and the rest of the class.
+                    rest = body.removeprefix("^")
+                    if body == WS_CHARS:
+                        text = r"[\s\S]"
+                    elif body.startswith("^"):
+                        text = f"(?:(?![{rest}])[{WS_CHARS}])" if rest else f"[{WS_CHARS}]"
+                    else:
+                        text = f"(?:[^{WS_CHARS}]|[{rest}])" if rest else f"[^{WS_CHARS}]"
+                    out[opened:] = [text]
                 # An empty class matches nothing, its negation anything.
-                if body in ("", "^"):
+                elif body in ("", "^"):
                     out[opened:] = [r"[\s\S]" if body else r"[^\s\S]"]
                 else:
                     out.append("]")
             elif token == "^" and len(out) == opened + 1:
                 out.append("^")
             elif token.startswith("\\") and len(token) > 1:
-                if token == "\\S":
-                    return None
-                out.append(_escape(token, True))
+                if token == r"\S":
+                    not_blank = True
+                else:
+                    out.append(_escape(token, True))
             else:
                 out.append("".join("\\" + c if c in "[&~^" else c for c in token))
             quantifiable = True
             continue
         if token[0] in "*+?" or (token[0] == "{" and len(token) > 1):
-            if not quantifiable:
+            bounds = re.fullmatch(r"\{(\d+),(\d+)\}\??", token)
+            if not quantifiable or (bounds and int(bounds[1]) > int(bounds[2])):
                 return None
             out.append(token)
             quantifiable = False
             continue
         quantifiable = True
         if token == "[":
-            in_class = True
+            in_class, not_blank = True, False
             opened = len(out)
             out.append("[")
         elif token == "\\":
             return None
         elif token == r"\b":
             out.append(_edge(tokens, i))
+        elif token[:3] == r"\k<":
+            if token[3:-1] not in groups:
+                return None
+            out.append(rf"\k<{groups[token[3:-1]]}>")
         elif token[0] == "\\":
             out.append(_escape(token, False))
         elif token[0] == "(":
             depth += 1
-            out.append(token)
+            out.append(f"(?<{groups[token[3:-1]]}>" if token[3:-1] in groups and token.startswith("(?<") else token)
             quantifiable = False
         elif token == ")":
             depth -= 1
@@ -190,21 +246,12 @@ def java_regex(pattern: str, flags: str = "") -> str | None:
         return None
     text = "".join(out)
     if "i" in flags:
-        text = f"(?iu:{text})" if "u" in flags else f"(?i:{text})"
+        text = f"(?iu:{text})" if "u" in flags or "v" in flags else f"(?i:{text})"
     if "y" in flags:
         text = f"\\A(?:{text})"
-    # Java's case folding for all of Unicode is spelled "iu"; the checker folds Unicode by itself.
-    try:
-        checker.compile(re.sub(r"\\x\{([0-9A-Fa-f]+)\}", _python_char, text).replace(r"\z", r"\Z").replace("(?iu:", "(?i:"))
-    except checker.error:
-        return None
     return text
 
 
-def _python_char(m: re.Match) -> str:
-    return "\\U" + m.group(1).rjust(8, "0")
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def java_regex_column(patterns: pd.Series, flags: pd.Series) -> pd.Series:
     """Translate arrays of patterns; a pattern JavaScript rejects becomes null."""

@@ -11,18 +11,21 @@ from scanloom import schemas
 from scanloom.functions import text
 from scanloom.operators.numbering import number_rows
 from scanloom.operators.rulebook import Rulebook
+from scanloom.plans.storage import settle
 
 _FILE = ("project_id", "path")
 _IN_FILE = ("rule_ordinal", "ord", "sub", "code")
 ORDER = ("severity_rank", "path", "rule_ordinal", "seq")
 
 
-def cap_per_file(hits: DataFrame, cap: int = schemas.MAX_FINDINGS_PER_FILE) -> DataFrame:
-    """The first ``cap`` hits of each file in rule order.
+def cap_per_file(hits: DataFrame, cap: int | None) -> DataFrame:
+    """The first ``cap`` hits of each file in rule order; all of them without a cap.
 
     The limit is applied on the map side first, so a file with very many hits ships at most
     ``cap`` rows per task.
     """
+    if cap is None:
+        return hits
     w = Window.partitionBy(*_FILE).orderBy(*_IN_FILE)
     return hits.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= cap).drop(
         "_place"
@@ -141,9 +144,9 @@ def ranked(findings: DataFrame) -> DataFrame:
     return findings.withColumn("severity_rank", schemas.severity_rank(F.col("severity")))
 
 
-def in_report_order(findings: DataFrame, **limits: int) -> DataFrame:
+def in_report_order(findings: DataFrame) -> DataFrame:
     """Add ``finding_index``, 0-based: critical, medium, low, then path, rule and position."""
-    return number_rows(ranked(findings), ["project_id"], ORDER, "finding_index", **limits)
+    return number_rows(ranked(findings), ["project_id"], ORDER, "finding_index")
 
 
 def review_batches(indexed: DataFrame, size: int = schemas.REVIEW_BATCH) -> DataFrame:
@@ -162,15 +165,20 @@ def top_risks(findings: DataFrame, k: int = schemas.TOP_RISKS) -> DataFrame:
 
 
 def report_positions(
-    findings: DataFrame, severities: Sequence[str] = schemas.SEVERITIES, **limits: int
+    findings: DataFrame, severities: Sequence[str] = schemas.SEVERITIES
 ) -> DataFrame:
     """Places of the visible findings when a report is sorted by severity, file or rule.
 
-    Each sort is stable over the report order.
+    Each sort is stable over the report order. The three are numbered side by side, two of them on
+    what identifies a finding and its sort key alone, and joined.
     """
-    visible = ranked(findings).where(F.col("severity").isin(*severities))
-    visible = number_rows(visible, ["project_id"], ORDER, "by_severity", **limits)
+    visible = settle(ranked(findings).where(F.col("severity").isin(*severities)))
+    identity = ["project_id", "path", "rule_ordinal", "seq"]
+    key = [*identity, "severity_rank", "rule_id"]
     by_file = ["path", "severity_rank", "rule_ordinal", "seq"]
     by_rule = ["rule_id", *ORDER]
-    visible = number_rows(visible, ["project_id"], by_file, "by_file", **limits)
-    return number_rows(visible, ["project_id"], by_rule, "by_rule", **limits)
+    placed = number_rows(visible, ["project_id"], ORDER, "by_severity")
+    for order, name in ((by_file, "by_file"), (by_rule, "by_rule")):
+        places = number_rows(visible.select(*key), ["project_id"], order, name)
+        placed = placed.join(places.select(*identity, name), identity)
+    return placed.select(*visible.columns, "by_severity", "by_file", "by_rule")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.functions import paths, scalars, text
-from scanloom.functions.editdiff import edit_hunks_column
+from scanloom.functions.editdiff import removal_hunks
 from scanloom.operators import catalog
 from scanloom.operators.numbering import number_rows
 from scanloom.operators.reports import iso_instant
@@ -142,7 +142,7 @@ def _noted(findings: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def logging_note(
-    findings: DataFrame, listing: DataFrame, as_of: Column, **limits: int
+    findings: DataFrame, listing: DataFrame, as_of: Column
 ) -> DataFrame:
     """Lines of the logging note of each project with affected files, files in path order."""
     files = _noted(findings, listing)
@@ -169,7 +169,7 @@ def logging_note(
     )
     foot = F.array(*[F.lit(line) for line in NOTE_FOOTER])
     top = totals.select("project_id", F.posexplode(head).alias("k", "text"))
-    rows = number_rows(files, ["project_id"], ["path"], "i", **limits).select(
+    rows = number_rows(files, ["project_id"], ["path"], "i").select(
         "project_id",
         (F.col("i") + _NOTE_HEAD_LINES).alias("k"),
         F.concat(
@@ -211,19 +211,24 @@ def docker_edits(files: DataFrame) -> DataFrame:
         files.where(paths.applies_to(F.col("path"), catalog.DOCKER.applicable_to))
         .where(F.rlike("content", F.lit("(?i)expose")))
         .select("project_id", "path", text.split_lines(F.col("content")).alias("old"))
-        .withColumn("new", F.filter("old", lambda line: ~F.rlike(line, exposed)))
-        .where(F.size("new") < F.size("old"))
+        .withColumn("places", F.transform("old", lambda line, i: F.when(F.rlike(line, exposed), i)))
+        .withColumn("removed", F.array_compact("places"))
+        .drop("places")
+        .where(F.size("removed") > 0)
     )
 
 
+def kept_lines(old: Column, removed: Column) -> Column:
+    """The lines that stay."""
+    return F.filter(old, lambda _, i: ~F.array_contains(removed, i))
+
+
 def _docker_patch_lines(edits: DataFrame, as_of: Column) -> DataFrame:
     stamp = scalars.diff_stamp(as_of)
-    # An emptied file is one empty line, as the text of no lines is.
-    new = F.when(F.size("new") == 0, F.array(F.lit(""))).otherwise(F.col("new"))
     old_header = F.concat(F.lit("--- a/"), "path", F.lit("\t"), stamp)
     new_header = F.concat(F.lit("+++ b/"), "path", F.lit("\t"), stamp)
     return (
-        edits.withColumn("hunks", edit_hunks_column(F.col("old"), new))
+        edits.withColumn("hunks", removal_hunks(F.col("old"), F.col("removed")))
         .select(
             "project_id",
             F.lit(3).alias("fix_ordinal"),
@@ -240,7 +245,7 @@ def _docker_patch_lines(edits: DataFrame, as_of: Column) -> DataFrame:
 
 
 def suggestions(
-    files: DataFrame, listing: DataFrame, findings: DataFrame, **limits: int
+    files: DataFrame, listing: DataFrame, findings: DataFrame
 ) -> DataFrame:
     """All fix suggestions, numbered within their project from 1.
 
@@ -291,16 +296,16 @@ def suggestions(
     )
     every = settle(env.unionByName(note).unionByName(docker))
     numbered = number_rows(
-        every, ["project_id"], ["fix_ordinal", "path", "occurrence"], "n", **limits
+        every, ["project_id"], ["fix_ordinal", "path", "occurrence"], "n"
     )
     return numbered.withColumn("n", F.col("n") + 1)
 
 
 def patch_lines(
-    files: DataFrame, listing: DataFrame, findings: DataFrame, as_of: Column, **limits: int
+    files: DataFrame, listing: DataFrame, findings: DataFrame, as_of: Column
 ) -> DataFrame:
     """The lines of every patch, once per patched file."""
-    note = logging_note(findings, listing, as_of, **limits)
+    note = logging_note(findings, listing, as_of)
     named = (
         findings.where(F.col("rule_id") == catalog.DOCKER.rule_id)
         .select("project_id", "path")
@@ -476,7 +481,7 @@ def fix_report(
 
 
 def targeted_suggestions(
-    files: DataFrame, listing: DataFrame, rule_id: str, path: str | None = None, **limits: int
+    files: DataFrame, listing: DataFrame, rule_id: str, path: str | None = None
 ) -> DataFrame:
     """Suggestions that follow from one rule, on one file or on all it applies to.
 
@@ -486,5 +491,5 @@ def targeted_suggestions(
     aimed = files if path is None else files.where(F.col("path") == path)
     found = analyze(aimed, [rule_id], listing)
     concerned = found.select("project_id").distinct()
-    made = suggestions(files, listing, found, **limits)
+    made = suggestions(files, listing, found)
     return made.join(concerned, "project_id", "left_semi")

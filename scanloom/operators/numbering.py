@@ -1,8 +1,8 @@
 """Row numbers within groups that may be arbitrarily large.
 
-A plain ``row_number()`` sends a whole group to one task. Here groups above ``hot_rows`` are cut into
-ranges of their sort key first; rows are numbered inside each range and shifted by the number of
-rows in the ranges before it. The numbers are the same, the largest unit of work is one range.
+A plain ``row_number()`` sends a whole group to one task. Here rows are dealt by ranges of (group,
+sort key), so a group of any size is spread over tasks; each task numbers what it holds, and the
+rows that a group has in earlier ranges are added. The plan is the same for all sizes.
 """
 
 from __future__ import annotations
@@ -12,62 +12,33 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 2_000_000
-RANGES = 512
+from scanloom.plans.storage import settle
 
 
-def number_rows(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[str],
-    name: str,
-    hot_rows: int = HOT_ROWS,
-    ranges: int = RANGES,
-) -> DataFrame:
+def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Add ``name``, the 0-based place of each row of its group in ascending order.
 
-    ``order`` must identify a row within its group. ``df`` is read several times and should be a
-    stored table (see ``plans.storage.settle``); it is counted at once, and without a hot group a
-    plain window is all there is. Rows in hot groups get their range from cut keys picked by hash,
-    about ``ranges`` per group; the cut keys are joined without a hint, so Spark broadcasts them
-    only when they are small and handles the skewed side otherwise.
+    ``order`` must identify a row within its group. The input is read once to choose the ranges and
+    once to deal the rows out; the dealt rows are kept, since their counts and they themselves are
+    both needed. The counts hold a row per group and range.
     """
     group, order = list(group), list(order)
-    key = F.struct(*order)
-    hot = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    if hot.isEmpty():
-        plain = Window.partitionBy(*group).orderBy(*order)
-        return df.withColumn(name, (F.row_number().over(plain) - 1).cast("bigint"))
-    every = F.greatest(F.lit(1), F.expr(f"_n div {ranges}"))
-    cuts = (
-        df.join(hot, group)
-        .where(F.pmod(F.xxhash64(*group, *order), every) == 0)
-        .groupBy(*group)
-        .agg(F.array_sort(F.collect_list(key)).alias("_cuts"))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(partitions, *group, *order).sortWithinPartitions(*group, *order)
+    # The task's number above the row's place in it.
+    dealt = settle(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("_range", F.shiftright("_at", 33))
+    parts = dealt.groupBy(*group, "_range").agg(
+        F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
-    ranged = (
-        df.join(cuts, group, "left")
-        .withColumn(
-            "_range",
-            F.coalesce(F.size(F.filter("_cuts", lambda c: c <= key)), F.lit(0)),
-        )
-        .drop("_cuts")
-    )
-    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    shifts = (
-        df.join(cuts, group)
-        .withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= key)))
-        .groupBy(*group, "_range")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
-    within = Window.partitionBy(*group, "_range").orderBy(*order)
-    return (
-        ranged.withColumn("_k", F.row_number().over(within) - 1)
-        .join(shifts, [*group, "_range"], "left")
-        .withColumn(name, (F.col("_k") + F.coalesce("_shift", F.lit(0))).cast("bigint"))
-        .drop("_range", "_k", "_shift")
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(
+        *[F.col(c).alias(f"_{k}") for k, c in enumerate(group)],
+        F.col("_range").alias("_of"),
+        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
+    same = F.col("_range") == F.col("_of")
+    for k, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{k}"))
+    placed = dealt.join(parts, same).withColumn(name, F.col("_at") + F.col("_shift"))
+    return placed.select(*df.columns, name)

@@ -77,7 +77,7 @@ def _listed(indexed: DataFrame, section: Column, json: Column) -> DataFrame:
 
 
 def _by_severity(
-    head: Column, tail: Column, projects: DataFrame, findings: DataFrame, limits: Mapping[str, int]
+    head: Column, tail: Column, projects: DataFrame, findings: DataFrame
 ) -> DataFrame:
     """A document with the findings in one list per severity."""
     frame = _fixed_parts(
@@ -95,14 +95,13 @@ def _by_severity(
         ["project_id", "severity_rank"],
         ["path", "rule_ordinal", "seq"],
         "item",
-        **limits,
     )
     section = F.col("severity_rank") * 2 + 1
     return frame.unionByName(_listed(rows, section, F.to_json(finding_struct())))
 
 
 def json_report(
-    scores: DataFrame, findings: DataFrame, as_of: Column, provider: str = "none", **limits: int
+    scores: DataFrame, findings: DataFrame, as_of: Column, provider: str = "none"
 ) -> DataFrame:
     """The scan report of each project: counts, score, gate and findings by severity.
 
@@ -119,7 +118,7 @@ def json_report(
             "passed",
         )
     )
-    return _by_severity(_open_object(head), F.lit("}"), scores, findings, limits)
+    return _by_severity(_open_object(head), F.lit("}"), scores, findings)
 
 
 def sarif_rules(rules: DataFrame) -> DataFrame:
@@ -172,7 +171,7 @@ def _sarif_result() -> Column:
 
 
 def sarif_report(
-    projects: DataFrame, findings: DataFrame, rules: DataFrame, **limits: int
+    projects: DataFrame, findings: DataFrame, rules: DataFrame
 ) -> DataFrame:
     """The exchange document of each project. The rule list is configuration and fits one part."""
     listed = sarif_rules(rules).agg(
@@ -190,17 +189,17 @@ def sarif_report(
         F.lit(']}},"results":['),
     )
     frame = _fixed_parts(projects, {0: head, 2: F.lit("]}]}")})
-    rows = sarif_results(ops.in_report_order(findings, **limits), rules).withColumnRenamed(
+    rows = sarif_results(ops.in_report_order(findings), rules).withColumnRenamed(
         "finding_index", "item"
     )
     return frame.unionByName(_listed(rows, F.lit(1), _sarif_result()))
 
 
-def html_rows(findings: DataFrame, rules: DataFrame, **limits: int) -> DataFrame:
+def html_rows(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """The rows behind the interactive report."""
     described = rules.select("rule_id", F.col("description").alias("rule_description"))
     return (
-        ops.in_report_order(findings, **limits)
+        ops.in_report_order(findings)
         .join(described, "rule_id", "left")
         .select(
             "project_id",
@@ -217,7 +216,7 @@ def html_rows(findings: DataFrame, rules: DataFrame, **limits: int) -> DataFrame
 
 
 def html_payload(
-    projects: DataFrame, findings: DataFrame, rules: DataFrame, **limits: int
+    projects: DataFrame, findings: DataFrame, rules: DataFrame
 ) -> DataFrame:
     """The same rows as JSON that is safe inside a script element."""
     json = F.to_json(
@@ -233,7 +232,7 @@ def html_payload(
         )
     )
     frame = _fixed_parts(projects, {0: F.lit("["), 2: F.lit("]")})
-    rows = html_rows(findings, rules, **limits).withColumn("item", F.col("idx"))
+    rows = html_rows(findings, rules).withColumn("item", F.col("idx"))
     return frame.unionByName(_listed(rows, F.lit(1), scalars.script_safe(json)))
 
 
@@ -292,7 +291,7 @@ def risk_summary_json(summary: DataFrame, as_of: Column) -> DataFrame:
 
 
 def risk_detail(
-    scores: DataFrame, findings: DataFrame, as_of: Column, **limits: int
+    scores: DataFrame, findings: DataFrame, as_of: Column
 ) -> DataFrame:
     """The detailed risk report of each project as a document."""
     head = F.to_json(
@@ -303,10 +302,10 @@ def risk_detail(
             _counts_struct(total=True).alias("summary"),
         )
     )
-    return _by_severity(_open_object(head), F.lit("}"), scores, findings, limits)
+    return _by_severity(_open_object(head), F.lit("}"), scores, findings)
 
 
-def latest_scan_view(latest: DataFrame, findings: DataFrame, **limits: int) -> DataFrame:
+def latest_scan_view(latest: DataFrame, findings: DataFrame) -> DataFrame:
     """The latest fresh scan of each project with its findings, or a message where there is none.
 
     ``latest`` comes from ``history.latest_fresh``: a null ``ts`` marks projects without one.
@@ -338,7 +337,7 @@ def latest_scan_view(latest: DataFrame, findings: DataFrame, **limits: int) -> D
         },
     )
     shown = findings.join(fresh.select("project_id"), "project_id", "left_semi")
-    rows = ops.in_report_order(shown, **limits).withColumnRenamed("finding_index", "item")
+    rows = ops.in_report_order(shown).withColumnRenamed("finding_index", "item")
     return (
         frame.unionByName(_listed(rows, F.lit(1), F.to_json(finding_struct()))).unionByName(stale)
     )

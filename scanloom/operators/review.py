@@ -177,9 +177,9 @@ def parse_answer(answers: DataFrame, fields: tuple[Field, ...], text: str = "res
 # --- requests ------------------------------------------------------------------------------------
 
 
-def analysis_requests(findings: DataFrame, **limits: int) -> DataFrame:
+def analysis_requests(findings: DataFrame) -> DataFrame:
     """One request per finding, numbered in report order and batched by ten."""
-    indexed = ops.review_batches(ops.in_report_order(findings, **limits))
+    indexed = ops.review_batches(ops.in_report_order(findings))
     payload = F.to_json(finding_struct())
     return indexed.select(
         "project_id",
@@ -204,9 +204,9 @@ def fill_failed(requests: DataFrame, analyses: DataFrame) -> DataFrame:
     )
 
 
-def ranking_request(findings: DataFrame, analyses: DataFrame, **limits: int) -> DataFrame:
+def ranking_request(findings: DataFrame, analyses: DataFrame) -> DataFrame:
     """The ranking payload of each project as parts: a list of index, finding and analysis."""
-    indexed = ops.in_report_order(findings, **limits).join(
+    indexed = ops.in_report_order(findings).join(
         analyses.select(
             "project_id", "finding_index", F.struct(*[f.name for f in ANALYSIS]).alias("analysis")
         ),

@@ -13,26 +13,34 @@ from scanloom.operators import catalog, detect, findings
 from scanloom.operators.rulebook import Rulebook
 
 
-def scannable(files: DataFrame) -> DataFrame:
-    """Files a scan reads: names in scope, read without trouble and not too large."""
+def scannable(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Files a scan reads: names in scope, read without trouble, and not above a limit if one is given.
+
+    ``schemas.MAX_FILE_BYTES`` is the usual limit; without one every file is scanned whole.
+    """
     kept = files.where(paths.in_scan_scope(F.col("path")))
     if "status" in files.columns:
         kept = kept.where(F.col("status") == "ok")
-    if "size" in files.columns:
-        kept = kept.where(F.col("size") <= schemas.MAX_FILE_BYTES)
+    if max_bytes is not None and "size" in files.columns:
+        kept = kept.where(F.col("size").isNull() | (F.col("size") <= max_bytes))
     return kept
 
 
-def read_outcomes(files: DataFrame) -> DataFrame:
-    """Files in scope with their status; files that are too large are skipped, not read."""
+def read_outcomes(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Files in scope with their status; files above the limit, if one is given, are too large."""
     status = F.col("status") if "status" in files.columns else F.lit("ok")
     size = F.col("size") if "size" in files.columns else F.lit(0)
     error = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
-    return files.where(paths.in_scan_scope(F.col("path"))).select(
+    # A folder that could not be listed is no file in scope, but an error all the same.
+    folder = F.endswith("path", F.lit("/")) & (status == "read_error")
+    return files.where(paths.in_scan_scope(F.col("path")) | folder).select(
         "project_id",
         "path",
-        F.when((status == "ok") & (size > schemas.MAX_FILE_BYTES), "too_large")
-        .otherwise(status)
+        (
+            status
+            if max_bytes is None
+            else F.when((status == "ok") & (size > max_bytes), "too_large").otherwise(status)
+        )
         .alias("status"),
         error.alias("error"),
     )
@@ -42,9 +50,9 @@ def hits(
     files: DataFrame,
     listing: DataFrame | None = None,
     book: Rulebook | None = None,
-    cap: int = schemas.MAX_FINDINGS_PER_FILE,
+    cap: int | None = None,
 ) -> DataFrame:
-    """Capped hits of a whole scan."""
+    """Hits of a whole scan, at most ``cap`` per file if one is given."""
     listing = files.select("project_id", "path") if listing is None else listing
     return findings.cap_per_file(detect.detect(scannable(files), listing, book), cap)
 
@@ -53,9 +61,12 @@ def scan(
     files: DataFrame,
     listing: DataFrame | None = None,
     book: Rulebook | None = None,
-    cap: int = schemas.MAX_FINDINGS_PER_FILE,
+    cap: int | None = None,
 ) -> DataFrame:
-    """Findings of a whole scan, at most ``cap`` per file."""
+    """Findings of a whole scan; all of them, unless ``cap`` limits them per file.
+
+    ``schemas.MAX_FINDINGS_PER_FILE`` is the usual limit of a report.
+    """
     return findings.to_findings(hits(files, listing, book, cap), book)
 
 
@@ -122,7 +133,7 @@ def project_scores(
     listing: DataFrame | None = None,
     book: Rulebook | None = None,
     threshold: int = schemas.DEFAULT_THRESHOLD,
-    cap: int = schemas.MAX_FINDINGS_PER_FILE,
+    cap: int | None = None,
 ) -> DataFrame:
     """Counts, score and gate per project. Only project and pattern code leave the scan."""
     book = book or Rulebook()

@@ -37,8 +37,9 @@ def _skipped(relative: str) -> bool:
     return name.startswith(".") or any(ends)
 
 
-def _scan(root: str, directory: str) -> tuple[list[os.DirEntry], list[str]]:
-    """Entries of one directory: what is no directory, and the relative names of its folders."""
+def _scan(root: str, directory: str) -> tuple[list[os.DirEntry], list[str], bool]:
+    """Entries of one directory: what is no directory, the relative names of its folders, and whether
+    it could be listed."""
     here = os.path.join(root, directory) if directory else root
     other, folders = [], []
     try:
@@ -51,8 +52,8 @@ def _scan(root: str, directory: str) -> tuple[list[os.DirEntry], list[str]]:
                 else:
                     other.append(e)
     except OSError:
-        pass
-    return other, folders
+        return other, folders, False
+    return other, folders, True
 
 
 class TreeReader(DataSourceReader):
@@ -63,7 +64,8 @@ class TreeReader(DataSourceReader):
     def partitions(self) -> list[Slice]:
         """Open directories from the top until there are enough to share out."""
         done: list[Slice] = []
-        todo = [(os.path.basename(os.path.normpath(r)), os.path.abspath(r), "") for r in self.roots]
+        # The whole path names a project: folders of equal names are different projects.
+        todo = [(os.path.abspath(r), os.path.abspath(r), "") for r in self.roots]
         while todo and len(done) + len(todo) < self.slices:
             project, root, directory = todo.pop(0)
             done.append(Slice(project, root, directory, False))
@@ -74,7 +76,9 @@ class TreeReader(DataSourceReader):
         todo = [partition.directory]
         while todo:
             directory = todo.pop()
-            files, folders = _scan(partition.root, directory)
+            files, folders, listed = _scan(partition.root, directory)
+            if not listed:
+                yield partition.project_id, partition.root, (directory or ".") + "/", None, "unreadable"
             if partition.deep:
                 todo += folders
             for e in files:
@@ -108,12 +112,18 @@ def list_tree(spark: SparkSession, roots: list[str], slices: int = 64) -> DataFr
     return reader.option("slices", str(slices)).load()
 
 
-def _read_one(root: str, path: str, size, kind: str) -> tuple:
+def _read_one(root: str, path: str, size, kind: str, max_bytes: int | None) -> tuple:
+    if kind == "unreadable":
+        try:
+            os.listdir(os.path.join(root, path))
+        except OSError as e:
+            return "read_error", str(e), None
+        return "read_error", "The folder could not be listed", None
     if kind == "symlink":
         return "symlink", None, None
     if kind != "file":
         return "not_file", None, None
-    if size is not None and size > schemas.MAX_FILE_BYTES:
+    if max_bytes is not None and size is not None and size > max_bytes:
         return "too_large", None, None
     try:
         with open(os.path.join(root, path), "rb") as f:
@@ -122,13 +132,15 @@ def _read_one(root: str, path: str, size, kind: str) -> tuple:
         return "read_error", str(e), None
 
 
-def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read_batches(
+    batches: Iterator[pd.DataFrame], max_bytes: int | None
+) -> Iterator[pd.DataFrame]:
     columns = ["project_id", "path", "size", "status", "error", "content"]
     rows, held = [], 0
     for batch in batches:
         for r in batch.itertuples(index=False):
             size = None if pd.isna(r.size) else int(r.size)
-            status, error, content = _read_one(r.root, r.path, size, r.kind)
+            status, error, content = _read_one(r.root, r.path, size, r.kind, max_bytes)
             rows.append((r.project_id, r.path, size, status, error, content))
             held += len(content or "")
             if held > FLUSH_BYTES:
@@ -138,13 +150,19 @@ def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=columns)
 
 
-def read_files(listing: DataFrame, tasks: int | None = None) -> DataFrame:
+def read_files(
+    listing: DataFrame, tasks: int | None = None, max_bytes: int | None = None
+) -> DataFrame:
     """Content and status of the listed files in scope, as ``schemas.FILES``.
 
+    Files above ``max_bytes``, if given, are too large and not read. Folders that could not be listed
+    are read errors.
+
     Content is much larger than its listing, so on large trees the number of tasks should follow
     the size of the content; without one the session's shuffle partitions are used.
     """
-    wanted = listing.where(paths.in_scan_scope(F.col("path"))).select(
+    scope = paths.in_scan_scope(F.col("path")) | (F.col("kind") == "unreadable")
+    wanted = listing.where(scope).select(
         "project_id", "root", "path", F.col("size"), "kind"
     )
     spread = (
@@ -152,4 +170,4 @@ def read_files(listing: DataFrame, tasks: int | None = None) -> DataFrame:
         if tasks
         else wanted.repartition("project_id", "path")
     )
-    return spread.mapInPandas(_read_batches, schemas.FILES)
+    return spread.mapInPandas(lambda batches: _read_batches(batches, max_bytes), schemas.FILES)

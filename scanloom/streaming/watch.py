@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from scanloom import schemas
 from scanloom.operators.rulebook import Rulebook
 from scanloom.plans import scan
 
@@ -16,7 +15,7 @@ def scan_stream(
     checkpoint: str,
     book: Rulebook | None = None,
     listing: DataFrame | None = None,
-    cap: int = schemas.MAX_FINDINGS_PER_FILE,
+    cap: int | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Scan a stream of file rows into a findings table.

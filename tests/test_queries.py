@@ -1,7 +1,4 @@
-"""Registered queries against the second engine on the smallest tables.
-
-All of them run with SCANLOOM_ALL_QUERIES=1; by default a selection that covers each area.
-"""
+"""Registered queries against the second engine on the smallest tables."""
 
 import os
 
@@ -11,12 +8,7 @@ from checks.compare import database, difference
 from checks.queries import REGISTRY
 
 SF = "/root/testdata/sf0.001"
-SOME = (
-    "risk_by_project rule_secrets comment_strip comment_strip_by_line custom_rules rulebook_merge "
-    "all_findings_capped project_scores finding_order report_json fix_suggestions "
-    "latest_fresh_scan review_validate review_result python_rule"
-).split()
-NAMES = list(REGISTRY) if os.environ.get("SCANLOOM_ALL_QUERIES") else SOME
+NAMES = list(REGISTRY)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
 

@@ -45,10 +45,10 @@ def test_number_rows_in_hot_groups(spark):
     for r in sorted(df.collect(), key=lambda r: (r["a"], r["b"])):
         want[r["b"]] = sum(1 for k in want.values() if k[0] == r["g"])
         want[r["b"]] = (r["g"], want[r["b"]])
-    numbered = number_rows(df, ["g"], ["a", "b"], "n", hot_rows=100, ranges=16)
+    numbered = number_rows(df, ["g"], ["a", "b"], "n")
     assert numbered.columns == ["g", "a", "b", "n"]
     assert {r["b"]: (r["g"], r["n"]) for r in numbered.collect()} == want
-    ranged = number_rows(df, ["g"], ["a", "b"], "n", hot_rows=100, ranges=16)
+    ranged = number_rows(df, ["g"], ["a", "b"], "n")
     assert ranged.count() == 3000
 
 

@@ -167,9 +167,9 @@ def test_more_custom_rules_than_one_pass(project, monkeypatch):
 
 def test_cap_keeps_first_rules(project):
     files = project({"a.ts": "cors(); eval(x)\n" * 80})
-    rows = scan.scan(files).groupBy("rule_id").count().collect()
+    rows = scan.scan(files, cap=100).groupBy("rule_id").count().collect()
     assert {r["rule_id"]: r["count"] for r in rows} == {"cors-permissive": 80, "xss-vulnerable": 20}
-    assert scan.analyze(files).count() == 160
+    assert scan.scan(files).count() == scan.analyze(files).count() == 160
 
 
 def test_scores_include_clean_projects(project):
@@ -187,8 +187,9 @@ def test_size_and_status(spark):
         ("p", "package.json", 4, "ok", None, "null"),
     ]
     files = spark.createDataFrame(rows, "project_id string, path string, size bigint, status string, error string, content string")
-    assert scan.scan(files).count() == 1
-    meta = findings.scan_metadata(scan.read_outcomes(files), scan.scan_errors(files), 10).first()
+    assert scan.scan(files).count() == 2
+    assert scan.scannable(files, 10 * 1024 * 1024).count() == 2
+    meta = findings.scan_metadata(scan.read_outcomes(files, 10 * 1024 * 1024), scan.scan_errors(files), 10).first()
     assert (meta["files_scanned"], meta["files_skipped"], meta["files_with_errors"]) == (2, 3, 2)
 
 
@@ -251,4 +252,6 @@ def test_plan_of_the_scan(project):
     assert "Python" not in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert plan.count("regexp_extract_all(content") <= 2
-    assert "WindowGroupLimit" in plan
+    assert "Window" not in plan
+    capped = scan.project_scores(files, cap=100)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in capped

@@ -1,9 +1,10 @@
 import datetime
+import re
 
 from pyspark.sql import functions as F
 
 from scanloom.functions import paths, scalars
-from scanloom.functions.editdiff import edit_hunks
+from scanloom.functions.editdiff import removal_hunks
 from scanloom.operators import findings, history
 
 
@@ -131,24 +132,41 @@ def test_staleness(spark):
     assert one(spark, history.is_stale(F.lit(None).cast("timestamp"), now)) is True
 
 
-def test_edit_hunks():
-    old = ["FROM x", "RUN a", "RUN b", "RUN c", "EXPOSE 5432", "CMD d", "CMD e", "CMD f", "CMD g"]
-    new = [line for line in old if line != "EXPOSE 5432"]
-    assert edit_hunks(old, new) == [
-        "@@ -2,7 +2,6 @@",
-        " RUN a",
-        " RUN b",
-        " RUN c",
-        "-EXPOSE 5432",
-        " CMD d",
-        " CMD e",
-        " CMD f",
-    ]
-    # Within the first three lines the leading context is not counted on the new side.
-    assert edit_hunks(["a", "X", "b", "c", "d"], ["a", "b", "c", "d"])[0] == "@@ -1,5 +1,3 @@"
-    assert edit_hunks(["a"], ["a"]) == []
-    assert edit_hunks([], ["a", "b"]) == ["@@ -1,0 +1,2 @@", "+a", "+b"]
-    # Fewer than three equal lines between two edits do not end a hunk.
-    assert edit_hunks(["X", "a", "X", "b", "c", "d"], ["a", "b", "c", "d"]) == [
-        "@@ -1,6 +1,4 @@", "-X", "+a", "-a", "-X", " b", " c", " d",
-    ]
+def test_removal_hunks(spark):
+    def hunks(old, removed):
+        df = spark.createDataFrame([(old, removed)], "old array<string>, removed array<int>")
+        return df.select(removal_hunks(F.col("old"), F.col("removed"))).first()[0]
+
+    old = [f"l{k}" for k in range(20)]
+    assert hunks(old, []) == []
+    assert hunks(old, [0]) == ["@@ -1,4 +1,3 @@", "-l0", " l1", " l2", " l3"]
+    assert hunks(["a"], [0]) == ["@@ -1,1 +0,0 @@", "-a"]
+    # Six lines between two changes share a hunk, seven do not.
+    assert [x for x in hunks(old, [2, 9]) if x[0] == "@"] == ["@@ -1,13 +1,11 @@"]
+    assert [x for x in hunks(old, [2, 10]) if x[0] == "@"] == ["@@ -1,6 +1,5 @@", "@@ -8,7 +7,6 @@"]
+    text = hunks(old, [5, 18])
+    assert [x[1:] for x in text if x[0] == "-"] == ["l5", "l18"]
+    assert text[-1] == " l19"
+
+
+def test_removal_hunks_apply(spark):
+    import random
+
+    rng = random.Random(1)
+    for _ in range(15):
+        old = [rng.choice("abc") for _ in range(rng.randint(1, 30))]
+        removed = sorted(rng.sample(range(len(old)), rng.randint(0, min(4, len(old)))))
+        df = spark.createDataFrame([(old, removed)], "old array<string>, removed array<int>")
+        text = df.select(removal_hunks(F.col("old"), F.col("removed"))).first()[0]
+        new, at = [], 0
+        for line in text:
+            if line[0] == "@":
+                a, n, b, m = map(int, re.findall("[0-9]+", line))
+                new += old[at : a - 1]
+                at = a - 1
+                assert len(new) == (b - 1 if m else b)
+            else:
+                assert old[at] == line[1:]
+                at += 1
+                new += [line[1:]] if line[0] == " " else []
+        assert new + old[at:] == [x for k, x in enumerate(old) if k not in removed]

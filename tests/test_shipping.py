@@ -7,7 +7,7 @@ import pytest
 from pyspark import cloudpickle
 
 import scanloom
-from scanloom.functions import editdiff, jsregex
+from scanloom.functions import jsregex
 from scanloom.sources import tree
 
 cloudpickle.register_pickle_by_value(scanloom)
@@ -17,8 +17,7 @@ cloudpickle.register_pickle_by_value(scanloom)
     ("function", "call"),
     [
         (jsregex.java_regex, "f(r'a\\b', 'i')"),
-        (editdiff.edit_hunks, "f(['a'], ['b'])"),
-        (tree._read_one, "f('/', 'none', 1, 'file')"),
+        (tree._read_one, "f('/', 'none', 1, 'file', None)"),
         (tree.TreeReader, "list(f({'roots': '/nowhere'}).read(f({'roots': '/nowhere'}).partitions()[0]))"),
     ],
 )

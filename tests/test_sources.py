@@ -33,7 +33,8 @@ def roots(tmp_path):
 @pytest.mark.parametrize("slices", [1, 3, 64])
 def test_listing(spark, roots, slices):
     rows = tree.list_tree(spark, roots, slices).collect()
-    assert sorted((r["project_id"], r["path"], r["kind"]) for r in rows) == [
+    assert {r["project_id"] for r in rows} == set(roots)
+    assert sorted((os.path.basename(r["project_id"]), r["path"], r["kind"]) for r in rows) == [
         ("one", ".env", "file"),
         ("one", "bad.js", "file"),
         ("one", "deep/.env", "file"),
@@ -48,12 +49,13 @@ def test_listing(spark, roots, slices):
 
 def test_scan_of_a_tree(spark, roots):
     files, listing = scanloom.read_tree(spark, roots)
-    status = {(r["project_id"], r["path"]): r["status"] for r in files.collect()}
+    name = os.path.basename
+    status = {(name(r["project_id"]), r["path"]): r["status"] for r in files.collect()}
     assert status == {
         ("one", ".env"): "ok", ("one", "bad.js"): "ok", ("one", "deep/.env"): "ok", ("one", "src/a.ts"): "ok",
-        ("two", "big.ts"): "too_large", ("two", "link.ts"): "symlink", ("two", "package.json"): "ok",
+        ("two", "big.ts"): "ok", ("two", "link.ts"): "symlink", ("two", "package.json"): "ok",
     }
-    found = sorted((r["project_id"], r["path"], r["rule_id"]) for r in scanloom.scan(files, listing).collect())
+    found = sorted((name(r["project_id"]), r["path"], r["rule_id"]) for r in scanloom.scan(files, listing).collect())
     assert found == [
         ("one", ".env", "env-missing-example"),
         ("one", "bad.js", "cors-permissive"),
@@ -62,6 +64,28 @@ def test_scan_of_a_tree(spark, roots):
     ]
 
 
+def test_size_limit_is_a_parameter(spark, roots):
+    files = tree.read_files(tree.list_tree(spark, roots), max_bytes=10 * 1024 * 1024)
+    assert [r["status"] for r in files.where("path = 'big.ts'").collect()] == ["too_large"]
+
+
+def test_equal_base_names_are_different_projects(spark, tmp_path):
+    for side in ("x", "y"):
+        (tmp_path / side / "app").mkdir(parents=True)
+        (tmp_path / side / "app" / ".env").write_text("A=1")
+    (tmp_path / "y" / "app" / ".env.example").write_text("A=")
+    files, listing = scanloom.read_tree(spark, [str(tmp_path / s / "app") for s in ("x", "y")])
+    found = scanloom.scan(files, listing).collect()
+    assert [(r["project_id"], r["rule_id"]) for r in found] == [(str(tmp_path / "x" / "app"), "env-missing-example")]
+
+
+def test_unreadable_folder(spark, tmp_path):
+    listing = tree.list_tree(spark, [str(tmp_path / "missing")])
+    out = tree.read_files(listing).first()
+    assert out["status"] == "read_error" and "missing" in out["error"]
+    assert scanloom.scan_errors(tree.read_files(listing)).count() == 1
+
+
 def test_unreadable_file(spark):
     row = [("p", "/nowhere", "a.ts", 3, "file")]
     out = tree.read_files(spark.createDataFrame(row, tree.LISTING)).first()
