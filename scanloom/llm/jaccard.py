@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from scanloom.llm import arrays, store
 from scanloom.llm.links import by_tile, near_groups, tiles
 
+#: How many prefixes long the part of a set is that bounds what two members of a key share; sets up to
+#: so many shingles are there as a whole.
+LONGER, WHOLE = 3, 192
+
 #: Entries of the table of shingle counts; 2 MB whatever the input.
 COUNT_BITS = 18
 
@@ -55,6 +59,23 @@ def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
     return store.totals(docs, share, 1 << COUNT_BITS, "i8", np.add)
 
 
+def _ordered(flat: np.ndarray, sizes: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """All sets in the order that documents share: rare shingles first, ties by hash."""
+    count = often[(flat >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+    return flat[np.lexsort((flat, count, np.repeat(np.arange(len(sizes)), sizes)))]
+
+
+def _heads(ordered: np.ndarray, first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``many`` shingles of each set."""
+    start = np.zeros(len(many) + 1, dtype=np.int64)
+    np.cumsum(many, out=start[1:])
+    return ordered[np.arange(start[-1]) - np.repeat(start[:-1] - first[:-1], many)], start
+
+
+def _prefix_sizes(sizes: np.ndarray, percent: int) -> np.ndarray:
+    return np.where(sizes > 0, sizes - -(-sizes * percent // 100) + 1, 0)
+
+
 def _prefixes(docs: DataFrame, counts, words: int, percent: int) -> DataFrame:
     """Per document the size and hash of its set and the rarest shingles that a partner must share."""
 
@@ -63,15 +84,7 @@ def _prefixes(docs: DataFrame, counts, words: int, percent: int) -> DataFrame:
         for some, sets in _sets(batches, words):
             flat, first = _flat(sets)
             sizes = np.diff(first)
-            count = often[(flat >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            # Rows stay together; within one, rare first, ties by hash.
-            ordered = flat[np.lexsort((flat, count, row))]
-            need = -(-sizes * percent // 100)
-            many = np.where(sizes > 0, sizes - need + 1, 0)
-            start = np.zeros(len(many) + 1, dtype=np.int64)
-            np.cumsum(many, out=start[1:])
-            at = np.arange(start[-1]) - np.repeat(start[:-1] - first[:-1], many)
+            head, start = _heads(_ordered(flat, sizes, often), first, _prefix_sizes(sizes, percent))
             yield pa.record_batch(
                 {
                     "doc_id": some.column(0),
@@ -79,27 +92,53 @@ def _prefixes(docs: DataFrame, counts, words: int, percent: int) -> DataFrame:
                     "n": pa.array(sizes, pa.int64()),
                     "h1": pa.array(arrays.signed(arrays.sequence_hash(flat, first, 11)), pa.int64()),
                     "h2": pa.array(arrays.signed(arrays.sequence_hash(flat, first, 23)), pa.int64()),
-                    "prefix": arrays.lists(arrays.signed(ordered[at]), start, pa.int64()),
+                    "prefix": arrays.lists(arrays.signed(head), start, pa.int64()),
                 }
             )
 
     return docs.mapInArrow(rows, "doc_id long, version long, n long, h1 long, h2 long, prefix array<long>")
 
 
+def _chosen(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
+    """Rows whose id passes the filter."""
+    known = store.received(table)
+    for batch in batches:
+        batch = batch.filter(batch.column(0).is_valid())
+        passed = store.passes(known, batch.column(0).to_numpy(zero_copy_only=False))
+        yield batch.filter(pa.array(passed, pa.bool_()))
+
+
+def _marks(docs: DataFrame, ids: DataFrame, counts, words: int, percent: int) -> DataFrame:
+    """Of the wanted documents 16 bits of each shingle of a longer prefix."""
+    table = store.sent(docs, store.id_filter(ids))
+
+    def rows(batches):
+        often = store.received(counts)
+        for _, sets in _sets(_chosen(batches, table), words):
+            flat, first = _flat(sets)
+            sizes = np.diff(first)
+            longer = np.minimum(sizes, LONGER * _prefix_sizes(sizes, percent))
+            many = np.where(sizes <= WHOLE, sizes, longer)
+            head, start = _heads(_ordered(flat, sizes, often), first, many)
+            bits = (head >> np.uint64(20)).astype(np.uint16).view(np.int16)
+            yield pa.record_batch(
+                {
+                    "id": pa.array(arrays.signed(arrays.sequence_hash(flat, first, 11)), pa.int64()),
+                    "n": pa.array(sizes, pa.int64()),
+                    "marks": arrays.lists(bits, start, pa.int16()),
+                }
+            )
+
+    return docs.mapInArrow(rows, "id long, n long, marks array<short>").dropDuplicates(["id"])
+
+
 def _wanted_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """Sets of the wanted documents by their hash. The texts do not move: a filter of fixed size passes
     the wanted ids and few others, which the joins that follow drop."""
     table = store.sent(docs, store.id_filter(ids))
 
-    def chosen(batches):
-        known = store.received(table)
-        for batch in batches:
-            batch = batch.filter(batch.column(0).is_valid())
-            passed = store.passes(known, batch.column(0).to_numpy(zero_copy_only=False))
-            yield batch.filter(pa.array(passed, pa.bool_()))
-
     def rows(batches):
-        for _, sets in _sets(chosen(batches), words):
+        for _, sets in _sets(_chosen(batches, table), words):
             flat, first = _flat(sets)
             yield pa.record_batch(
                 {
@@ -177,27 +216,23 @@ def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     return joined.mapInArrow(rows, "a long, b long")
 
 
-def _cross_candidates(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of a key that have different labels and share enough of their prefixes.
+def _cross_candidates(
+    members: DataFrame, docs: DataFrame, classes: DataFrame, counts, words: int, percent: int
+) -> DataFrame:
+    """Pairs of members of a key that have different labels and share enough of longer prefixes.
 
-    They are compared in tiles, which a member reaches with 16 bits of each shingle of its prefix.
-    Shared shingles outside both prefixes lie beyond the prefix that ends first, so the shared bits
-    and the longer rest bound what two sets share from above; bits shared by chance only raise it.
+    Of keys with the same members one is enough. Members are compared in tiles, which they reach with
+    16 bits of each shingle of a longer prefix, small sets as a whole. Shared shingles outside both
+    prefixes lie beyond the one that ends first, so the shared bits and the longer rest bound what two
+    sets share from above; bits shared by chance only raise it.
     """
+    sums = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in range(2)]
+    same = members.groupBy("key").agg(F.count("*").alias("n"), *sums)
+    keys = same.groupBy("n", "s0", "s1").agg(F.min("key").alias("key")).select("key")
+    members = store.kept(members.select("key", "id", "label").join(keys, "key"))
     ids = members.select("id").distinct()
-
-    def marked(batches):
-        for batch in batches:
-            column = batch.column(2)
-            bits = (column.flatten().to_numpy().view(np.uint64) >> np.uint64(20)).astype(np.uint16).view(np.int16)
-            first = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy())))
-            yield pa.record_batch(
-                {"id": batch.column(0), "n": batch.column(1), "marks": arrays.lists(bits, first, pa.int16())}
-            )
-
-    heads = classes.select("id", "n", "prefix").join(ids, "id", "left_semi")
-    heads = heads.mapInArrow(marked, "id long, n long, marks array<short>")
-    dealt = tiles(members.select("key", "id", "label")).join(heads, "id")
+    heads = _marks(docs, classes.join(ids, "id", "left_semi").select("first"), counts, words, percent)
+    dealt = tiles(members).join(heads, "id")
     partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.select("tile", "id", "label", "part", "alone", "n", "marks")
     dealt = dealt.repartition(partitions, "tile").sortWithinPartitions("tile")
@@ -244,7 +279,9 @@ def _tile_pairs(label, part, alone, sizes, marks, percent):
     shared = (table @ table.T)[i, j]
     rest = np.maximum(sizes[i] - lengths[i], sizes[j] - lengths[j])
     need = -(-percent * (sizes[i] + sizes[j]) // (100 + percent))
-    good = shared + rest >= need
+    # Different sets of one size share less than all.
+    can = np.minimum(sizes[i], sizes[j]) - (sizes[i] == sizes[j])
+    good = (shared + rest >= need) & (can >= need)
     return i[good], j[good]
 
 
@@ -302,13 +339,17 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
         need = F.ceil((a("n") + b("n")) * percent / (100 + percent))
         before = F.least(a("pos"), b("pos"))
         after = F.least(a("n") - a("pos"), b("n") - b("pos"))
-        return (least * 100 >= most * percent) & (before + after >= need)
+        # Different sets of one size share less than all.
+        can = F.when(a("n") == b("n"), least - 1).otherwise(least)
+        return (least * 100 >= most * percent) & (before + after >= need) & (can >= need)
 
     groups = near_groups(
         entries,
         near,
         lambda pairs: _verified(_candidates(pairs, classes, percent), docs, classes, words, percent),
-        lambda some: _verified(_cross_candidates(some, classes, percent), docs, classes, words, percent),
+        lambda some: _verified(
+            _cross_candidates(some, docs, classes, counts, words, percent), docs, classes, words, percent
+        ),
     )
     labelled = classes.join(groups, "id", "left").select(
         F.col("id").alias("h1"), "h2", "first", F.coalesce("component", F.col("id")).alias("label")
