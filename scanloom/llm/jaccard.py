@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from scanloom.llm import arrays, store
 from scanloom.llm.links import by_tile, near_groups, tiles
 
-#: How many prefixes long the part of a set is that bounds what two members of a key share; sets up to
-#: so many shingles are there as a whole.
-LONGER, WHOLE = 3, 192
+#: How many prefixes long the part of a set is that bounds what two members of a key share.
+LONGER = 2
 
 #: Entries of the table of shingle counts; 2 MB whatever the input.
 COUNT_BITS = 18
@@ -117,8 +116,7 @@ def _marks(docs: DataFrame, ids: DataFrame, counts, words: int, percent: int) ->
         for _, sets in _sets(_chosen(batches, table), words):
             flat, first = _flat(sets)
             sizes = np.diff(first)
-            longer = np.minimum(sizes, LONGER * _prefix_sizes(sizes, percent))
-            many = np.where(sizes <= WHOLE, sizes, longer)
+            many = np.minimum(sizes, LONGER * _prefix_sizes(sizes, percent))
             head, start = _heads(_ordered(flat, sizes, often), first, many)
             bits = (head >> np.uint64(20)).astype(np.uint16).view(np.int16)
             yield pa.record_batch(
@@ -222,8 +220,7 @@ def _cross_candidates(
     """Pairs of members of a key that have different labels and share enough of longer prefixes.
 
     Of keys with the same members one is enough. Members are compared in tiles, which they reach with
-    16 bits of each shingle of a longer prefix, small sets as a whole. Shared shingles outside both
-    prefixes lie beyond the one that ends first, so the shared bits and the longer rest bound what two
+    16 bits of each shingle of a longer prefix. Shared shingles outside both prefixes lie beyond the one that ends first, so the shared bits and the longer rest bound what two
     sets share from above; bits shared by chance only raise it.
     """
     sums = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in range(2)]
