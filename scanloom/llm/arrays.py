@@ -177,5 +177,11 @@ def lists(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.ListAr
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values, kind))
 
 
+def byte_strings(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """An Arrow column of bytes from all bytes and each row's first one."""
+    offsets = pa.py_buffer(first.astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, offsets, pa.py_buffer(values)])
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)

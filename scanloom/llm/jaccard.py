@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from scanloom.llm import arrays, store
 from scanloom.llm.links import by_tile, near_groups, tiles
 
-#: How many prefixes long the part of a set is that bounds what two members of a key share.
-LONGER = 2
+#: Pieces of 64 bits that are compared at a time.
+PIECES_AT_ONCE = 1 << 20
+
+#: Bits of a set's bitmap for each shingle in which it may differ from a similar set.
+BITS_EACH = 10
 
 #: Entries of the table of shingle counts; 2 MB whatever the input.
 COUNT_BITS = 18
@@ -75,8 +78,23 @@ def _prefix_sizes(sizes: np.ndarray, percent: int) -> np.ndarray:
     return np.where(sizes > 0, sizes - -(-sizes * percent // 100) + 1, 0)
 
 
+def bitmaps(flat: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A bitmap for each set, as bytes and the first byte of each; every shingle flips one bit.
+
+    Two sets differ in at least as many shingles as their bitmaps do in bits, if both are as long. The
+    length is a power of two that follows the size; the longer one of two is folded by xor.
+    """
+    least = np.maximum(64, BITS_EACH * 2 * sizes * (100 - percent) // (100 + percent))
+    bits = np.left_shift(1, np.ceil(np.log2(least)).astype(np.int64))
+    first = np.zeros(len(sizes) + 1, dtype=np.int64)
+    np.cumsum(bits, out=first[1:])
+    place = (flat >> np.uint64(20)).astype(np.int64) & np.repeat(bits - 1, sizes)
+    flips = np.bincount(place + np.repeat(first[:-1], sizes), minlength=int(first[-1])) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little"), first // 8
+
+
 def _prefixes(docs: DataFrame, counts, words: int, percent: int) -> DataFrame:
-    """Per document the size and hash of its set and the rarest shingles that a partner must share."""
+    """Per document the size, hash and bitmap of its set and the rarest shingles that a partner must share."""
 
     def rows(batches):
         often = store.received(counts)
@@ -84,6 +102,7 @@ def _prefixes(docs: DataFrame, counts, words: int, percent: int) -> DataFrame:
             flat, first = _flat(sets)
             sizes = np.diff(first)
             head, start = _heads(_ordered(flat, sizes, often), first, _prefix_sizes(sizes, percent))
+            bits, at = bitmaps(flat, sizes, percent)
             yield pa.record_batch(
                 {
                     "doc_id": some.column(0),
@@ -92,10 +111,12 @@ def _prefixes(docs: DataFrame, counts, words: int, percent: int) -> DataFrame:
                     "h1": pa.array(arrays.signed(arrays.sequence_hash(flat, first, 11)), pa.int64()),
                     "h2": pa.array(arrays.signed(arrays.sequence_hash(flat, first, 23)), pa.int64()),
                     "prefix": arrays.lists(arrays.signed(head), start, pa.int64()),
+                    "bits": arrays.byte_strings(bits, at),
                 }
             )
 
-    return docs.mapInArrow(rows, "doc_id long, version long, n long, h1 long, h2 long, prefix array<long>")
+    schema = "doc_id long, version long, n long, h1 long, h2 long, prefix array<long>, bits binary"
+    return docs.mapInArrow(rows, schema)
 
 
 def _chosen(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
@@ -107,29 +128,6 @@ def _chosen(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch
         yield batch.filter(pa.array(passed, pa.bool_()))
 
 
-def _marks(docs: DataFrame, ids: DataFrame, counts, words: int, percent: int) -> DataFrame:
-    """Of the wanted documents 16 bits of each shingle of a longer prefix."""
-    table = store.sent(docs, store.id_filter(ids))
-
-    def rows(batches):
-        often = store.received(counts)
-        for _, sets in _sets(_chosen(batches, table), words):
-            flat, first = _flat(sets)
-            sizes = np.diff(first)
-            many = np.minimum(sizes, LONGER * _prefix_sizes(sizes, percent))
-            head, start = _heads(_ordered(flat, sizes, often), first, many)
-            bits = (head >> np.uint64(20)).astype(np.uint16).view(np.int16)
-            yield pa.record_batch(
-                {
-                    "id": pa.array(arrays.signed(arrays.sequence_hash(flat, first, 11)), pa.int64()),
-                    "n": pa.array(sizes, pa.int64()),
-                    "marks": arrays.lists(bits, start, pa.int16()),
-                }
-            )
-
-    return docs.mapInArrow(rows, "id long, n long, marks array<short>").dropDuplicates(["id"])
-
-
 def _wanted_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """Sets of the wanted documents by their hash. The texts do not move: a filter of fixed size passes
     the wanted ids and few others, which the joins that follow drop."""
@@ -165,16 +163,20 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return int((y[at] == x).sum()) >= need
 
 
-def may_be_similar(x: np.ndarray, y: np.ndarray, n_x: int, n_y: int, percent: int) -> bool:
-    """The positional filter over all shared shingles of two prefixes, given in their common order.
+def _bitmap(value) -> np.ndarray:
+    return np.frombuffer(value, dtype=np.uint64)
 
-    Shared shingles that are not in both prefixes come after the last that is, in both sets.
-    """
+
+def _folded(bits: np.ndarray, length: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(bits.reshape(-1, length), axis=0) if len(bits) > length else bits
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, n_x: int, n_y: int, percent: int) -> bool:
+    """Whether two sets can be similar enough by what their bitmaps differ in."""
     need = -(-percent * (n_x + n_y) // (100 + percent))
-    shared, at_x, at_y = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    if not len(shared):
-        return False
-    return len(shared) + min(n_x - at_x.max(), n_y - at_y.max()) - 1 >= need
+    length = min(len(x), len(y))
+    differ = int(np.bitwise_count(_folded(x, length) ^ _folded(y, length)).sum())
+    return differ <= n_x + n_y - 2 * need
 
 
 def _sides(batch: pa.RecordBatch, at: int) -> list[np.ndarray]:
@@ -185,7 +187,7 @@ def _sides(batch: pa.RecordBatch, at: int) -> list[np.ndarray]:
 
 
 def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that the positional filter over their whole prefixes leaves."""
+    """Pairs that their bitmaps leave."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     table = store.sent(pairs, store.id_filter(ids))
 
@@ -195,17 +197,17 @@ def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
             passed = store.passes(known, batch.column(0).to_numpy())
             yield batch.filter(pa.array(passed, pa.bool_()))
 
-    heads = classes.select("id", "n", "prefix")
+    heads = classes.select("id", "n", "bits")
     heads = heads.mapInArrow(chosen, heads.schema)
     left = heads.toDF("a", "n_a", "x")
     right = heads.toDF("b", "n_b", "y")
 
     def rows(batches):
         for batch in batches:
-            xs, ys = _sides(batch, 4), _sides(batch, 5)
             n_x, n_y = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             good = [
-                may_be_similar(xs[k], ys[k], int(n_x[k]), int(n_y[k]), percent) for k in range(len(batch))
+                may_be_similar(_bitmap(x.as_buffer()), _bitmap(y.as_buffer()), int(a), int(b), percent)
+                for x, y, a, b in zip(batch.column(4), batch.column(5), n_x, n_y, strict=True)
             ]
             pairs = pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"])
             yield pairs.filter(pa.array(good, pa.bool_()))
@@ -214,24 +216,19 @@ def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     return joined.mapInArrow(rows, "a long, b long")
 
 
-def _cross_candidates(
-    members: DataFrame, docs: DataFrame, classes: DataFrame, counts, words: int, percent: int
-) -> DataFrame:
-    """Pairs of members of a key that have different labels and share enough of longer prefixes.
+def _cross_candidates(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of a key that have different labels and whose bitmaps leave them.
 
     Of keys with the same members one is enough. Members are compared in tiles, which they reach with
-    16 bits of each shingle of a longer prefix. Shared shingles outside both prefixes lie beyond the one that ends first, so the shared bits and the longer rest bound what two
-    sets share from above; bits shared by chance only raise it.
+    their bitmaps.
     """
     sums = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in range(2)]
     same = members.groupBy("key").agg(F.count("*").alias("n"), *sums)
     keys = same.groupBy("n", "s0", "s1").agg(F.min("key").alias("key")).select("key")
     members = store.kept(members.select("key", "id", "label").join(keys, "key"))
-    ids = members.select("id").distinct()
-    heads = _marks(docs, classes.join(ids, "id", "left_semi").select("first"), counts, words, percent)
-    dealt = tiles(members).join(heads, "id")
+    dealt = tiles(members).join(classes.select("id", "n", "bits"), "id")
     partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.select("tile", "id", "label", "part", "alone", "n", "marks")
+    dealt = dealt.select("tile", "id", "label", "part", "alone", "n", "bits")
     dealt = dealt.repartition(partitions, "tile").sortWithinPartitions("tile")
 
     def handle(batch):
@@ -239,12 +236,12 @@ def _cross_candidates(
         ids, label, part = (batch.column(k).to_numpy() for k in range(1, 4))
         alone = batch.column(4).to_numpy(zero_copy_only=False)
         sizes = batch.column(5).to_numpy()
-        marks = _sides(batch, 6)
+        bits = [_bitmap(value.as_buffer()) for value in batch.column(6)]
         edges = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1], [True])))
         left, right = [], []
         for x, y in zip(edges[:-1], edges[1:], strict=True):
             group = slice(x, y)
-            i, j = _tile_pairs(label[group], part[group], alone[x], sizes[group], marks[x:y], percent)
+            i, j = _tile_pairs(label[group], part[group], alone[x], sizes[group], bits[group], percent)
             left.append(ids[x + i])
             right.append(ids[x + j])
         if left:
@@ -254,31 +251,32 @@ def _cross_candidates(
     return dealt.mapInArrow(lambda batches: by_tile(batches, handle), "a long, b long").distinct()
 
 
-def _tile_pairs(label, part, alone, sizes, marks, percent):
+def _tile_pairs(label, part, alone, sizes, bits, percent):
     """Places of the pairs of one tile that may be similar enough."""
     i, j = np.triu_indices(len(label), 1)
-    good = (label[i] != label[j]) & (
-        np.minimum(sizes[i], sizes[j]) * 100 >= np.maximum(sizes[i], sizes[j]) * percent
-    )
+    need = -(-percent * (sizes[i] + sizes[j]) // (100 + percent))
+    # Different sets of one size share less than all.
+    can = np.minimum(sizes[i], sizes[j]) - (sizes[i] == sizes[j])
+    good = (label[i] != label[j]) & (can >= need)
     if not alone:
         good &= part[i] != part[j]
     i, j = i[good], j[good]
     if not len(i):
         return i, j
-    lengths = np.array([len(m) for m in marks])
-    owner = np.repeat(np.arange(len(marks)), lengths)
-    _, inverse, often = np.unique(np.concatenate(marks), return_inverse=True, return_counts=True)
-    # Only bits that several members have matter; a member may have some more than once.
-    several = often[inverse] > 1
-    column = (np.cumsum(often > 1) - 1)[inverse]
-    table = np.zeros((len(marks), int((often > 1).sum())), dtype=np.float32)
-    np.add.at(table, (owner[several], column[several]), 1)
-    shared = (table @ table.T)[i, j]
-    rest = np.maximum(sizes[i] - lengths[i], sizes[j] - lengths[j])
-    need = -(-percent * (sizes[i] + sizes[j]) // (100 + percent))
-    # Different sets of one size share less than all.
-    can = np.minimum(sizes[i], sizes[j]) - (sizes[i] == sizes[j])
-    good = (shared + rest >= need) & (can >= need)
+    most = (sizes[i] + sizes[j]) - 2 * need[good]
+    lengths = np.array([len(b) for b in bits])
+    shorter = np.minimum(lengths[i], lengths[j])
+    good = np.zeros(len(i), dtype=bool)
+    for length in np.unique(shorter):
+        pairs = np.flatnonzero(shorter == length)
+        table = np.zeros((len(bits), length), dtype=np.uint64)
+        for k in np.unique(np.concatenate((i[pairs], j[pairs]))):
+            table[k] = _folded(bits[k], length)
+        step = max(1, PIECES_AT_ONCE // int(length))
+        for at in range(0, len(pairs), step):
+            some = pairs[at : at + step]
+            differ = np.bitwise_count(table[i[some]] ^ table[j[some]]).sum(axis=1, dtype=np.int64)
+            good[some] = differ <= most[some]
     return i[good], j[good]
 
 
@@ -313,9 +311,9 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     3. Two sets that are similar enough share one of their ``n - ceil(n * percent / 100) + 1`` first
        shingles. Classes are joined on those, with length and positional filters; ``near_groups``
        keeps a shingle shared by very many from making all their pairs.
-    4. Candidates are cut by the positional filter over all that their prefixes share (or, where members
-       of a key are compared in tiles, by a bound on it). Sets of what is left are made again from the
-       texts, cut by a suffix filter, and compared.
+    4. Candidates are cut by the bits in which bitmaps of their whole sets differ, which are never more
+       than the shingles in which the sets do. Sets of what is left are made again from the texts, cut
+       by a suffix filter, and compared.
 
     Null or empty texts and texts of blanks have no shingle and link with nothing. A row whose doc_id
     is null links with nothing and has a null component. Rows that repeat an id and text have equal
@@ -326,7 +324,8 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     rows = store.kept(_prefixes(docs, counts, words, percent))
     some = rows.where("n > 0 and doc_id is not null")
     classes = some.groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
+        F.min("doc_id").alias("first"),
+        *[F.first(c).alias(c) for c in ("n", "prefix", "bits")],
     )
     classes = store.kept(classes.withColumnRenamed("h1", "id"))
     entries = classes.select("id", "n", F.posexplode("prefix").alias("pos", "key"))
@@ -345,7 +344,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
         near,
         lambda pairs: _verified(_candidates(pairs, classes, percent), docs, classes, words, percent),
         lambda some: _verified(
-            _cross_candidates(some, docs, classes, counts, words, percent), docs, classes, words, percent
+            _cross_candidates(some, classes, percent), docs, classes, words, percent
         ),
     )
     labelled = classes.join(groups, "id", "left").select(

@@ -285,6 +285,25 @@ def test_similar_is_exact():
         assert jaccard.similar(x, y, 80) == (100 * both >= 80 * (len(x) + len(y) - both))
 
 
+def test_bitmaps_lose_no_similar_pair():
+    rng = np.random.default_rng(5)
+    dropped = 0
+    for percent in (80, 90):
+        for _ in range(300):
+            size = int(rng.integers(1, 3000))
+            x = rng.integers(0, 2**63, size).astype(np.uint64)
+            y = np.concatenate((x[rng.random(size) < rng.uniform(0.6, 1)], rng.integers(0, 2**63, size // 20).astype(np.uint64)))
+            sizes = np.array([len(x), len(y)])
+            bits, first = jaccard.bitmaps(np.concatenate((x, y)), sizes, percent)
+            one, two = (bits[a:b].view(np.uint64) for a, b in itertools.pairwise(first))
+            passed = jaccard.may_be_similar(one, two, *map(int, sizes), percent)
+            both = len(np.intersect1d(x, y))
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                assert passed
+            dropped += not passed
+    assert dropped > 200
+
+
 def test_jaccard_hard_rows(hard, empty):
     rows = jaccard.jaccard_groups(hard, 3, 90).collect()
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in rows)
