@@ -219,16 +219,20 @@ def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
 def _cross_candidates(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of a key that have different labels and whose bitmaps leave them.
 
-    Of keys with the same members one is enough. Members are compared in tiles, which they reach with
-    their bitmaps.
+    Two sets meet at the first key they share, which is in the ``short`` prefix of the smaller one; at
+    other keys, and of members without such a partner, nothing is compared. Of keys with the same
+    members one is enough. Members are compared in tiles, which they reach with their bitmaps.
     """
-    sums = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in range(2)]
-    same = members.groupBy("key").agg(F.count("*").alias("n"), *sums)
-    keys = same.groupBy("n", "s0", "s1").agg(F.min("key").alias("key")).select("key")
-    members = store.kept(members.select("key", "id", "label").join(keys, "key"))
-    dealt = tiles(members).join(classes.select("id", "n", "bits"), "id")
+    least = members.where("short").groupBy("key").agg(F.min("n").alias("least"))
+    members = members.join(least, "key").where("short or n >= least").drop("least")
+    sums = [F.sum(F.xxhash64("id", "short", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in range(2)]
+    labels = F.min("label").alias("lo"), F.max("label").alias("hi")
+    same = members.groupBy("key").agg(F.count("*").alias("many"), *labels, *sums).where("lo < hi")
+    keys = same.groupBy("many", "s0", "s1").agg(F.min("key").alias("key")).select("key")
+    members = store.kept(members.join(keys, "key").select("key", "id", "label", "n", "short"))
+    dealt = tiles(members).join(classes.select("id", "bits"), "id")
     partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.select("tile", "id", "label", "part", "alone", "n", "bits")
+    dealt = dealt.select("tile", "id", "label", "part", "alone", "n", "short", "bits")
     dealt = dealt.repartition(partitions, "tile").sortWithinPartitions("tile")
 
     def handle(batch):
@@ -236,12 +240,14 @@ def _cross_candidates(members: DataFrame, classes: DataFrame, percent: int) -> D
         ids, label, part = (batch.column(k).to_numpy() for k in range(1, 4))
         alone = batch.column(4).to_numpy(zero_copy_only=False)
         sizes = batch.column(5).to_numpy()
-        bits = [_bitmap(value.as_buffer()) for value in batch.column(6)]
+        short = batch.column(6).to_numpy(zero_copy_only=False)
+        bits = [_bitmap(value.as_buffer()) for value in batch.column(7)]
         edges = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1], [True])))
         left, right = [], []
         for x, y in zip(edges[:-1], edges[1:], strict=True):
             group = slice(x, y)
-            i, j = _tile_pairs(label[group], part[group], alone[x], sizes[group], bits[group], percent)
+            columns = (c[group] for c in (label, part, sizes, short, bits))
+            i, j = _tile_pairs(*columns, alone[x], percent)
             left.append(ids[x + i])
             right.append(ids[x + j])
         if left:
@@ -251,13 +257,14 @@ def _cross_candidates(members: DataFrame, classes: DataFrame, percent: int) -> D
     return dealt.mapInArrow(lambda batches: by_tile(batches, handle), "a long, b long").distinct()
 
 
-def _tile_pairs(label, part, alone, sizes, bits, percent):
+def _tile_pairs(label, part, sizes, short, bits, alone, percent):
     """Places of the pairs of one tile that may be similar enough."""
     i, j = np.triu_indices(len(label), 1)
     need = -(-percent * (sizes[i] + sizes[j]) // (100 + percent))
     # Different sets of one size share less than all.
     can = np.minimum(sizes[i], sizes[j]) - (sizes[i] == sizes[j])
-    good = (label[i] != label[j]) & (can >= need)
+    meet = ((sizes[i] <= sizes[j]) & short[i]) | ((sizes[j] <= sizes[i]) & short[j])
+    good = (label[i] != label[j]) & (can >= need) & meet
     if not alone:
         good &= part[i] != part[j]
     i, j = i[good], j[good]
@@ -309,7 +316,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
        shingles, rare first, so sums of several shingles cost speed and never a link.
     2. Documents with equal sets are one class (128 bits of hash), which stands for all copies.
     3. Two sets that are similar enough share one of their ``n - ceil(n * percent / 100) + 1`` first
-       shingles. Classes are joined on those, with length and positional filters; ``near_groups``
+       shingles, and one of the ``n - ceil(2 * n * percent / (100 + percent)) + 1`` first of the smaller. Classes are joined on those, with length and positional filters; ``near_groups``
        keeps a shingle shared by very many from making all their pairs.
     4. Candidates are cut by the bits in which bitmaps of their whole sets differ, which are never more
        than the shingles in which the sets do. Sets of what is left are made again from the texts, cut
@@ -346,6 +353,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
         lambda some: _verified(
             _cross_candidates(some, classes, percent), docs, classes, words, percent
         ),
+        carry=[F.col("n"), F.expr(f"pos <= n - (2 * {percent} * n + 99 + {percent}) div (100 + {percent})").alias("short")],
     )
     labelled = classes.join(groups, "id", "left").select(
         F.col("id").alias("h1"), "h2", "first", F.coalesce("component", F.col("id")).alias("label")

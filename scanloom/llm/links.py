@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +85,7 @@ def near_groups(
     near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     verify: Callable[[DataFrame], DataFrame],
     rest: Callable[[DataFrame], DataFrame],
+    carry: Sequence[Column] = (),
 ) -> DataFrame:
     """``id, component`` over all links between ids that share a key, pass ``near`` and ``verify``.
 
@@ -92,7 +93,7 @@ def near_groups(
     all pairs would: first every entry is paired with its key's hub only, a star of as many rows as
     the key has entries; what that links needs no further pairs among itself. Then ``rest`` finds the
     links between different components of the first round that still share a key, from the entries
-    of such keys, ``key, id, label``. So a key with very many near copies costs its size, not its
+    of such keys, ``key, id, label`` and ``carry`` (columns over ``entries``). So a key with very many near copies costs its size, not its
     square, and no pair that could join two components is left out.
     """
     shared, hubs = shared_entries(entries)
@@ -107,7 +108,7 @@ def near_groups(
     first = kept(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     found = components(verify(first))
     label = F.coalesce("component", F.col("id")).alias("label")
-    labelled = shared.select("key", "id").join(found, "id", "left").select("key", "id", label)
+    labelled = shared.join(found, "id", "left").select("key", "id", label, *carry)
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     still = kept(labelled.join(open_keys.where("lo < hi").select("key"), "key"))
     # What the first round found is a star for each component, so only the new links take rounds.
