@@ -373,6 +373,45 @@ def test_lines_exact_and_near(spark):
     assert got[5] == ("", 1, 0)
 
 
+@pytest.mark.parametrize("n, k", [(10, 1), (20, 1), (20, 2), (30, 3), (50, 5), (60, 3), (60, 6)])
+def test_lines_share_a_band(n, k):
+    """Of brute-force near pairs, 0.9 or more are candidates; words are drawn from few, so many repeat."""
+    rng = np.random.default_rng(n + k)
+    pairs, many = [], 2000
+    for _ in range(many):
+        x = rng.integers(0, 200, n, dtype=np.int32)
+        y = x.copy()
+        y[rng.choice(n, k, replace=False)] = rng.integers(1000, 10**9, k, dtype=np.int32)
+        pairs += [x, y]
+    assert lines.within_edits(pairs[::2], pairs[1::2], 90).all()
+    start = np.arange(0, (2 * many + 1) * n, n)
+    got = lines.bands(np.concatenate(pairs).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), start)
+    assert (got[::2] == got[1::2]).any(axis=1).mean() >= 0.9
+
+
+def test_lines_near_recall(spark):
+    """Lines of 10 to 60 words with as many words changed as 0.9 allows lose their later copy."""
+    rng = random.Random(12)
+    texts = {}
+    for k in range(400):
+        x = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(10, 60))]
+        y = list(x)
+        for at in rng.sample(range(len(x)), len(x) // 10):
+            y[at] = f"changed{rng.randrange(10**6)}"
+        texts[2 * k], texts[2 * k + 1] = " ".join(x), " ".join(y)
+    df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in texts.items()], DOCS)
+    gone = {i for i, _, _, n in cut(df) if n}
+    assert all(i % 2 for i in gone) and len(gone) >= 360
+
+
+def test_lines_parities_bound_edits():
+    rng = np.random.default_rng(6)
+    words = [rng.integers(-(2**31), 2**31, n).astype(np.int32) for n in (9, 30, 300)]
+    other = [np.append(np.delete(w, [1, 5]), np.int32(7)) for w in words]
+    changed = np.bitwise_count(lines._parities(words) ^ lines._parities(other)).sum(axis=1)
+    assert (changed <= 2 * 3).all() and (changed % 2 == 1).all()
+
+
 def test_lines_against_plain(spark):
     """Exact repeats always go, all others only for a near line; one of each group stays."""
     rng = random.Random(11)
