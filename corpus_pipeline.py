@@ -31,7 +31,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     ``n_chars``, if there is such a column of a numeric type, follows the text.
     """
-    cut = lines.drop_repeated_lines(docs).where("n_removed = 0 or n_removed < n_lines")
+    cut = lines.drop_repeated_lines(docs, short=True).where("n_removed = 0 or n_removed < n_lines")
     kinds = dict(docs.dtypes)
     row = F.col("row")
     if kinds.get("n_chars") in ("int", "bigint"):

@@ -47,6 +47,43 @@ def _line_spans(part: arrays.Part) -> arrays.Spans:
     return arrays.Spans(begins, ends, row, first)
 
 
+#: Code points of scripts that put no blanks between words, first and last: each character is a word.
+_NO_BLANKS = np.array(
+    [(0xE00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x2E80, 0x312F),
+     (0x3190, 0xA4CF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F),
+     (0x20000, 0x3FFFF)]
+)
+
+
+def _words(part: arrays.Part) -> arrays.Spans:
+    """Runs of letters, digits and non-ASCII; in scripts without blanks each character by itself."""
+    found = arrays.spans(part, arrays.ALNUM)
+    data = part.data
+    lead = np.flatnonzero(data >= 0xE0)
+    if not len(lead):
+        return found
+    padded = np.concatenate((data, np.zeros(3, dtype=np.uint8)))
+    b0, b1, b2, b3 = (padded[lead + k].astype(np.int32) for k in range(4))
+    three = (b0 & 0x0F) << 12 | (b1 & 0x3F) << 6 | b2 & 0x3F
+    four = (b0 & 0x07) << 18 | (b1 & 0x3F) << 12 | (b2 & 0x3F) << 6 | b3 & 0x3F
+    code = np.where(b0 < 0xF0, three, four)
+    at = np.searchsorted(_NO_BLANKS[:, 0], code, side="right") - 1
+    single = (at >= 0) & (code <= _NO_BLANKS[at, 1])
+    if not single.any():
+        return found
+    begins = np.zeros(len(data) + 4, dtype=bool)
+    begins[found.starts] = True
+    begins[lead[single]] = True
+    begins[lead[single] + np.where(b0[single] < 0xF0, 3, 4)] = True
+    keep = np.append(arrays.ALNUM[data], False)
+    starts = np.flatnonzero(begins[: len(data)] & keep[:-1])
+    # A word ends where its run does, or where the next begins.
+    run = np.searchsorted(found.starts, starts, side="right") - 1
+    ends = np.minimum(found.ends[run], np.append(starts[1:], len(data)))
+    first = np.searchsorted(starts, part.offsets)
+    return arrays.Spans(starts, ends, np.repeat(np.arange(len(part)), np.diff(first)), first)
+
+
 def simhash(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     """SimHashes of runs of word hashes, none of them empty, as rows of bytes."""
     many = np.diff(first)
@@ -94,7 +131,7 @@ def _least_near(percent: int) -> int:
 def _normalised(part: arrays.Part, lines: arrays.Spans, hashes: arrays.SpanHash, min_words: int):
     """Lines of enough words: which, where their words start in the words' hashes, and those hashes."""
     # Words never hold a line end, so they are found for whole rows at once.
-    found = arrays.spans(part, arrays.ALNUM)
+    found = _words(part)
     tokens = hashes(part.data, found.starts, found.ends)
     first = np.searchsorted(found.starts, np.append(lines.starts, len(part.data)))
     chosen = np.flatnonzero(np.diff(first) >= min_words)
@@ -382,17 +419,18 @@ def _seat_doc():
     return F.expr("(seat - pmod(seat, 10000000000)) div 10000000000").alias("doc_id")
 
 
-def repeated_lines(docs: DataFrame, min_words: int = 5, percent: int = 90) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = 5, percent: int = 90, short: bool = False) -> DataFrame:
     """Lines to remove, as rows ``doc_id, version, line`` (version: xxhash64 of the text; line: from 0).
 
     ``docs`` holds ``doc_id, version, text`` without null ids. Lines are normalised: A-Z in lower
-    case, words of letters and digits, one blank between; lines of fewer than ``min_words`` words are
-    no matter of this operator. Equal normalised lines are one class (128 bits of hash). Classes that
+    case, words of letters and digits, one blank between; each character of a script without blanks
+    (Chinese, Japanese, Thai and others) is a word. Lines of fewer than ``min_words`` words are no matter
+    of this operator; with ``short`` they are, but only where they are equal. Equal normalised lines are one class (128 bits of hash). Classes that
     share a band are candidates, and link when their edit similarity, 1 - edits of words / longer number
     of words, is ``percent`` / 100 or more; two lines just at 90 share a band with a chance of 97.4 %.
     Of each connected group one occurrence stays: the one with the smallest doc_id and line.
     """
-    lines = store.kept(_lines(docs, min_words))
+    lines = store.kept(_lines(docs, 1 if short else min_words))
     bits = [f"bits{k}" for k in range(BANDS * BLOCK_BITS // 64)]
     classes = lines.groupBy("h1", "h2").agg(
         F.min(F.expr(_SEAT)).alias("seat"),
@@ -401,7 +439,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 5, percent: int = 90) -> Da
         *[F.first(b).alias(b) for b in bits],
     )
     classes = store.kept(classes.withColumnRenamed("h1", "id"))
-    long = classes.where(F.col("size") >= _least_near(percent))
+    long = classes.where(F.col("size") >= max(min_words, _least_near(percent)))
     entries = long.select("id", "size", F.explode(F.array(*_block_keys(bits))).alias("key"))
 
     def near(a, b):
@@ -426,7 +464,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 5, percent: int = 90) -> Da
     )
 
 
-def drop_repeated_lines(docs: DataFrame, min_words: int = 5, percent: int = 90) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_words: int = 5, percent: int = 90, short: bool = False) -> DataFrame:
     """``docs`` freed of repeated lines: ``row`` (all columns as one struct, its text replaced),
     ``n_lines`` and ``n_removed``.
 
@@ -446,7 +484,7 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = 5, percent: int = 90)
     searched = packed.select(F.col("id").alias("doc_id"), "version", F.col("row.text").alias("text"))
     searched = searched.where("doc_id is not null and text is not null")
     gone = (
-        repeated_lines(searched, min_words, percent)
+        repeated_lines(searched, min_words, percent, short)
         .groupBy("doc_id", "version")
         .agg(F.collect_set("line").alias("gone"))
         .withColumnsRenamed({"doc_id": "gone_id", "version": "gone_version"})

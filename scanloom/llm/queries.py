@@ -73,7 +73,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand elsewhere already."""
-    cut = lines.drop_repeated_lines(_table(spark, sf_dir, "documents"))
+    cut = lines.drop_repeated_lines(_table(spark, sf_dir, "documents"), short=True)
     return cut.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.col("row.text").alias("text"))
 
 

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from scanloom.llm import decontaminate, jaccard, lines, mixing, vectors
+from scanloom.llm import arrays, decontaminate, jaccard, lines, mixing, vectors
 from scanloom.llm.components import components
 from scanloom.llm.fm_index import FMIndex
 
@@ -404,6 +404,32 @@ def test_lines_near_recall(spark):
     assert all(i % 2 for i in gone) and len(gone) >= 360
 
 
+def test_lines_short_ones_and_scripts_without_blanks(spark):
+    passage = "".join(chr(0x4E00 + 37 * k) for k in range(60))
+    changed = passage[:30] + "々" + passage[31:]
+    thai = "".join(chr(0x0E01 + k % 40) for k in range(50))
+    texts = {
+        1: f"Read more\n{passage}\n--\n\n{thai}",
+        2: f"read MORE!\n{changed}\n--\n\n{thai[:20]}ฯ{thai[21:]}",
+        3: "Read\n目次\n--",
+        4: "目次\n\n章 Read more",
+    }
+    df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in texts.items()], DOCS)
+    got = {i: (t, gone) for i, t, _, gone in cut(df, short=True)}
+    assert got == {1: (texts[1], 0), 2: ("--\n", 3), 3: (texts[3], 0), 4: ("\n章 Read more", 1)}
+
+
+def test_lines_words():
+    texts = ["ab中文c é😀x", "", "ไทย", "カナ、a", "中", "ﾊﾝx 𠀀𠀁"]
+    column = [t.encode() for t in texts]
+    part = arrays.Part(0, np.frombuffer(b"".join(column), dtype=np.uint8), np.cumsum([0, *map(len, column)]))
+    found = lines._words(part)
+    got = [[] for _ in texts]
+    for a, b, row in zip(found.starts, found.ends, found.row, strict=True):
+        got[row].append(part.data[a:b].tobytes().decode())
+    assert got == [["ab", "中", "文", "c", "é😀x"], [], list("ไทย"), list("カナ、a"), ["中"], ["ﾊ", "ﾝ", "x", "𠀀", "𠀁"]]
+
+
 def test_lines_parities_bound_edits():
     rng = np.random.default_rng(6)
     words = [rng.integers(-(2**31), 2**31, n).astype(np.int32) for n in (9, 30, 300)]
