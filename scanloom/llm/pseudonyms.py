@@ -197,6 +197,42 @@ KINDS = (
     ("card", r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])", _card),
     ("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9])|\([0-9]{2,4}\)|0(?=[0-9]{1,4}[ ./-])|[0-9]{3}(?=[ .-][0-9]{3}[ .-][0-9]{4}))(?:[ ./()-]{0,2}[0-9]){5,13}(?![0-9A-Za-z])", _phone),
 )
+#: Characters of a card or IBAN without blanks and dashes, from and to.
+_LENGTHS = {"card": (13, 19), "iban": (15, 34)}
+#: Lengths of IBANs by country; of other countries all lengths are tried.
+IBAN_LENGTHS = {
+    code: int(length)
+    for length, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN",
+        21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL SO",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR BI", 27: "DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HU LB PL SV NI", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for code in codes.split()
+}
+
+
+def _readings(kind: str, value: str) -> Iterator[tuple[int, int]]:
+    """The other starts and ends, at group borders inside a match, of values as long as the kind allows;
+    the earliest start first, then the longest."""
+    least, most = _LENGTHS[kind]
+    groups = [m.span() for m in re.finditer(r"[^ -]+", value)]
+    for k, (a, _) in enumerate(groups):
+        if kind == "iban":
+            # Only the match's own start has the letters and digits of one.
+            if k:
+                return
+            least, most = (IBAN_LENGTHS.get(value[:2], x) for x in _LENGTHS[kind])
+        ends, length = [], 0
+        for c, d in groups[k:]:
+            length += d - c
+            if least <= length <= most:
+                ends.append(d)
+        for d in reversed(ends):
+            if (a, d) != (0, len(value)):
+                yield a, d
+
+
 _MARKS = np.zeros(256, dtype=bool)
 _MARKS[[*range(0x30, 0x3A), 0x40]] = True
 
@@ -212,12 +248,24 @@ class Pseudonyms:
         """The text with its values replaced, and kind, start and end (in the given text) of each."""
         taken: list[tuple[int, int, str, str]] = []
         for name, pattern, make in self.kinds:
-            for m in pattern.finditer(text):
-                if any(a < m.end() and m.start() < b for a, b, _, _ in taken):
-                    continue
-                other = make(m.group(0), self.feistel, back)
-                if other is not None:
-                    taken.append((m.start(), m.end(), name, other))
+            at = 0
+            while m := pattern.search(text, at):
+                at = m.end()
+                spans = [m.span()]
+                if name in _LENGTHS:
+                    spans += [(m.start() + a, m.start() + b) for a, b in _readings(name, m.group(0))]
+                for first, last in spans:
+                    if any(a < last and first < b for a, b, _, _ in taken):
+                        continue
+                    other = make(text[first:last], self.feistel, back)
+                    if other is not None:
+                        taken.append((first, last, name, other))
+                        at = last
+                        break
+                else:
+                    if name in _LENGTHS:
+                        # A value may begin later in the match and go on behind it.
+                        at = m.start() + 1
         taken.sort()
         out, at = [], 0
         for a, b, _, other in taken:

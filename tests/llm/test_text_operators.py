@@ -100,6 +100,25 @@ def test_pseudonyms_leave_invalid_values():
     assert pseudonyms.Pseudonyms(b"s").replace(text) == (text, [])
 
 
+def test_pseudonyms_shorter_readings():
+    """A valid number goes even where digits or words beside it make the longest reading fail."""
+    names = pseudonyms.Pseudonyms(b"s")
+    card = "4111 1111 1111 1111"
+    for text, value in {
+        f"{card} 123": card,
+        f"12 {card}": card,
+        f"7 {card} 123": card,
+        "4111111111111111 12/27": "4111111111111111",
+        "1234 5678 9012 3456 4111111111111111": "4111111111111111",
+        "ES91 2100 0418 4502 0005 1332 EUR": "ES91 2100 0418 4502 0005 1332",
+        "AT611904300234573201 BIC": "AT611904300234573201",
+        "AB12 DE89 3704 0044 0532 0130 00": "DE89 3704 0044 0532 0130 00",
+    }.items():
+        other, found = names.replace(text)
+        assert [text[a:b] for _, a, b in found] == [value]
+        assert value not in other and len(other) == len(text)
+
+
 def test_pseudonyms_hard_rows(hard, empty):
     rows = pseudonyms.pseudonymise(hard, b"k").collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in rows) == sorted((i or 0, t or "") for i, t, *_ in HARD)
