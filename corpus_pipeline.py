@@ -27,11 +27,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand elsewhere already; those of which nothing is left go.
+    """Documents without lines that stand elsewhere already; those cut down to no word go.
 
     ``n_chars``, if there is such a column of a numeric type, follows the text.
     """
-    cut = lines.drop_repeated_lines(docs, short=True).where("n_removed = 0 or n_removed < n_lines")
+    cut = lines.drop_repeated_lines(docs, short=True)
+    cut = cut.where((F.col("n_removed") == 0) | F.col("row.text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"))
     kinds = dict(docs.dtypes)
     row = F.col("row")
     if kinds.get("n_chars") in ("int", "bigint"):

@@ -66,6 +66,15 @@ def test_lines_stage(spark, documents):
         assert r.n_chars == len(r.text)
 
 
+def test_lines_stage_drops_copies_whole(spark):
+    """Copies go with their blank lines and short titles; what no line was taken from stays."""
+    copy = "A Title\n\nThe first of the paragraphs that stand here.\n--\n\nAnother one, which is the last of them."
+    rows = {1: copy, 2: copy, 3: copy.upper(), 4: copy + "\nMore", 5: "\n--\n", 6: "", 7: None, 8: copy + "\n\n***"}
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows.items()], DOCS)
+    kept = texts(corpus_pipeline.without_repeated_lines(spark, docs, SF))
+    assert kept == {1: copy, 4: "\n--\n\nMore", 5: rows[5], 6: "", 7: None}
+
+
 def test_group_stage(spark, documents):
     kept = texts(corpus_pipeline.one_of_each_group(spark, documents, SF))
     groups = plain.jaccard_groups(texts(documents), 5, 80)
