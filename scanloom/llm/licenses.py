@@ -42,6 +42,16 @@ class Notice:
         # Whole words only; the best match of a stretch is the one with the fewest edits.
         self.pattern = regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(text, literal_spaces=True)}){{e<={edits}}}(?![^ ])")
 
+    def matches(self, text: str, first: int = 0, last: int | None = None) -> list[regex.Match]:
+        """All matches, none overlapping: the best of the stretch, then those in front of it and behind it."""
+        out, parts = [], [(first, len(text) if last is None else last)]
+        while parts:
+            a, b = parts.pop()
+            if b - a >= len(self.text) - self.edits and (m := self.pattern.search(text, a, b)):
+                out.append(m)
+                parts += [(a, m.start()), (m.end(), b)]
+        return sorted(out, key=regex.Match.start)
+
 
 def _normal(part: arrays.Part, found: arrays.Spans) -> tuple[bytes, np.ndarray, np.ndarray]:
     """All words with one blank after each and a line end after each row, and where they start there."""
@@ -87,7 +97,7 @@ def _fuzzy(normal: bytes, rows: np.ndarray, notices: list[Notice]) -> list[tuple
                 end = normal.find(b" ", hi)
                 hi = min(end if end >= 0 else len(normal), int(rows[row + 1]) - 1)
                 text = normal[lo:hi].decode("latin-1")
-                for m in notice.pattern.finditer(text):
+                for m in notice.matches(text):
                     edits = sum(m.fuzzy_counts)
                     out.append((row, lo + m.start(), lo + m.end(), notice.label, 1 - edits / len(notice.text)))
     return out

@@ -255,6 +255,18 @@ def test_licenses_with_errors(spark):
             assert any(edits(stretch, text) <= most for text, _, most in notices[s.label])
 
 
+def test_licenses_one_after_another(spark):
+    """A worse match in front of a better one, or behind it, has its span too."""
+    texts = [
+        "under the mit licence under the mit license",
+        "under the mit license under the mit licence",
+        "undr the mit license x under the mit license y under the mitt license",
+    ]
+    df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOCS)
+    spans = {r.doc_id: [(s.first, s.last) for s in r.spans] for r in licenses.scan_licenses(df).collect()}
+    assert spans == {0: [(0, 3), (4, 7)], 1: [(0, 3), (4, 7)], 2: [(0, 3), (5, 8), (10, 13)]}
+
+
 def test_licenses_hard_rows(hard, empty):
     rows = licenses.scan_licenses(hard).collect()
     assert sorted((r.doc_id or 0, r.n_words) for r in rows) == sorted((i or 0, len(alnum_words(t))) for i, t, *_ in HARD)
