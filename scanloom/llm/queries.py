@@ -14,6 +14,7 @@ from scanloom.llm import (
     mixing,
     pseudonyms,
     quality,
+    token_files,
     tokens,
     vectors,
 )
@@ -82,6 +83,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document's token ids stand in compressed files, as read back from them."""
+    return token_files.token_digests(_table(spark, sf_dir, "documents"))
+
+
 #: Windows of 13 words on both sides; shorter items as a whole. Hit words are counted once.
 OP4_SQL = r"""
 WITH w AS (
@@ -152,5 +158,6 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_licenses": op10_licenses,
+    "op11_token_files": op11_token_files,
 }
 SQL = {"op4_decontaminate": OP4_SQL, "op8_jaccard_join": OP8_SQL}

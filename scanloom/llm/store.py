@@ -27,7 +27,7 @@ def received(model: Broadcast):
 SLICE = 1 << 14
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder ``spark.checkpoint.dir`` names; where the session names none, one in its warehouse."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
@@ -52,14 +52,14 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
 def kept(df: DataFrame) -> DataFrame:
     """The table, written to the shared folder and read from there. It survives the loss of executors;
     Spark removes the files once nothing refers to them, if its cleaner is set to."""
-    _shared_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     with shuffles_removed(df.sparkSession):
         return df.checkpoint()
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """The table as Parquet in the shared folder, for results that outlive the job."""
-    path = f"{_shared_folder(df.sparkSession)}/{label.replace(' ', '-')}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{label.replace(' ', '-')}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
