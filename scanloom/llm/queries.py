@@ -11,6 +11,7 @@ from scanloom.llm import (
     language,
     licenses,
     lines,
+    merkle,
     mixing,
     pseudonyms,
     quality,
@@ -88,6 +89,28 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(_table(spark, sf_dir, "documents"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each document in a Merkle tree by language, and whether a changed copy shows."""
+    docs = _table(spark, sf_dir, "documents")
+    parts = [F.col(c) for c in ("doc_id", "source", "lang")]
+    leaf = merkle.leaf_of(*parts, F.col("n_chars"), F.col("text"))
+    # One more than the largest long has a place too.
+    more = F.col("n_chars").cast("decimal(20,0)") + F.lit(1).cast("decimal(1,0)")
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    claimed = F.when(changed, merkle.leaf_of(*parts, more, F.col("text")))
+    carry = F.struct("doc_id", claimed.alias("claimed"))
+    rows = merkle.manifest(docs, F.col("lang"), F.col("doc_id"), leaf, carry)
+    out = rows.select(
+        "carry.doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.path_digest(F.col("path")).alias("proof_sha256"),
+        merkle.folded(F.coalesce("carry.claimed", "leaf"), F.col("path")).alias("folded_root"),
+    )
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 #: Windows of 13 words on both sides; shorter items as a whole. Hit words are counted once.
 OP4_SQL = r"""
 WITH w AS (
@@ -147,6 +170,57 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = d.doc_id
 GROUP BY d.doc_id, size
 """
 
+#: Whole levels as lists; the crc32 bit by bit; a fold over the leaf and its siblings.
+OP12_SQL = r"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, lang, CAST(doc_id AS VARCHAR) AS id,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS chars,
+    coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') AS more,
+    coalesce(strlen(text) || ':' || text, '-') AS body
+  FROM documents
+), c AS (
+  SELECT *, sha256(head || chars || body) AS leaf, xor(4294967295, list_reduce(
+      list_prepend(4294967295, list_transform(range(1, len(id) + 1), lambda i: CAST(ascii(id[i]) AS BIGINT))),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))
+    )) AS crc
+  FROM f
+), leaves AS (
+  SELECT doc_id, lang, leaf, CASE WHEN crc % 7 = 0 THEN sha256(head || more || body) ELSE leaf END AS claimed,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k
+  FROM c
+), tree AS (
+  SELECT lang, 0 AS lv, list(leaf ORDER BY k) AS h FROM leaves GROUP BY lang
+  UNION ALL
+  SELECT lang, lv + 1, list_transform(range(0, len(h), 2), lambda i: sha256(h[i + 1] || coalesce(h[i + 2], '')))
+  FROM tree WHERE len(h) > 1
+), groups AS (
+  SELECT lang, h[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS k FROM tree WHERE len(h) = 1
+), crown AS (
+  SELECT 0 AS lv, list(subroot ORDER BY k) AS h FROM groups
+  UNION ALL
+  SELECT lv + 1, list_transform(range(0, len(h), 2), lambda i: sha256(h[i + 1] || coalesce(h[i + 2], '')))
+  FROM crown WHERE len(h) > 1
+), steps AS (
+  SELECT l.lang, l.k, lv, l.k >> lv AS j, h FROM leaves l JOIN tree t ON l.lang IS NOT DISTINCT FROM t.lang WHERE len(h) > 1
+  UNION ALL
+  SELECT l.lang, l.k, 1000 + lv, g.k >> lv, h
+  FROM leaves l JOIN groups g ON l.lang IS NOT DISTINCT FROM g.lang, crown WHERE len(h) > 1
+), paths AS (
+  SELECT lang, k, list(CASE WHEN j % 2 = 1 THEN 'L' || h[j] ELSE 'R' || coalesce(h[j + 2], '') END ORDER BY lv) AS path
+  FROM steps GROUP BY lang, k
+), folds AS (
+  SELECT l.doc_id, l.leaf, g.subroot, (SELECT h[1] FROM crown WHERE len(h) = 1) AS root,
+    sha256(coalesce(array_to_string(list_transform(path, lambda p: p[2:]), ''), '')) AS proof_sha256,
+    list_reduce(list_prepend(claimed, coalesce(path, [])),
+      lambda n, p: CASE WHEN p[1] = 'L' THEN sha256(p[2:] || n) ELSE sha256(n || p[2:]) END) AS folded_root
+  FROM leaves l JOIN groups g ON l.lang IS NOT DISTINCT FROM g.lang
+  LEFT JOIN paths p ON l.lang IS NOT DISTINCT FROM p.lang AND l.k = p.k
+)
+SELECT *, folded_root = root AS verified FROM folds
+"""
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language": op2_language,
@@ -159,5 +233,6 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_licenses": op10_licenses,
     "op11_token_files": op11_token_files,
+    "op12_merkle": op12_merkle,
 }
-SQL = {"op4_decontaminate": OP4_SQL, "op8_jaccard_join": OP8_SQL}
+SQL = {"op4_decontaminate": OP4_SQL, "op8_jaccard_join": OP8_SQL, "op12_merkle": OP12_SQL}
