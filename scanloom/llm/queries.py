@@ -13,6 +13,7 @@ from scanloom.llm import (
     lines,
     merkle,
     mixing,
+    negatives,
     pseudonyms,
     quality,
     token_files,
@@ -111,6 +112,13 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding."""
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("label", changed)
+    return negatives.mine_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 #: Windows of 13 words on both sides; shorter items as a whole. Hit words are counted once.
 OP4_SQL = r"""
 WITH w AS (
@@ -221,6 +229,30 @@ WITH RECURSIVE f AS (
 SELECT *, folded_root = root AS verified FROM folds
 """
 
+#: All scores of the anchors.
+OP13_SQL = r"""
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, vec_id AS negative_id, positive_score,
+  score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same
+  AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 10
+"""
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language": op2_language,
@@ -234,5 +266,6 @@ QUERIES = {
     "op10_licenses": op10_licenses,
     "op11_token_files": op11_token_files,
     "op12_merkle": op12_merkle,
+    "op13_negatives": op13_negatives,
 }
-SQL = {"op4_decontaminate": OP4_SQL, "op8_jaccard_join": OP8_SQL, "op12_merkle": OP12_SQL}
+SQL = {"op4_decontaminate": OP4_SQL, "op8_jaccard_join": OP8_SQL, "op12_merkle": OP12_SQL, "op13_negatives": OP13_SQL}
