@@ -367,7 +367,7 @@ def mine_negatives(
     while wanted is not None:
         top = F.array_min(F.transform("wins", lambda w: w["high"])).cast("double")
         bottom = F.array_min(F.transform("wins", lambda w: w["low"])).cast("double")
-        above = _share_above((top - F.col("mean")) / F.col("spread"))
+        above = _share_above(F.try_divide(top - F.col("mean"), F.col("spread")))
         t = _threshold(F.coalesce(above, F.lit(1.0)) + F.col("share"), bottom)
         wanted = store.kept(wanted.withColumn("t", F.greatest(F.least(t, top), bottom)))
         found = store.kept(_first_rows(_joined(blocks, n_blocks, wanted, False, negatives), units, negatives))
