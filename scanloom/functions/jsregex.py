@@ -1,263 +1,49 @@
-"""JavaScript patterns in the dialect Spark evaluates.
-
-Custom rules are written for JavaScript. Where both dialects agree the text is passed through; the
-differences are the blanks behind ``\\s``, ASCII word edges, what ``.`` and ``$`` mean next to line
-ends, bare brackets inside classes, and escapes one side does not know.
-"""
+"""JavaScript patterns as columns and strings; ``jspattern`` reads and writes them."""
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanloom.functions.text import WS_CHARS
-
-# Flags JavaScript accepts, and the inline flag each needs here.
-_FLAGS = {"g": "", "y": "", "d": "", "i": "i", "s": "", "m": "", "u": "", "v": ""}
-
-_WORD = "[A-Za-z0-9_]"
-_EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
-_NO_EDGE = f"(?:(?<={_WORD})(?={_WORD})|(?<!{_WORD})(?!{_WORD}))"
-_LINE_ENDS = r"\n\r\x{2028}\x{2029}"
-_SAME_ESCAPES = set("dDwWtnrfv")
-_TOKEN = re.compile(
-    r"\\[pP]\{[^{}]*\}|\\u\{[0-9A-Fa-f]+\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\c[A-Za-z]"
-    r"|\\k<[^>]+>|\\[1-9][0-9]*|\\.|\(\?(?:<[A-Za-z$_][^>=!]*>|<?[=!]|:)|[*+?]\??|\{\d+(?:,\d*)?\}\??|.",
-    re.S,
-)
-
-
-def _plain_tokens(pattern: str, flags: str) -> list[str]:
-    """The pattern in pieces; what only Unicode patterns or named groups know is taken apart elsewhere."""
-    out = []
-    unicode = "u" in flags or "v" in flags
-    named = unicode or re.search(r"\(\?<[^=!]", pattern) is not None
-    for token in _TOKEN.findall(pattern):
-        apart = (token[:2] in (r"\p", r"\P") and not unicode) or (token[:3] == r"\k<" and not named)
-        out += [token[:2], *token[2:]] if apart and len(token) > 2 else [token]
-    return out
-
-
-def _escape(token: str, in_class: bool) -> str:
-    kind = token[1]
-    if kind in "pP" and len(token) > 2:
-        name = token[3:-1].replace("Script_Extensions=", "script=").replace("General_Category=", "gc=")
-        return f"\\{kind}{{{name}}}"
-    if kind == "c" and len(token) == 3:
-        return f"\\x{{{ord(token[2]) % 32:X}}}"
-    if kind == "s":
-        return WS_CHARS if in_class else f"[{WS_CHARS}]"
-    if kind == "S":
-        return f"[^{WS_CHARS}]"
-    if kind == "b":
-        return r"\x08" if in_class else _EDGE
-    if kind == "B" and not in_class:
-        return _NO_EDGE
-    if kind == "0" and len(token) == 2:
-        return r"\x00"
-    if kind == "v":
-        return r"\x0B"
-    if len(token) > 2:
-        return token.replace("\\u{", "\\x{")
-    if kind in _SAME_ESCAPES or kind.isdigit():
-        return token
-    # An identity escape: the character itself.
-    return "\\" + kind if not kind.isalnum() and kind.isascii() else kind
-
-
-def _word_atom(token: str) -> bool:
-    return token in (r"\d", r"\w") or re.fullmatch("[A-Za-z0-9_]", token) is not None
+from scanloom.functions.jspattern import translate
 
 
-def _optional(token: str) -> bool:
-    return token[0] in "*?" or token.startswith(("{0", "{,"))
-
-
-def _quantifier(token: str) -> bool:
-    return token[0] in "*+?" or (token[0] == "{" and len(token) > 1)
-
-
-def _edge(tokens: list[str], i: int) -> str:
-    """A word edge; where a neighbour is known to be a word character one side is enough."""
-    after = tokens[i + 1 : i + 3]
-    right = bool(after) and _word_atom(after[0]) and not (len(after) > 1 and _optional(after[1]))
-    before = tokens[max(0, i - 2) : i]
-    left = False
-    if before and _quantifier(before[-1]):
-        left = len(before) > 1 and _word_atom(before[0]) and not _optional(before[-1])
-    elif before:
-        left = _word_atom(before[-1])
-    if right and not left:
-        return f"(?<!{_WORD})"
-    if left and not right:
-        return f"(?!{_WORD})"
-    return _EDGE
+def java_regex(pattern: str, flags: str = "") -> str | None:
+    """The pattern for Spark's regex functions, or None where it cannot be used."""
+    return translate(pattern, flags).regex
 
 
 def required_text(pattern: str, flags: str = "") -> tuple[tuple[str, ...], tuple[str, ...]]:
-    """A text that is part of every match, as (as it is, lower-cased); both empty if none is known.
-
-    The longest run of plain characters outside groups and classes. Patterns with alternatives are
-    left alone.
-    """
-    tokens = _plain_tokens(pattern, flags)
-    if "|" in tokens or ("i" in flags and "u" in flags):
-        return (), ()
-    runs, run, depth, in_class = [], "", 0, False
-    for i, token in enumerate(tokens):
-        follows = tokens[i + 1] if i + 1 < len(tokens) else ""
-        literal = None
-        if in_class:
-            in_class = token != "]"
-        elif token == "[":
-            in_class = True
-        elif token[0] == "(":
-            depth += 1
-        elif token == ")":
-            depth -= 1
-        elif depth == 0 and len(token) == 1 and token not in "^$.*+?{}]\\":
-            literal = token
-        elif depth == 0 and len(token) == 2 and token[0] == "\\" and not token[1].isalnum():
-            literal = token[1]
-        if literal is not None and literal.isascii() and not (follows and _quantifier(follows)):
-            run += literal
-        elif not (token in (r"\b", "^") and not run):
-            runs.append(run)
-            run = ""
-    best = max([*runs, run], key=len)
-    if len(best) < 3:
-        return (), ()
-    return ((), (best.lower(),)) if "i" in flags else ((best,), ())
+    """A text that is part of every match, as (as it is, lower-cased); both empty if none is known."""
+    found = needs(pattern, flags)
+    return found if len(found[0]) + len(found[1]) == 1 else ((), ())
 
 
-def _reversed_range(pattern: str) -> bool:
-    """Whether a class holds a range of plain characters that ends before it begins."""
-    for body in re.findall(r"(?<!\\)\[\^?((?:[^\]\\]|\\.)*)\]", pattern, re.S):
-        tokens = _TOKEN.findall(body)
-        k = 0
-        while k + 2 < len(tokens):
-            if tokens[k + 1] == "-":
-                if len(tokens[k]) == len(tokens[k + 2]) == 1 and tokens[k] > tokens[k + 2]:
-                    return True
-                k += 3
-            else:
-                k += 1
-    return False
+def needs(pattern: str, flags: str = "") -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Texts of which every match holds one at least, in the same form."""
+    found = translate(pattern, flags).needs
+    return found.plain, found.folded
 
 
-def java_regex(pattern: str, flags: str = "") -> str | None:
-    """The pattern for Spark's regex functions, or None where JavaScript rejects it.
-
-    What Java refuses beyond that shows when rules are compiled, see ``rulebook.compiling``.
-    """
-    if any(f not in _FLAGS for f in flags) or len(set(flags)) != len(flags) or {"u", "v"} <= set(flags):
-        return None
-    out: list[str] = []
-    in_class = quantifiable = not_blank = False
-    depth = opened = 0
-    if _reversed_range(pattern):
-        return None
-    tokens = _plain_tokens(pattern, flags)
-    # Names of groups are freer in JavaScript; here they are numbered.
-    names = [t[3:-1] for t in tokens if t.startswith("(?<") and t[3:4] not in ("=", "!")]
-    if len(set(names)) != len(names):
-        return None
-    groups = {name: f"name{k}" for k, name in enumerate(names)}
-    for i, token in enumerate(tokens):
-        if in_class:
-            if token == "]":
-                in_class = False
-                body = "".join(out[opened + 1 :])
-                if not_blank:
-                    # Anything but blanks, and the rest of the class.
-                    rest = body.removeprefix("^")
-                    if body == WS_CHARS:
-                        text = r"[\s\S]"
-                    elif body.startswith("^"):
-                        text = f"(?:(?![{rest}])[{WS_CHARS}])" if rest else f"[{WS_CHARS}]"
-                    else:
-                        text = f"(?:[^{WS_CHARS}]|[{rest}])" if rest else f"[^{WS_CHARS}]"
-                    out[opened:] = [text]
-                # An empty class matches nothing, its negation anything.
-                elif body in ("", "^"):
-                    out[opened:] = [r"[\s\S]" if body else r"[^\s\S]"]
-                else:
-                    out.append("]")
-            elif token == "^" and len(out) == opened + 1:
-                out.append("^")
-            elif token.startswith("\\") and len(token) > 1:
-                if token == r"\S":
-                    not_blank = True
-                else:
-                    out.append(_escape(token, True))
-            else:
-                out.append("".join("\\" + c if c in "[&~^" else c for c in token))
-            quantifiable = True
-            continue
-        if token[0] in "*+?" or (token[0] == "{" and len(token) > 1):
-            bounds = re.fullmatch(r"\{(\d+),(\d+)\}\??", token)
-            if not quantifiable or (bounds and int(bounds[1]) > int(bounds[2])):
-                return None
-            out.append(token)
-            quantifiable = False
-            continue
-        quantifiable = True
-        if token == "[":
-            in_class, not_blank = True, False
-            opened = len(out)
-            out.append("[")
-        elif token == "\\":
-            return None
-        elif token == r"\b":
-            out.append(_edge(tokens, i))
-        elif token[:3] == r"\k<":
-            if token[3:-1] not in groups:
-                return None
-            out.append(rf"\k<{groups[token[3:-1]]}>")
-        elif token[0] == "\\":
-            out.append(_escape(token, False))
-        elif token[0] == "(":
-            depth += 1
-            out.append(f"(?<{groups[token[3:-1]]}>" if token[3:-1] in groups and token.startswith("(?<") else token)
-            quantifiable = False
-        elif token == ")":
-            depth -= 1
-            if depth < 0:
-                return None
-            out.append(token)
-        elif token == "|":
-            out.append(token)
-            quantifiable = False
-        elif token == "^":
-            out.append(f"(?<![^{_LINE_ENDS}])" if "m" in flags else "^")
-            quantifiable = False
-        elif token == "$":
-            out.append(f"(?![^{_LINE_ENDS}])" if "m" in flags else r"\z")
-            quantifiable = False
-        elif token == ".":
-            out.append(r"[\s\S]" if "s" in flags else f"[^{_LINE_ENDS}]")
-        else:
-            out.append("\\" + token if token in "{}]" else token)
-    if in_class or depth:
-        return None
-    text = "".join(out)
-    if "i" in flags:
-        text = f"(?iu:{text})" if "u" in flags or "v" in flags else f"(?i:{text})"
-    if "y" in flags:
-        text = f"\\A(?:{text})"
-    return text
+@F.pandas_udf(
+    T.ArrayType(T.StructType([T.StructField("regex", T.StringType()), T.StructField("reason", T.StringType())]))
+)
+def translated_column(patterns: pd.Series, flags: pd.Series) -> pd.Series:
+    """Arrays of patterns, each translated or with the reason why it is not."""
 
+    def one(pattern: str, flag: str) -> dict:
+        found = translate(pattern, flag)
+        return {"regex": found.regex, "reason": found.reason}
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def java_regex_column(patterns: pd.Series, flags: pd.Series) -> pd.Series:
-    """Translate arrays of patterns; a pattern JavaScript rejects becomes null."""
     return pd.Series(
         [
-            None if p is None else [java_regex(x, f) for x, f in zip(p, fs, strict=True)]
+            None if p is None else [one(x, f) for x, f in zip(p, fs, strict=True)]
             for p, fs in zip(patterns, flags, strict=True)
         ]
     )
+
+
+def translated(patterns: Column, flags: Column) -> Column:
+    return translated_column(patterns, flags)

@@ -76,6 +76,25 @@ def applies_to_any(path: Column, patterns: Column) -> Column:
     return F.exists(patterns, covers)
 
 
+def reach_key(pattern: str) -> str:
+    """A rule's path pattern as a key: what a path ends in (s), or a whole file name (b), ignoring case."""
+    ending = pattern.startswith(".") or "/" in pattern
+    return ("s" if ending else "b") + pattern.lower()
+
+
+def reach_key_column(pattern: Column) -> Column:
+    """The same of a column of patterns."""
+    ending = F.startswith(pattern, F.lit(".")) | F.contains(pattern, F.lit("/"))
+    return F.concat(F.when(ending, "s").otherwise("b"), F.lower(pattern))
+
+
+def path_keys(path: Column, lengths: Sequence[int]) -> Column:
+    """The keys a path has: its file name, and its endings of some lengths."""
+    low = F.lower(path)
+    endings = [F.when(F.length(low) >= n, F.concat(F.lit("s"), F.right(low, F.lit(n)))) for n in lengths]
+    return F.array_compact(F.array(F.concat(F.lit("b"), basename(low)), *endings))
+
+
 def relative_to(path: Column, root: Column) -> Column:
     """The path below root; paths outside root are returned unchanged."""
     prefix = F.when(F.endswith(root, F.lit("/")), root).otherwise(F.concat(root, F.lit("/")))

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from scanloom.functions import paths, text
 from scanloom.operators import catalog
 from scanloom.operators.catalog import Pattern, Rule
-from scanloom.operators.rulebook import RULES_PER_PASS, Rulebook
+from scanloom.operators.rulebook import PLANNED_RULES, Rulebook
+from scanloom.operators.ruletable import table_hits
 
 HITS = (
     "project_id string, path string, rule_ordinal int, ord int, sub int, line int, code int, "
@@ -499,11 +500,11 @@ def detect(
     in_content = [r for r in rules if r.rule_id != catalog.ENV.rule_id]
     built_in = [r for r in in_content if r.rule_id in _BUILT_IN]
     custom = [r for r in in_content if r.rule_id not in _BUILT_IN]
-    head = built_in + custom[:RULES_PER_PASS]
-    if head:
-        parts.append(line_and_file_hits(files, head, book))
-    for at in range(RULES_PER_PASS, len(custom), RULES_PER_PASS):
-        parts.append(line_and_file_hits(files, custom[at : at + RULES_PER_PASS], book))
+    planned = built_in + (custom if len(custom) <= PLANNED_RULES else [])
+    if planned:
+        parts.append(line_and_file_hits(files, planned, book))
+    if len(custom) > PLANNED_RULES:
+        parts.append(table_hits(files, custom, book))
     if any(r.rule_id == catalog.ENV.rule_id for r in rules):
         parts.append(env_hits(files, listing if listing is not None else files, book))
     if not parts:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom import schemas
-from scanloom.functions.jsregex import java_regex, java_regex_column, required_text
+from scanloom.functions.jsregex import java_regex, needs, translated
 from scanloom.operators.catalog import BUILT_IN_RULES, Pattern, Rule
 
 _FACTS = "struct<rule_id:string,severity:string,category:string,template:string>"
@@ -23,8 +23,11 @@ _RULE_ROW = (
 # Fixed value: longest pattern a custom rule may carry.
 MAX_PATTERN_LENGTH = 500
 
-# Custom rules handled in one pass over the files; more rules mean more passes.
-RULES_PER_PASS = 100
+# Up to so many custom rules become part of the plan; more are a table that hits are joined with.
+PLANNED_RULES = 100
+
+# Patterns that Spark is asked about at a time.
+ASKED = 200
 
 
 @dataclass(frozen=True)
@@ -94,22 +97,8 @@ class Rulebook:
 # --- rule tables ---------------------------------------------------------------------------------
 
 
-def admit_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split a table of custom rules (``schemas.RULES``) into admitted and rejected ones.
-
-    A rule needs all its texts, a known severity, a list of path patterns without gaps and at least
-    one usable pattern. A pattern is usable when it has 1 to 500 characters, a message, and
-    compiles; unusable patterns are dropped, and a rule left without any is rejected. Patterns come
-    out translated to the dialect Spark evaluates, beside their source.
-    """
-
-    def usable(p: Column) -> Column:
-        return (
-            p["regex"].isNotNull()
-            & p["message"].isNotNull()
-            & F.length(p["regex"]).between(1, MAX_PATTERN_LENGTH)
-        )
-
+def _judged(rules: DataFrame, max_length: int) -> DataFrame:
+    """Rules with ``reason`` (null so far admitted) and ``judged``: each pattern, translated or with a reason."""
     shaped = rules.withColumn(
         "reason",
         F.when(
@@ -129,39 +118,58 @@ def admit_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
             "bad path patterns",
         )
         .when(F.coalesce(F.size("patterns"), F.lit(0)) <= 0, "no patterns"),
-    ).withColumn("kept", F.filter("patterns", usable))
-    translated = shaped.withColumn(
-        "java",
-        F.when(
-            F.col("reason").isNull(),
-            java_regex_column(
-                F.transform("kept", lambda p: p["regex"]),
-                F.transform("kept", lambda p: F.coalesce(p["flags"], F.lit(""))),
+    )
+
+    def shape(p: Column) -> Column:
+        return (
+            F.when(p.isNull() | p["regex"].isNull(), "no regex")
+            .when(p["message"].isNull(), "no message")
+            .when(F.length(p["regex"]) == 0, "empty regex")
+            .when(F.length(p["regex"]) > max_length, f"longer than {max_length} characters")
+        )
+
+    patterns = F.coalesce("patterns", F.array().cast(rules.schema["patterns"].dataType))
+    # What is refused by its shape is not read; an empty pattern stands for it.
+    readable = F.transform(patterns, lambda p: F.when(shape(p).isNull(), p["regex"]).otherwise(""))
+    flags = F.transform(patterns, lambda p: F.coalesce(p["flags"], F.lit("")))
+    read = shaped.withColumn("java", translated(readable, flags))
+    judged = read.withColumn(
+        "judged",
+        F.zip_with(
+            patterns,
+            "java",
+            lambda p, j: F.struct(
+                F.when(shape(p).isNull(), j["regex"]).alias("regex"),
+                F.lit("").alias("flags"),
+                p["message"].alias("message"),
+                p["regex"].alias("source"),
+                F.coalesce(p["flags"], F.lit("")).alias("source_flags"),
+                F.coalesce(shape(p), j["reason"]).alias("reason"),
             ),
         ),
     )
-    compiled = translated.withColumn(
+    return judged.withColumn(
+        "judged", F.transform("judged", lambda p, at: p.withField("place", (at + 1).cast("int")))
+    )
+
+
+def admit_rules(
+    rules: DataFrame, max_length: int = MAX_PATTERN_LENGTH
+) -> tuple[DataFrame, DataFrame]:
+    """Split a table of custom rules (``schemas.RULES``) into admitted and rejected ones.
+
+    A rule needs all its texts, a known severity, a list of path patterns without gaps and at least
+    one usable pattern. A pattern is usable when it has 1 to ``max_length`` characters, a message, and
+    is one in JavaScript that can be evaluated here; the others are dropped (``dropped_patterns`` has
+    them), and a rule left without any is rejected. Patterns come out translated to the dialect Spark
+    evaluates, beside their source.
+    """
+    compiled = _judged(rules, max_length).withColumn(
         "patterns",
-        F.filter(
-            F.zip_with(
-                "kept",
-                "java",
-                lambda p, j: F.struct(
-                    j.alias("regex"),
-                    F.lit("").alias("flags"),
-                    p["message"].alias("message"),
-                    p["regex"].alias("source"),
-                    F.coalesce(p["flags"], F.lit("")).alias("source_flags"),
-                ),
-            ),
-            lambda p: p["regex"].isNotNull(),
-        ),
-    ).withColumn(
-        "reason",
-        F.coalesce(
-            "reason", F.when(F.coalesce(F.size("patterns"), F.lit(0)) <= 0, "no usable pattern")
+        F.transform(
+            F.filter("judged", lambda p: p["regex"].isNotNull()), lambda p: p.dropFields("reason")
         ),
-    )
+    ).withColumn("reason", F.coalesce("reason", F.when(F.size("patterns") <= 0, "no usable pattern")))
     columns = ["load_order", "rule_id", "name", "description", "category", "severity"]
     columns += ["applicable_to", "patterns"]
     admitted = compiled.where(F.col("reason").isNull()).select(*columns)
@@ -169,6 +177,41 @@ def admit_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     return admitted, rejected
 
 
+def dropped_patterns(rules: DataFrame, max_length: int = MAX_PATTERN_LENGTH) -> DataFrame:
+    """``load_order, rule_id, place, regex, flags, reason`` of every pattern that is not used, of admitted
+    and rejected rules alike. ``place`` counts the patterns of a rule from 1.
+
+    A pattern that was translated may still be refused by the engine, as it names a script that the
+    engine does not know; ``refused_patterns`` asks it.
+    """
+    rows = _judged(rules, max_length).select("load_order", "rule_id", F.explode("judged").alias("p"))
+    return rows.where(F.col("p.reason").isNotNull()).select(
+        "load_order",
+        "rule_id",
+        "p.place",
+        F.col("p.source").alias("regex"),
+        F.col("p.source_flags").alias("flags"),
+        F.col("p.reason").alias("reason"),
+    )
+
+
+def refused_patterns(admitted: DataFrame) -> DataFrame:
+    """Patterns of admitted rules that the engine refuses to compile, in the shape of ``dropped_patterns``."""
+    spark = admitted.sparkSession
+    each = admitted.select("load_order", "rule_id", F.explode("patterns").alias("p"))
+    regexes = [r[0] for r in each.select("p.regex").distinct().toLocalIterator()]
+    bad = sorted(set(regexes) - compiling(spark, regexes))
+    refused = spark.createDataFrame([(r,) for r in bad], "refused string")
+    return each.join(refused, F.col("p.regex") == F.col("refused")).select(
+        "load_order",
+        "rule_id",
+        "p.place",
+        F.col("p.source").alias("regex"),
+        F.col("p.source_flags").alias("flags"),
+        F.lit("refused by the engine").alias("reason"),
+    )
+
+
 def first_by_id(rules: DataFrame, order: str = "load_order") -> DataFrame:
     """One rule per id, the first loaded.
 
@@ -214,31 +257,32 @@ def list_rules(rules: DataFrame, category: str | None = None) -> DataFrame:
 def compiling(spark: SparkSession, regexes: Sequence[str]) -> set[str]:
     """The patterns Spark accepts, asked of Spark itself; halves are asked apart only on failure."""
     unique = sorted(set(regexes))
-    if not unique:
-        return set()
-    try:
-        tests = [F.rlike(F.lit("x"), F.lit(r)) for r in unique]
-        spark.range(1).select(F.array(*tests)).collect()
-        return set(unique)
-    except PySparkException:
-        if len(unique) == 1:
-            return set()
-        half = len(unique) // 2
-        return compiling(spark, unique[:half]) | compiling(spark, unique[half:])
+    good: set[str] = set()
+    todo = [unique[k : k + ASKED] for k in range(0, len(unique), ASKED)]
+    while todo:
+        some = todo.pop()
+        try:
+            spark.range(1).select(F.array(*[F.rlike(F.lit("x"), F.lit(r)) for r in some])).collect()
+            good.update(some)
+        except PySparkException:
+            half = len(some) // 2
+            todo += [part for part in (some[:half], some[half:]) if half]
+    return good
 
 
 def compile_rules(rules: DataFrame) -> list[Rule]:
     """Admitted rules as scan rules, in load order.
 
-    Rules are configuration: they are read to the driver because each pattern becomes part of the
-    plan. However many there are, the scan takes them in passes of ``RULES_PER_PASS``.
+    Rules are configuration and are read to the driver. Up to ``PLANNED_RULES`` become part of the plan;
+    more stay a table, see ``ruletable``. Patterns the engine refuses are left out;
+    ``refused_patterns`` lists them.
     """
     rows = list(rules.orderBy("load_order").toLocalIterator())
     good = compiling(rules.sparkSession, [p["regex"] for row in rows for p in row["patterns"]])
     out = []
     for row in rows:
         patterns = tuple(
-            Pattern(p["regex"], p["message"], *required_text(p["source"], p["source_flags"]))
+            Pattern(p["regex"], p["message"], *needs(p["source"], p["source_flags"]))
             for p in row["patterns"]
             if p["regex"] in good
         )
@@ -269,7 +313,7 @@ def custom_rule(
 ) -> Rule:
     """A scan rule written in code; patterns are (regex, flags, message) in JavaScript's dialect."""
     translated = [
-        (java_regex(regex, flags), message, *required_text(regex, flags))
+        (java_regex(regex, flags), message, *needs(regex, flags))
         for regex, flags, message in patterns
     ]
     return Rule(

@@ -158,7 +158,7 @@ def test_texts_that_look_like_sql(project):
 
 
 def test_more_custom_rules_than_one_pass(project, monkeypatch):
-    monkeypatch.setattr(detect, "RULES_PER_PASS", 3)
+    monkeypatch.setattr(detect, "PLANNED_RULES", 3)
     rules = [custom_rule(f"r{i}", "n", "d", "c", "low", [".ts"], [(f"w{i}(?!\\d)", "", f"m{i}")]) for i in range(10)]
     book = Rulebook().with_custom(rules)
     files = project({"a.ts": " ".join(f"w{i}" for i in range(10))})
