@@ -1288,3 +1288,7 @@ def stream_scan(spark, sf):
     query.awaitTermination()
     found = spark.read.parquet(f"{target}/findings").drop("batch")
     return found.where("rule_id = 'hardcoded-secrets'")
+
+
+# More queries, in a module of their own.
+from checks import mechanisms  # noqa: E402, F401

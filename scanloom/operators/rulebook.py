@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import cached_property
+from itertools import accumulate
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,15 +40,17 @@ class Rulebook:
 
     def only(self, rule_ids: Sequence[str] | None) -> list[Rule]:
         """The named rules, or all of them when no name is given."""
-        return [r for r in self.rules if not rule_ids or r.rule_id in rule_ids]
+        wanted = set(rule_ids or ())
+        return [r for r in self.rules if not wanted or r.rule_id in wanted]
+
+    @cached_property
+    def _first_codes(self) -> dict[str, int]:
+        counts = [len(r.patterns) for r in self.rules]
+        starts = accumulate(counts, initial=1)
+        return {r.rule_id: code for r, code in zip(self.rules, starts, strict=False)}
 
     def first_code(self, rule: Rule) -> int:
-        code = 1
-        for r in self.rules:
-            if r.rule_id == rule.rule_id:
-                return code
-            code += len(r.patterns)
-        raise KeyError(rule.rule_id)
+        return self._first_codes[rule.rule_id]
 
     def with_custom(self, custom: Sequence[Rule]) -> Rulebook:
         """Custom rules after the built-in ones; clashing and repeated ids keep the first rule."""
