@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import oracle as o
-from checks.queries import _TEXT_FILES, candidate_rules, register
+from checks.queries import _HEAD, _TEXT_FILES, _by_severity_sql, as_of, candidate_rules, register, stored_findings, workspace_scores
 from scanloom import schemas
 from scanloom.functions import text
 from scanloom.operators import findings as ops
-from scanloom.operators import rulebook, ruletable, textdiff
+from scanloom.operators import history, reports, rulebook, ruletable, textdiff
 from scanloom.operators.linestate import strip_by_line
 from scanloom.operators.pluggable import PythonRule, python_rules
 from scanloom.operators.rulebook import Rulebook
-from scanloom.plans import corpus, scan
+from scanloom.plans import corpus, scan, storage
+from scanloom.sources import documentsink, store
+from scanloom.streaming import tracked
 
 
 def text_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -270,3 +272,201 @@ def python_rules_query(spark, sf):
     # The text of this error has the number of values only in newer interpreters.
     error = F.regexp_replace("error", r"\(expected 3\)$", "(expected 3, got 13)")
     return found.withColumn("error", error)
+
+
+# --- caps, scores and orders ---------------------------------------------------------------------
+
+
+#: Files of many findings, and projects of few, composed of the same code.
+def _recomposed(project: str, path: str, findings: str) -> str:
+    return f"""{o.CODE}, all_files AS (
+  SELECT {project} AS project_id, {path} AS path, string_agg(content, {o.NL} ORDER BY f) AS content
+  FROM (SELECT *, regexp_extract(path, 'f([0-9]+)', 1)::INT AS f FROM code) GROUP BY ALL),
+files AS MATERIALIZED (SELECT * FROM all_files), env_examples AS (SELECT NULL::VARCHAR AS project_id, NULL::VARCHAR AS path),
+{o.stripped_lines('files')}, {findings}"""
+
+
+_ALL_HITS = " UNION ALL ".join(o.HITS.values())
+_DENSE = _recomposed("'p' || (f // 200)", "'src/g' || (f // 25) || '.ts'", o.findings(_ALL_HITS, o.CAP))
+#: A project for every three lines of code.
+_SPARSE = f"""{o.CODE}, pieces AS (
+  SELECT regexp_extract(path, 'f([0-9]+)', 1) AS f, unnest(range(0, len(lines))) AS pos, unnest(lines) AS line
+  FROM (SELECT path, string_split(content, {o.NL}) AS lines FROM code)),
+all_files AS (
+  SELECT 'q' || f || '-' || (pos // 3) AS project_id, 'src/few.ts' AS path, string_agg(line, {o.NL} ORDER BY pos) AS content
+  FROM pieces GROUP BY ALL),
+files AS MATERIALIZED (SELECT * FROM all_files), env_examples AS (SELECT NULL::VARCHAR AS project_id, NULL::VARCHAR AS path),
+{o.stripped_lines('files')}, {o.findings(_ALL_HITS)}"""
+
+
+def recomposed(spark: SparkSession, sf: str, projects: int, per_file: int, name: str, project: str) -> DataFrame:
+    code = corpus.code(spark, sf).select(
+        F.regexp_extract("path", "f([0-9]+)", 1).cast("int").alias("f"), "content"
+    )
+    parts = F.array_sort(F.collect_list(F.struct("f", "content")))
+    return code.groupBy(
+        F.concat(F.lit(project), F.floor(F.col("f") / projects).cast("string")).alias("project_id"),
+        F.concat(F.lit(name), F.floor(F.col("f") / per_file).cast("string"), F.lit(".ts")).alias("path"),
+    ).agg(F.array_join(F.transform(parts, lambda p: p["content"]), "\n").alias("content"))
+
+
+@register(
+    "dense_findings_capped",
+    f"WITH {_DENSE} SELECT {o.FINDING_COLUMNS} FROM findings",
+)
+def dense_findings_capped(spark, sf):
+    """Files of several hundred findings, of which the first hundred stay."""
+    files = recomposed(spark, sf, 200, 25, "src/g", "p")
+    return scan.scan(files, cap=schemas.MAX_FINDINGS_PER_FILE)
+
+
+@register(
+    "small_project_scores",
+    f"""WITH {_SPARSE}, {o.SCORES}
+SELECT project_id, critical, medium, low, total, score, threshold, passed FROM scores""",
+)
+def small_project_scores(spark, sf):
+    """Projects of three lines each: scores from 0 to 100, on both sides of the gate."""
+    lines = corpus.code(spark, sf).select(
+        F.regexp_extract("path", "f([0-9]+)", 1).alias("f"), F.posexplode(text.split_lines(F.col("content"))).alias("pos", "line")
+    )
+    piece = F.floor(F.col("pos") / 3).cast("string")
+    files = lines.groupBy(F.concat(F.lit("q"), "f", F.lit("-"), piece).alias("project_id")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda p: p["line"]), "\n").alias("content")
+    )
+    scored = scan.project_scores(files.select("project_id", F.lit("src/few.ts").alias("path"), "content"))
+    return scored.select("project_id", "critical", "medium", "low", "total", "score", "threshold", "passed")
+
+
+def _locale_name(path: str) -> str:
+    """Names that are ordered otherwise by their bytes than by readers."""
+    return f"CASE length({path}) % 3 WHEN 0 THEN upper({path}) WHEN 1 THEN 'É' || {path} ELSE {path} END"
+
+
+@register(
+    "report_sorts_locale",
+    f"""WITH {o.SCAN}, visible AS (
+  SELECT *, {_locale_name('path')} AS name FROM findings WHERE severity IN ('critical', 'medium'))
+SELECT project_id, name, rule_id, seq,
+  row_number() OVER (PARTITION BY project_id ORDER BY {o.RANK}, name, rule_ordinal, seq) - 1 AS by_severity,
+  row_number() OVER (PARTITION BY project_id ORDER BY icu_sort_key(name, 'en'), name, {o.RANK}, name, rule_ordinal, seq) - 1 AS by_file,
+  row_number() OVER (PARTITION BY project_id ORDER BY icu_sort_key(rule_id, 'en'), rule_id, {o.RANK}, name, rule_ordinal, seq) - 1 AS by_rule
+FROM visible""",
+)
+def report_sorts_locale(spark, sf):
+    named = stored_findings(spark, sf).withColumn("path", F.expr(_locale_name("path")))
+    positions = ops.report_positions(named, ("critical", "medium"), "UNICODE")
+    return positions.select(
+        "project_id", F.col("path").alias("name"), "rule_id", "seq", "by_severity", "by_file", "by_rule"
+    )
+
+
+# --- history scan by scan ------------------------------------------------------------------------
+
+
+@register(
+    "history_by_scan",
+    f"""WITH {o.LOG}, placed AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ts DESC) AS place FROM scan_log)
+SELECT project_id, place, ts, 'scan-' || (floor(epoch(ts))::BIGINT % 7) AS scan_id, score::INT AS score, files_scanned::INT AS files_scanned,
+  count(*) OVER (PARTITION BY project_id) AS entries
+FROM placed QUALIFY place <= 10""",
+)
+def history_by_scan(spark, sf):
+    """The log in seven appends, out of order and some twice; the newest ten from the state alone."""
+    path = storage.fresh_path(spark, "history")
+    log = corpus.scan_log(spark, sf).withColumn("part", (F.unix_timestamp("ts") % 7).cast("int"))
+    for version, part in enumerate((5, 0, 3, 3, 6, 1, 5, 2, 4)):
+        some = log.where(F.col("part") == part)
+        history.append_scan(some, f"{path}/all", f"scan-{part}")
+        history.update_newest(some, f"{path}/newest", f"scan-{part}", version)
+    counts = history.read_scans(spark, f"{path}/all").groupBy("project_id").agg(F.count("*").alias("entries"))
+    newest = history.newest_rows(history.read_newest(spark, f"{path}/newest"))
+    return newest.join(counts, "project_id").select(
+        "project_id", "place", "ts", "scan_id", "score", "files_scanned", "entries"
+    )
+
+
+# --- streams, sinks and stores -------------------------------------------------------------------
+
+
+@register(
+    "stream_env_examples",
+    f"""WITH {o.WORKSPACE} SELECT project_id, path FROM files e
+WHERE regexp_matches(path, '(^|/)[.]env$') AND NOT EXISTS (
+  SELECT 1 FROM env_examples x WHERE x.project_id = e.project_id AND x.path = e.path || '.example')""",
+)
+def stream_env_examples(spark, sf):
+    """Names that arrive in three parts, examples after most of their files, and some names again."""
+    target = storage.fresh_path(spark, "stream")
+    names = corpus.env_listing(spark, sf)
+    example, odd = F.endswith("path", F.lit(".example")), F.pmod(F.xxhash64("path"), F.lit(3)) == 0
+    for part in (~example | odd, example, F.lit(True)):
+        names.where(part).write.mode("append").parquet(f"{target}/in")
+        changes = tracked.env_changes(spark.readStream.schema(names.schema).parquet(f"{target}/in"))
+        query = tracked._by_batch(changes, "append", f"{target}/out/changes", f"{target}/progress", {})
+        query.awaitTermination()
+    return tracked.missing_examples(spark, f"{target}/out")
+
+
+@register(
+    "stream_project_scores",
+    f"""WITH {o.DOCUMENTS}, all_files AS (SELECT * FROM files), env_examples AS (SELECT NULL::VARCHAR AS project_id, NULL::VARCHAR AS path),
+{o.stripped_lines('files')}, {o.findings(_ALL_HITS)}, {o.SCORES}
+SELECT project_id, critical, medium, low, total, score, threshold, passed FROM scores""",
+)
+def stream_project_scores(spark, sf):
+    """Scores of projects whose files arrive as a stream, from counts kept as state."""
+    schema = corpus.table(spark, sf, "documents").schema
+    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    files = arriving.select(
+        F.col("source").alias("project_id"),
+        F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("path"),
+        F.col("text").alias("content"),
+    )
+    target = storage.fresh_path(spark, "stream")
+    for query in tracked.track_stream(files, target):
+        query.awaitTermination()
+    return tracked.stream_scores(spark, target).select(
+        "project_id", "critical", "medium", "low", "total", "score", "threshold", "passed"
+    )
+
+
+@register(
+    "document_commit",
+    f"""WITH {o.SCAN}, {o.SCORES}, parts AS ({_by_severity_sql(_HEAD)})
+SELECT project_id, md5(string_agg(text, '' ORDER BY section, item)) AS document FROM parts GROUP BY project_id""",
+)
+def document_commit(spark, sf):
+    """Reports written by many tasks, visible at once, and read back."""
+    found = stored_findings(spark, sf)
+    parts = reports.json_report(workspace_scores(spark, sf, found), found, as_of())
+    target = storage.fresh_path(spark, "documents")
+    documentsink.write_documents_at_once(parts, target)
+    # The documents are compared whole here; a file of a very long one is one row.
+    read = documentsink.read_parts(spark, target)
+    whole = F.array_sort(F.collect_list(F.struct("part", "text")))
+    return read.groupBy("project_id").agg(F.md5(F.array_join(F.transform(whole, lambda p: p["text"]), "")).alias("document"))
+
+
+@register(
+    "store_read",
+    """SELECT s_suppkey, 'ok' AS status, s_name || chr(10) || 'eval(x)' AS content FROM supplier""",
+)
+def store_read(spark, sf):
+    """Files of a tree in the shared folder, listed level by level and read in tasks of equal bytes."""
+    target = storage.fresh_path(spark, "tree")
+    key = F.col("s_suppkey")
+    made = corpus.table(spark, sf, "supplier").select(
+        key, F.concat("s_name", F.lit("\neval(x)")).alias("content"), F.concat(F.lit("a"), (key % 5).cast("string")).alias("a"),
+        F.concat(F.lit("b"), key.cast("string")).alias("b"),
+    )
+    made.select("content", "a", "b").write.partitionBy("a", "b").text(target)
+    listing = store.list_store(spark, [target])
+    # Spark names its files itself; here they stand for sources.
+    listing = listing.where(F.endswith("path", F.lit(".txt")))
+    dealt = store.by_bytes(listing, 1 << 20)
+    return store.read_dealt(dealt).select(
+        F.regexp_extract("path", "b=b([0-9]+)/", 1).cast("bigint").alias("s_suppkey"),
+        "status",
+        F.rtrim("content", F.lit("\n")).alias("content"),
+    )

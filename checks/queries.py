@@ -1272,8 +1272,13 @@ def python_rule_query(spark, sf):
     return found.select("project_id", "path", "line", "severity", "message", "rule_id")
 
 
-@register("stream_scan", f"{_DOC_SCAN} SELECT {o.FINDING_COLUMNS} FROM findings")
+_DOC_SCAN_ALL = f"""WITH {o.DOCUMENTS}, env_examples AS (SELECT NULL::VARCHAR AS project_id, NULL::VARCHAR AS path),
+{o.stripped_lines('files')}, {o.findings(' UNION ALL '.join(o.HITS.values()))}"""
+
+
+@register("stream_scan", f"{_DOC_SCAN_ALL} SELECT {o.FINDING_COLUMNS} FROM findings")
 def stream_scan(spark, sf):
+    """The findings of all rules on documents that arrive as a stream."""
     schema = corpus.table(spark, sf, "documents").schema
     arriving = (
         spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
@@ -1286,8 +1291,7 @@ def stream_scan(spark, sf):
     target = storage.fresh_path(spark, "stream")
     query = scan_stream(files, f"{target}/findings", f"{target}/progress")
     query.awaitTermination()
-    found = spark.read.parquet(f"{target}/findings").drop("batch")
-    return found.where("rule_id = 'hardcoded-secrets'")
+    return spark.read.parquet(f"{target}/findings").drop("batch")
 
 
 # More queries, in a module of their own.

@@ -165,20 +165,28 @@ def top_risks(findings: DataFrame, k: int = schemas.TOP_RISKS) -> DataFrame:
 
 
 def report_positions(
-    findings: DataFrame, severities: Sequence[str] = schemas.SEVERITIES
+    findings: DataFrame, severities: Sequence[str] = schemas.SEVERITIES, collation: str | None = None
 ) -> DataFrame:
     """Places of the visible findings when a report is sorted by severity, file or rule.
 
     Each sort is stable over the report order. The three are numbered side by side, two of them on
-    what identifies a finding and its sort key alone, and joined.
+    what identifies a finding and its sort key alone, and joined. File and rule names are compared
+    by their bytes, or in the order of a ``collation`` such as ``UNICODE``, as readers expect names to
+    be sorted; names it holds equal are then compared by their bytes.
     """
-    visible = settle(ranked(findings).where(F.col("severity").isin(*severities)))
+    visible = ranked(findings).where(F.col("severity").isin(*severities))
     identity = ["project_id", "path", "rule_ordinal", "seq"]
     key = [*identity, "severity_rank", "rule_id"]
     by_file = ["path", "severity_rank", "rule_ordinal", "seq"]
     by_rule = ["rule_id", *ORDER]
+    if collation is not None:
+        names = {f"{c}_in_order": F.collate(F.col(c), collation) for c in ("path", "rule_id")}
+        visible = visible.withColumns(names)
+        key += list(names)
+        by_file, by_rule = ["path_in_order", *by_file], ["rule_id_in_order", *by_rule]
+    visible = settle(visible)
     placed = number_rows(visible, ["project_id"], ORDER, "by_severity")
     for order, name in ((by_file, "by_file"), (by_rule, "by_rule")):
         places = number_rows(visible.select(*key), ["project_id"], order, name)
         placed = placed.join(places.select(*identity, name), identity)
-    return placed.select(*visible.columns, "by_severity", "by_file", "by_rule")
+    return placed.select(*findings.columns, "severity_rank", "by_severity", "by_file", "by_rule")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +26,33 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+#: Tables kept by ``settle``, by session.
+_kept: dict[int, list[DataFrame]] = {}
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Keep a table that several steps read, so that they do not scan the sources again.
 
     Nothing runs until an action needs it. The lineage stays, so what a lost executor held is
-    computed anew.
+    computed anew. ``settled`` or ``release`` gives the room back when results are written.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _kept.setdefault(id(df.sparkSession._jsparkSession), []).append(kept)
+    return kept
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Drop the tables kept so far, or those kept after the first ``since``."""
+    tables = _kept.get(id(spark._jsparkSession), [])
+    while len(tables) > since:
+        tables.pop().unpersist()
+
+
+@contextlib.contextmanager
+def settled(spark: SparkSession) -> Iterator[None]:
+    """What is kept inside is dropped at the end; results must be written or collected by then."""
+    before = len(_kept.get(id(spark._jsparkSession), []))
+    try:
+        yield
+    finally:
+        release(spark, before)
