@@ -65,6 +65,15 @@ def parts(column: pa.Array, most: int = PART_BYTES) -> Iterator[Part]:
         first = last
 
 
+def strings(column: pa.Array) -> list[str | None]:
+    """The rows as Python strings; bytes that are not UTF-8 become replacement characters."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        octets = column.cast(pa.large_binary()).to_pylist()
+        return [x if x is None else x.decode("utf-8", "replace") for x in octets]
+
+
 @dataclass
 class Spans:
     """Runs of wanted bytes: where they start and end, the row of each, and each row's first run."""

@@ -17,8 +17,8 @@ GRAM_BITS = 15
 SIZES = (1, 2, 3)
 #: Documents of each language that are learned from, at most (about).
 FIT_DOCUMENTS = 8_000
-#: Languages at most: the rarest beyond are not learned. Bounds the model to 2 MB a 8 languages.
-MOST_LANGUAGES = 200
+#: Languages whose probabilities are one broadcast, of 8 MB. More languages are several, one after another.
+BLOCK_LANGUAGES = 64
 
 _BUCKETS = 1 << GRAM_BITS
 _SMOOTHING = 0.1
@@ -71,22 +71,20 @@ def _grams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.n
         yield part.first, bucket, np.searchsorted(rows, np.arange(len(part) + 1)), has
 
 
-def train(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, their log priors and the matrix of log probabilities of n-gram buckets.
-
-    Learned from text and lang of rows that are not held out; of each language a share of the rows,
-    chosen by a hash of their ids, about ``fit_documents``. Priors count all rows.
-    """
-    known = docs.select(
+def _known(docs: DataFrame) -> DataFrame:
+    """Rows to learn from: those with text and lang that are not held out."""
+    return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
         F.col("lang").cast("string").alias("lang"),
     ).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    many = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    counts = {r["lang"]: r["n"] for r in many.collect()}
-    names = sorted(counts)
-    if not names:
-        return [], np.zeros(0), np.zeros((_BUCKETS, 0), dtype=np.float32)
+
+
+def _log_probabilities(known: DataFrame, counts: dict[str, int], names: list[str], fit_documents: int) -> np.ndarray:
+    """The matrix of log probabilities of n-gram buckets, a column for each of some languages.
+
+    Learned from a share of each language's rows, chosen by a hash of their ids, about ``fit_documents``.
+    """
     share = F.create_map(
         *[x for n in names for x in (F.lit(n), F.lit(min(10**6, int(fit_documents * 10**6 / counts[n]) + 1)))]
     )
@@ -107,42 +105,77 @@ def train(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> tuple[list[str
     table = store.totals(sample, share_of, len(names) * _BUCKETS, "i8", np.add).reshape(len(names), _BUCKETS)
     smooth = table + _SMOOTHING
     logs = np.log(smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float32)
-    prior = np.array([counts[n] for n in names], dtype=np.float64)
-    return names, np.log(prior / prior.sum()), np.ascontiguousarray(logs)
-
+    return np.ascontiguousarray(logs)
 
-def identify(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` per row of ``docs`` (``doc_id, text, lang``).
 
-    The prediction comes from the whole text alone; its score is the posterior probability of the
-    language. ``und`` with score 0 where the text is null or has no letter, and for every row where
-    nothing could be learned. Ties go to the first language by name. Rows with null or repeated ids
-    have a row each.
-    """
-    model = store.sent(docs, train(docs, fit_documents))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _scored(model: object, last: bool):
+    """Adds a block of languages: the best one so far, its sum, and the sum over all languages as a log.
+    The text goes on to the next block."""
 
     def rows(batches):
         names, prior, logs = store.received(model)
         for batch in batches:
-            pred = np.full(len(batch), -1)
-            score = np.zeros(len(batch))
+            lang = batch.column(2).to_pylist()
+            best = batch.column(3).to_numpy(zero_copy_only=False).copy()
+            mass = batch.column(4).to_numpy(zero_copy_only=False).copy()
             for at, bucket, first, has in _grams(batch.column(1)):
                 some = np.flatnonzero(has & (np.diff(first) > 0))
-                if not len(some) or not names:
+                if not len(some):
                     continue
                 sums = np.add.reduceat(logs[bucket], first[some], axis=0, dtype=np.float64) + prior
-                best = sums.argmax(axis=1)
-                pred[at + some] = best
-                score[at + some] = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
-            named = [names[k] if k >= 0 else "und" for k in pred]
-            yield pa.record_batch(
-                {
-                    "doc_id": batch.column(0),
-                    "lang_pred": pa.array(named, pa.string()),
-                    "score": pa.array(score, pa.float64()),
-                }
-            )
-
-    found = texts.mapInArrow(rows, "doc_id long, lang_pred string, score double")
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+                top = sums.argmax(axis=1)
+                value = sums[np.arange(len(some)), top]
+                whole = value + np.log(np.exp(sums - value[:, None]).sum(axis=1))
+                row = at + some
+                # Blocks come in the order of the names, so a tie stays with the earlier one.
+                better = value > best[row]
+                for k in np.flatnonzero(better):
+                    lang[row[k]] = names[top[k]]
+                best[row] = np.maximum(best[row], value)
+                mass[row] = np.logaddexp(mass[row], whole)
+            columns = [*batch.columns[: 1 if last else 2], pa.array(lang, pa.string()), pa.array(best), pa.array(mass)]
+            names_out = [n for n in batch.schema.names if n != "text" or not last]
+            yield pa.RecordBatch.from_arrays(columns, names=names_out)
+
+    return rows
+
+
+def identify(
+    docs: DataFrame, fit_documents: int = FIT_DOCUMENTS, block_languages: int = BLOCK_LANGUAGES
+) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` per row of ``docs`` (``doc_id, text, lang``).
+
+    The prediction comes from the whole text alone; its score is the posterior probability of the
+    language. Every language that is learned from can be predicted: ``block_languages`` of them at a time
+    are broadcast, and the best of all and the sum over all are carried from one to the next. Priors
+    count all rows that are learned from. ``und`` with score 0 where the text is null or has no letter,
+    and for every row where nothing could be learned. Ties go to the first language by name. Rows with
+    null or repeated ids have a row each; an empty table has none. Long texts are looked at whole, in
+    parts of whole rows; other columns play no part.
+    """
+    known = _known(docs)
+    # One row for each language.
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    names, whole = sorted(counts), sum(counts.values())
+    scored = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        F.lit(None).cast("string").alias("lang_pred"),
+        F.lit(float("-inf")).alias("best"),
+        F.lit(float("-inf")).alias("mass"),
+    )
+    schema = "doc_id long, text string, lang_pred string, best double, mass double"
+    for at in range(0, len(names), block_languages):
+        some = names[at : at + block_languages]
+        logs = _log_probabilities(known, counts, some, fit_documents)
+        prior = np.log([counts[n] / whole for n in some])
+        last = at + block_languages >= len(names)
+        kept = schema.replace("text string, ", "") if last else schema
+        scored = scored.mapInArrow(_scored(store.sent(docs, (some, prior, logs)), last), kept)
+    found = F.col("lang_pred").isNotNull()
+    return scored.select(
+        "doc_id",
+        held_out().alias("held_out"),
+        F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"),
+        F.when(found, F.least(F.exp(F.col("best") - F.col("mass")), F.lit(1.0))).otherwise(0.0).alias("score"),
+    )

@@ -504,8 +504,9 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = 5, percent: int = 90,
             at = names.index("text")
             texts = columns[at]
             cut = []
+            strings = arrays.strings(texts)
             for k, valid in enumerate(gone.is_valid().to_numpy(zero_copy_only=False)):
-                text = texts[k].as_py()
+                text = strings[k]
                 if valid:
                     drop = set(gone[k].as_py())
                     text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)

@@ -148,7 +148,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17) -
     source is taken as often as it fits whole into its target; what is left is filled by a subset:
     documents are counted by exact length, ``fill`` says how many of each length, and a seeded order of
     ids says which. Sizes are whole texts' words; null has none. A source without words has target 0.
-    Rows that are equal in id, source and size may take either's place. Extra columns play no part.
+    Rows that are equal in id, source and text may take either's place. Extra columns play no part.
 
     The histogram of a source has a row per length, so it grows with the longest text, not with the
     rows; its source's lengths are filled in one task. Documents of one source and length are put in
@@ -193,7 +193,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17) -
         F.col("source").eqNullSafe(F.col("of")) & F.expr("size = length and bucket = at"),
         "left",
     )
-    place = F.row_number().over(_window("source", "size", "bucket", ["chance", "doc_id"]))
+    place = F.row_number().over(_window("source", "size", "bucket", ["chance", "doc_id", "version"]))
     joined = joined.withColumn("place", place)
     extra = F.when(some, (F.col("before") + F.col("place") <= F.col("more")).cast("long")).otherwise(
         (F.col("more") > 0).cast("long")

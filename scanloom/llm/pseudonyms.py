@@ -286,7 +286,9 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     documents, different values different ones, and the key turns them back. ``kinds``: distinct,
     sorted, comma-joined; ``spans``: where the values stood, in characters of the given text.
 
-    Null texts stay null; rows with null or repeated ids have a row each. Values that fail their check
+    Null texts stay null; bytes that are not UTF-8 are read as replacement characters; an empty table has
+    no rows; rows with null or repeated ids have a row each. Texts of any length are searched whole, one at
+    a time; other columns are not looked at. Values that fail their check
     stay as they are, unless a later kind knows them.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -299,7 +301,7 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
             if pa.types.is_large_string(column.type):
                 column = column.cast(pa.string())
             valid = column.is_valid().to_numpy(zero_copy_only=False)
-            text = column.to_pylist()
+            text = arrays.strings(column)
             count = np.zeros(len(batch), dtype=np.int64)
             kinds = [""] * len(batch)
             found: list[list] = [[] for _ in range(len(batch))]

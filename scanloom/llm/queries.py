@@ -82,7 +82,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices of each document."""
-    return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
 def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
