@@ -429,6 +429,49 @@ new_patches AS (
     '+++ b/' || path || chr(9) || '{STAMP}', '@@ -1,0 +1,' || n || ' @@'])
   FROM (SELECT project_id, fix_ordinal, path, count(*) AS n FROM new_contents GROUP BY ALL))"""
 
+_EXPOSED = q(f'(?i)^{WS}*EXPOSE{WS}+5432')
+# Hunks of lines that go: removed places, those with at most six lines between them together, three lines around.
+EDIT_PATCHES = f"""
+edit_lines AS (
+  SELECT project_id, path, len(ls) AS n, unnest(range(len(ls))) AS i, unnest(ls) AS raw
+  FROM (SELECT project_id, path, string_split(content, {NL}) AS ls FROM files JOIN docker_edits USING (project_id, path)
+    WHERE (project_id, path) IN (SELECT (project_id, path) FROM findings WHERE rule_id = 'docker-expose-postgres'))),
+gone AS (SELECT project_id, path, n, i FROM edit_lines WHERE regexp_matches(raw, {_EXPOSED})),
+marked AS (
+  SELECT *, CASE WHEN i - 1 > lag(i) OVER (PARTITION BY project_id, path ORDER BY i) + 6 THEN 1 ELSE 0 END AS opens FROM gone),
+grouped AS (SELECT *, sum(opens) OVER (PARTITION BY project_id, path ORDER BY i) AS h FROM marked),
+spans AS (
+  SELECT project_id, path, h, greatest(0, min(i) - 3) AS a, least(max(n) - 1, max(i) + 3) AS b FROM grouped GROUP BY project_id, path, h),
+counted AS (
+  SELECT s.*, b - a + 1 AS size, count(*) FILTER (g.i BETWEEN a AND b) AS lost, count(*) FILTER (g.i < a) AS before
+  FROM spans s JOIN gone g USING (project_id, path) GROUP BY ALL),
+hunks AS (
+  SELECT *, 2 + sum(size + 1) OVER (PARTITION BY project_id, path ORDER BY h) - (size + 1) AS line_at FROM counted),
+edit_patches AS (
+  SELECT project_id, 3 AS fix_ordinal, path, unnest([0, 1])::BIGINT AS line_no,
+    unnest(['--- a/' || path || chr(9) || '{STAMP}', '+++ b/' || path || chr(9) || '{STAMP}']) AS text
+  FROM (SELECT DISTINCT project_id, path FROM spans)
+  UNION ALL SELECT project_id, 3, path, line_at::BIGINT, '@@ -' || (a + 1) || ',' || size || ' +' ||
+    (a - before + CASE WHEN size > lost THEN 1 ELSE 0 END) || ',' || (size - lost) || ' @@' FROM hunks
+  UNION ALL SELECT project_id, 3, path, (line_at + 1 + i - a)::BIGINT,
+    CASE WHEN regexp_matches(raw, {_EXPOSED}) THEN '-' ELSE ' ' END || raw
+  FROM hunks JOIN edit_lines USING (project_id, path) WHERE i BETWEEN a AND b)"""
+
+BUNDLE = f"""
+patches AS (SELECT * FROM new_patches UNION ALL SELECT * FROM edit_patches),
+numbers AS (
+  SELECT project_id, count(n) AS total FROM (SELECT DISTINCT project_id FROM all_files) LEFT JOIN suggested USING (project_id)
+  GROUP BY project_id),
+bundle AS (
+  SELECT project_id, 0 AS n, unnest(range(len(head))) AS line_no, unnest(head) AS text FROM (
+    SELECT project_id, CASE WHEN total = 0 THEN [{q(fixes.NO_FIXES)}, ''] ELSE ['# scanloom Auto-Fix Patch',
+      '# Generated: 2024-06-01T12:00:00.000Z', '# Total suggestions: ' || total, ''] END AS head FROM numbers)
+  UNION ALL SELECT project_id, n, unnest(range(7)), unnest([{q(fixes.BAR)}, '# Fix ' || n || '/' || total || ': ' || rule_id,
+    '# File: ' || path, '# Description: ' || description,
+    '# Auto-apply: ' || CASE WHEN can_auto_apply THEN 'YES' ELSE 'NO - requires manual review' END, {q(fixes.BAR)}, '']) FROM suggested
+  UNION ALL SELECT project_id, n, line_no + 7, text FROM suggested JOIN patches USING (project_id, fix_ordinal, path)
+  UNION ALL SELECT project_id, n, unnest([{1 << 60}, {(1 << 60) + 1}]), '' FROM suggested)"""
+
 # --- reviews -------------------------------------------------------------------------------------
 
 _FENCE = "'```'"

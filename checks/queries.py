@@ -822,13 +822,19 @@ def patched_content(spark, sf):
     return fixes.fixed_files(every, lines).select("project_id", "path", "line_no", "text")
 
 
-@register("edit_patches", None)
+@register(
+    "edit_patches",
+    f"""WITH {o.SCAN}, {o.FIXES}, {o.EDIT_PATCHES} SELECT project_id, path, line_no, text FROM edit_patches""",
+)
 def edit_patches(spark, sf):
     _, lines = all_patch_lines(spark, sf)
     return lines.where("fix_ordinal = 3").select("project_id", "path", "line_no", "text")
 
 
-@register("patch_bundle", None)
+_BUNDLE = f"WITH {o.SCAN}, {o.SCORES}, {o.FIXES}, {o.TEMPLATE}, {o.NOTE}, {o.NEW_PATCHES}, {o.EDIT_PATCHES}, {o.BUNDLE}"
+
+
+@register("patch_bundle", f"{_BUNDLE} SELECT project_id, n, line_no, text FROM bundle")
 def patch_bundle(spark, sf):
     return stored_bundle(spark, sf)[1]
 
@@ -845,7 +851,22 @@ def patch_banners(spark, sf):
     )
 
 
-@register("fix_json", None)
+_FIX_HEAD = (
+    """'{"timestamp":"2024-06-01T12:00:00.000Z","path":"' || project_id || '","provider":"none","summary":{"critical":' """
+    """|| critical || ',"medium":' || medium || ',"low":' || low || '},"patch":"'"""
+)
+
+
+@register(
+    "fix_json",
+    f"""{_BUNDLE}
+SELECT project_id, unnest([0, 2, 4]) AS section, 0 AS item, 0 AS part,
+  unnest([{_FIX_HEAD}, '","suggestions":[', ']}}']) AS text FROM scores
+UNION ALL SELECT project_id, 1, n, line_no, CASE WHEN n = 0 AND line_no = 0 THEN '' ELSE '\\n' END ||
+  substr(to_json(text)::VARCHAR, 2, length(to_json(text)::VARCHAR) - 2) FROM bundle
+UNION ALL SELECT project_id, 3, n, 0, CASE WHEN n > 1 THEN ',' ELSE '' END || '{{"ruleId":"' || rule_id || '","filePath":' ||
+  to_json(path) || ',"description":' || to_json(description) || ',"canAutoApply":' || can_auto_apply || '}}' FROM suggested""",
+)
 def fix_json(spark, sf):
     every, bundle, found = stored_bundle(spark, sf)
     return fixes.fix_report(workspace_scores(spark, sf, found), every, bundle, as_of())
