@@ -10,12 +10,12 @@ from checks.queries import _HEAD, _TEXT_FILES, _by_severity_sql, as_of, candidat
 from scanloom import schemas
 from scanloom.functions import text
 from scanloom.operators import findings as ops
-from scanloom.operators import history, reports, rulebook, ruletable, textdiff
+from scanloom.operators import history, reports, review, rulebook, ruletable, textdiff
 from scanloom.operators.linestate import strip_by_line
 from scanloom.operators.pluggable import PythonRule, python_rules
 from scanloom.operators.rulebook import Rulebook
 from scanloom.plans import corpus, scan, storage
-from scanloom.sources import documentsink, store
+from scanloom.sources import documentsink, rulefiles, store
 from scanloom.streaming import tracked
 
 
@@ -470,3 +470,81 @@ def store_read(spark, sf):
         "status",
         F.rtrim("content", F.lit("\n")).alias("content"),
     )
+
+
+# --- rule files and the fifth answer -------------------------------------------------------------
+
+
+@register(
+    "rule_files",
+    """SELECT p_partkey::INT AS number, 'r' || p_partkey AS rule_id, CASE WHEN p_partkey % 11 <> 0 THEN p_name END AS name,
+  CASE WHEN p_partkey % 13 <> 0 THEN 'low' END AS severity, CASE WHEN p_partkey % 17 <> 0 THEN '.ts,Dockerfile' END AS reach,
+  p_brand || '\\d+' AS regex, CASE p_partkey % 3 WHEN 0 THEN 'gi' WHEN 1 THEN '' ELSE '?' END AS flags,
+  (p_partkey // 40)::INT AS file, (p_partkey % 40)::INT AS place
+FROM part WHERE (p_partkey // 40) % 10 <> 9""",
+)
+def rule_files(spark, sf):
+    """Forty rules a file; values of wrong types become null, broken files have no rules."""
+    key = F.col("p_partkey")
+    def quoted(c):
+        text = F.to_json(F.array(c))
+        return F.substring(text, F.lit(2), F.length(text) - 2)
+
+    flags = F.when(key % 3 == 0, ', "flags": "gi"').when(key % 3 == 1, "").otherwise(', "flags": [1]')
+    text_of = F.concat(
+        F.lit("  - id: r"), key.cast("string"),
+        F.lit("\n    name: "), F.when(key % 11 != 0, quoted(F.col("p_name"))).otherwise("12"),
+        F.lit("\n    description: d # a comment\n    category: 'c'\n    severity: "), F.when(key % 13 != 0, "low").otherwise("true"),
+        F.lit("\n    applicableTo: "), F.when(key % 17 != 0, "[.ts, 'Dockerfile']").otherwise(".ts"),
+        F.lit('\n    patterns:\n      - {"regex": '), quoted(F.concat("p_brand", F.lit("\\d+"))), F.lit(', "message": "m"'), flags, F.lit("}"),
+    )
+    position = F.floor(key / 40)
+    parts = F.array_sort(F.collect_list(F.struct(key.alias("k"), text_of.alias("t"))))
+    files = corpus.table(spark, sf, "part").groupBy(position.alias("position")).agg(
+        F.concat(F.lit("rules:\n"), F.array_join(F.transform(parts, lambda p: p["t"]), "\n")).alias("content")
+    )
+    broken = F.when(F.col("position") % 10 == 9, F.concat(F.lit("rules: ["), "content")).otherwise(F.col("content"))
+    rules = rulefiles.parse_rule_files(files.select("position", broken.alias("content")))
+    pattern = F.element_at("patterns", 1)
+    return rules.select(
+        F.substring("rule_id", F.lit(2), F.lit(9)).cast("int").alias("number"),
+        "rule_id",
+        "name",
+        "severity",
+        F.array_join("applicable_to", ",").alias("reach"),
+        pattern["regex"].alias("regex"),
+        pattern["flags"].alias("flags"),
+        F.shiftright("load_order", 24).cast("int").alias("file"),
+        F.pmod("load_order", F.lit(1 << 24)).cast("int").alias("place"),
+    )
+
+
+@register(
+    "review_summary_answers",
+    """WITH turns AS (SELECT conv_id, turn, (conv_id + turn) % 7 AS form, 'risk ' || conv_id AS risk, 'fix ' || turn AS fix FROM conversations)
+SELECT conv_id, turn, form IN (0, 1, 2, 6) AS valid, CASE WHEN form IN (0, 1, 2, 6) THEN risk || '|second' ELSE '' END AS risks,
+  CASE WHEN form IN (0, 1) THEN fix ELSE '' END AS fixes,
+  CASE WHEN form IN (0, 1, 2) THEN 'ready ' || turn ELSE 'Unable to determine ship readiness.' END AS readiness
+FROM turns""",
+)
+def review_summary_answers(spark, sf):
+    """The fifth answer shape: lists of texts, in plain, fenced, incomplete and broken answers."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    form = (conv + turn) % 7
+    risks = F.concat(F.lit('["risk '), conv.cast("string"), F.lit('","second"]'))
+    fixes = F.concat(F.lit('["fix '), turn.cast("string"), F.lit('"]'))
+    ready = F.concat(F.lit('"ready '), turn.cast("string"), F.lit('"'))
+    answer = F.concat(
+        F.lit('{"prioritizedRisks":'), F.when(form == 3, F.lit('"one"')).otherwise(risks),
+        F.when(form.isin(2, 6), F.lit("")).otherwise(F.concat(F.lit(',"quickFixes":'), F.when(form == 4, F.lit('["a",1]')).otherwise(fixes))),
+        F.when(form == 6, F.lit("")).otherwise(F.concat(F.lit(',"shipReadiness":'), ready)), F.lit(',"more":{"x":[1]}}'),
+    )
+    answer = F.when(form == 1, F.concat(F.lit("Here:\n```json\n"), answer, F.lit("\n```\nDone"))).when(
+        form == 5, F.concat(answer, F.lit(" and more"))
+    ).otherwise(answer)
+    given = corpus.table(spark, sf, "conversations").select("conv_id", "turn", answer.alias("response"))
+    checked = review.parse_answer(given, review.REVIEW)
+    return checked.select(
+        "conv_id", "turn", "valid", F.array_join("prioritizedRisks", "|").alias("risks"),
+        F.array_join("quickFixes", "|").alias("fixes"), F.col("shipReadiness").alias("readiness"),
+    )

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scanloom import schemas
 
@@ -61,17 +64,57 @@ def _flags(value) -> str:
     return value if isinstance(value, str) else "" if not value else "?"
 
 
-def _rules_of(path: str) -> list:
-    """The rules of one file; none when it cannot be read or has no list of rules."""
+def _rules_in(text: str) -> list:
+    """The rules of one file's text; none when it is no YAML or has no list of rules."""
     try:
-        with open(path, encoding="utf-8") as f:
-            parsed = yaml.load(f.read(), Loader=_json_types_loader())
-    except (OSError, UnicodeDecodeError, yaml.YAMLError):
+        parsed = yaml.load(text, Loader=_json_types_loader())
+    except (yaml.YAMLError, ValueError, RecursionError):
         return []
     rules = parsed.get("rules") if isinstance(parsed, dict) else None
     return rules if isinstance(rules, list) else []
 
 
+def _rules_of(path: str) -> list:
+    """The rules of one file; none when it cannot be read."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            return _rules_in(f.read())
+    except (OSError, UnicodeDecodeError):
+        return []
+
+
+def parse_rule_files(files: DataFrame) -> DataFrame:
+    """The rules of a table of YAML files, ``position, content``, as ``schemas.RULES``.
+
+    For rule files that are many or lie in a store: each is read where its row is. ``position`` orders
+    the files; ``load_order`` (a long) orders their rules, first by file. A null or broken file has none.
+    """
+    if yaml is None:
+        raise ImportError("reading rule files needs the yaml module")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for position, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = [_rule_row((position << 24) + k, r) for k, r in enumerate(_rules_in(content or ""))]
+                if found:
+                    yield pa.RecordBatch.from_pylist([_named(r) for r in found], schema=arrow)
+
+    schema = schemas.RULES.replace("load_order int", "load_order long")
+    text = pa.string()
+    pattern = pa.struct([("regex", text), ("flags", text), ("message", text)])
+    kinds = [pa.int64(), *[text] * 5, pa.list_(text), pa.list_(pattern)]
+    names = ["load_order", "rule_id", "name", "description", "category", "severity", "applicable_to", "patterns"]
+    arrow = pa.schema(list(zip(names, kinds, strict=True)))
+
+    def _named(row: tuple) -> dict:
+        out = dict(zip(names, row, strict=True))
+        if out["patterns"] is not None:
+            out["patterns"] = [dict(zip(("regex", "flags", "message"), p, strict=True)) for p in out["patterns"]]
+        return out
+
+    return files.select(F.col("position").cast("long"), "content").mapInArrow(rows, schema)
+
+
 def load_rule_files(
     spark: SparkSession, default_file: str = DEFAULT_NAME, directory: str | None = None
 ) -> DataFrame:
