@@ -8,7 +8,8 @@ from pyspark import cloudpickle
 
 import scanloom
 from scanloom.functions import jsregex
-from scanloom.sources import tree
+from scanloom.operators import textdiff
+from scanloom.sources import documentsink, store, tree
 
 cloudpickle.register_pickle_by_value(scanloom)
 
@@ -17,6 +18,10 @@ cloudpickle.register_pickle_by_value(scanloom)
     ("function", "call"),
     [
         (jsregex.java_regex, "f(r'a\\b', 'i')"),
+        (jsregex.java_regex, "f(r'[\\p{L}--k]', 'vi')"),
+        (textdiff.hunks, "f(['a'], ['b'])"),
+        (store._list_folders, "f([])"),
+        (documentsink.DocumentWriter, "f('/nowhere', ['project_id', 'text'])"),
         (tree._read_one, "f('/', 'none', 1, 'file', None)"),
         (tree.TreeReader, "list(f({'roots': '/nowhere'}).read(f({'roots': '/nowhere'}).partitions()[0]))"),
     ],
