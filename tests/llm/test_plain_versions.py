@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from scanloom.llm import arrays, language, licenses, lines, pseudonyms, quality
+from scanloom.llm import arrays, language, licenses, lines, pseudonyms, quality, vectors
 
 from .plain import DOCS, alnum_words, edits
 
@@ -159,3 +159,22 @@ def test_bytes_that_are_not_utf8(spark):
     assert all(r.n_found == 1 and "ann@mail" not in r.text for r in found)
     cut = lines.drop_repeated_lines(df, short=True).select("row.doc_id", "row.text", "n_removed").collect()
     assert sorted((r.doc_id, r.n_removed) for r in cut) == [(0, 0), (1, 2), (2, 2)]
+
+
+@pytest.mark.parametrize("least", [0.7, 0.95])
+def test_near_vectors_at_other_thresholds(spark, least):
+    """Pairs just above the threshold are found, none below it."""
+    rng = np.random.default_rng(int(least * 100))
+    u, w = rng.normal(size=(2, 400, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w -= (w * u).sum(axis=1, keepdims=True) * u
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    cos = least + 0.02 * rng.random((400, 1)) - 0.005
+    v = cos * u + np.sqrt(1 - cos * cos) * w
+    x = np.concatenate((u, v)) * rng.uniform(0.5, 3, (800, 1))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (unit @ unit.T >= least).sum(axis=1) - 1
+    df = spark.createDataFrame([(k, y.tolist()) for k, y in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(df, least).collect()}
+    found = np.array([got[k] for k in range(800)])
+    assert (found <= links).all() and found.sum() >= 0.98 * links.sum() > 300
