@@ -218,7 +218,8 @@ def find_benchmark(
     documents, so no more than one block is broadcast at a time.
 
     Null and empty texts have no words. Null items or item texts are not searched for. Rows that repeat
-    an id and text have equal rows.
+    an id and text have equal rows. Texts of any length are searched whole; without documents there are no
+    rows; other columns, whatever their names, play no part.
     """
     docs = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),

@@ -123,7 +123,8 @@ def scan_licenses(docs: DataFrame, base=BASE, notices=NOTICES) -> DataFrame:
     the stretch around decides. A match has to begin and end at word edges. Edits count UTF-8 bytes.
 
     Null and empty texts have no words, no labels and score 0; rows with null or repeated ids have a
-    row each.
+    row each. Texts of any length are searched whole; an empty table has no rows; other columns, whatever
+    their names, play no part.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base, notices = tuple(base), tuple(notices)

@@ -175,7 +175,8 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     The vocabulary's pieces are sent to the tasks (a file of bounded size); each task enumerates their
     matches in a word by Aho-Corasick and carries the best sum and its pieces over the word's places.
     A word's count is remembered. Null and empty texts have no tokens; rows with null or repeated ids
-    have a row each; words are runs of non-blanks.
+    have a row each; words are runs of non-blanks. Texts of any length are counted whole; an empty table
+    has no rows; other columns, whatever their names, play no part.
     """
     model = store.sent(docs, read_vocabulary(vocabulary))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
