@@ -22,7 +22,11 @@ def _on(id_: str, version: str):
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts to be good."""
+    """Documents that the quality classifier predicts to be good.
+
+    A null text is judged as an empty one; rows with null or repeated ids are judged one by one, by their
+    whole text. All columns, whatever their names, go on as they are; an empty table stays empty.
+    """
     return quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -56,7 +60,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by benchmark passages."""
+    """Documents that are not contaminated by benchmark passages.
+
+    Null and empty texts hold none and stay. Rows without an id are judged by their text like all others; rows
+    that repeat an id and text alike. Whole texts are searched; all columns go on as they are; an empty table stays empty.
+    """
     found = decontaminate.find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = decontaminate.contamination(found).where("contaminated")
     bad = bad.select(F.col("doc_id").alias("bad_id"), F.col("version").alias("bad_version"))
