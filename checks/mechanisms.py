@@ -416,9 +416,7 @@ SELECT project_id, critical, medium, low, total, score, threshold, passed FROM s
 )
 def stream_project_scores(spark, sf):
     """Scores of projects whose files arrive as a stream, from counts kept as state."""
-    schema = corpus.table(spark, sf, "documents").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    files = arriving.select(
+    files = corpus.arriving(spark, sf, "documents").select(
         F.col("source").alias("project_id"),
         F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("path"),
         F.col("text").alias("content"),
