@@ -143,7 +143,8 @@ def rule_reach_join(spark, sf):
     rules = corpus.table(spark, sf, "supplier").select(
         F.concat(F.lit("supplier-"), key).alias("rule_id"), reach.alias("applicable_to")
     )
-    return ruletable.rules_by_path(corpus.workspace(spark, sf), rules).distinct()
+    # Files that are told apart, and rules of each once: pairs are distinct as they come.
+    return ruletable.rules_by_path(corpus.workspace(spark, sf).select("project_id", "path").distinct(), rules)
 
 
 # --- lines and texts -----------------------------------------------------------------------------

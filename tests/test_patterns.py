@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -278,3 +279,16 @@ def test_rules_by_path_equals_the_planned_predicates(spark):
 def test_path_keys(spark):
     row = spark.range(1).select(paths.path_keys(F.lit("A/b.TS"), [3, 9]).alias("k")).first()
     assert row.k == ["bb.ts", "s.ts"] and paths.reach_key(".TS") == "s.ts" and paths.reach_key("B.ts") == "bb.ts"
+
+
+def test_rules_by_path_pairs_in_blocks_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(ruletable, "BLOCK", 3)
+    files = spark.createDataFrame([("p", f"a{k}.ts") for k in range(20)] + [("p", "a1.ts")], "project_id string, path string")
+    rules = [(f"r{k}", [".ts", f"A{k}.ts", None]) for k in range(10)] + [("r1", [".TS"]), (None, ["ts/"]), (None, [".ts"])]
+    joined = ruletable.rules_by_path(files, spark.createDataFrame(rules, "rule_id string, applicable_to array<string>"))
+    got = Counter(map(tuple, joined.collect()))
+    ids = [f"r{k}" for k in range(10)] + [None]
+    assert got == Counter(("p", f, r) for f in [f"a{k}.ts" for k in range(20)] + ["a1.ts"] for r in ids)
+    # The pairs come last: nothing after them aggregates or shuffles.
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("Aggregate")
