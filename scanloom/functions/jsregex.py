@@ -46,4 +46,5 @@ def translated_column(patterns: pd.Series, flags: pd.Series) -> pd.Series:
 
 
 def translated(patterns: Column, flags: Column) -> Column:
-    return translated_column(patterns, flags)
+    """The same as a column of its own: filters that read it are not run ahead of it, which would translate twice."""
+    return translated_column.asNondeterministic()(patterns, flags)

@@ -292,3 +292,11 @@ def test_rules_by_path_pairs_in_blocks_without_a_shuffle(spark, monkeypatch):
     # The pairs come last: nothing after them aggregates or shuffles.
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate inline") < plan.index("Aggregate")
+
+
+def test_patterns_of_a_table_of_one_file_are_read_in_many_tasks(spark, tmp_path):
+    rows = [(k, f"r{k}", "n", "d", "c", "low", [".ts"], [(f"({k}", "", "m"), (f"a{k}", "", "m")]) for k in range(64)]
+    spark.createDataFrame(rows, schemas.RULES).coalesce(1).write.parquet(f"{tmp_path}/rules")
+    dropped = rulebook.dropped_patterns(spark.read.parquet(f"{tmp_path}/rules"))
+    assert sorted(r.load_order for r in dropped.collect()) == list(range(64))
+    assert dropped.select(F.spark_partition_id()).distinct().count() > 1
