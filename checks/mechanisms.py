@@ -455,13 +455,17 @@ def store_read(spark, sf):
     """Files of a tree in the shared folder, listed level by level and read in tasks of equal bytes."""
     target = storage.fresh_path(spark, "tree")
     key = F.col("s_suppkey")
-    made = corpus.table(spark, sf, "supplier").select(
-        key, F.concat("s_name", F.lit("\neval(x)")).alias("content"), F.concat(F.lit("a"), (key % 5).cast("string")).alias("a"),
-        F.concat(F.lit("b"), key.cast("string")).alias("b"),
+    none = F.lit("__HIVE_DEFAULT_PARTITION__")
+    folder = F.concat(
+        F.lit("a="), F.coalesce(F.concat(F.lit("a"), (key % 5).cast("string")), none),
+        F.lit("/b="), F.coalesce(F.concat(F.lit("b"), key.cast("string")), none),
     )
-    made.select("content", "a", "b").write.partitionBy("a", "b").text(target)
+    made = corpus.table(spark, sf, "supplier").select(
+        folder.alias("folder"), F.concat("s_name", F.lit("\neval(x)")).alias("text")
+    )
+    store.write_store(made, target)
     listing = store.list_store(spark, [target])
-    # Spark names its files itself; here they stand for sources.
+    # Files of text stand for sources here.
     listing = listing.where(F.endswith("path", F.lit(".txt")))
     dealt = store.by_bytes(listing, 1 << 20)
     return store.read_dealt(dealt).select(

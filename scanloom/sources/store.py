@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +74,36 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame
 
 
+def _write(batches: Iterator[pd.DataFrame], root: str) -> Iterator[pd.DataFrame]:
+    files, base = _open(root)
+    name = f"part-{TaskContext.get().partitionId():05d}.txt"
+    out, last, written = None, None, 0
+    for batch in batches:
+        for folder, line in batch.itertuples(index=False):
+            if out is None or folder != last:
+                if out is not None:
+                    out.close()
+                here = posixpath.join(base, folder)
+                files.create_dir(here, recursive=True)
+                out, last, written = files.open_output_stream(posixpath.join(here, name)), folder, written + 1
+            out.write(((line or "") + "\n").encode())
+    if out is not None:
+        out.close()
+    yield pd.DataFrame({"files": [written]})
+
+
+def write_store(texts: DataFrame, root: str) -> int:
+    """Write ``folder, text`` as a tree: one file in each folder below ``root``, each text and a line end.
+
+    The rows of a folder come to one task, ordered; a task that runs again writes its files again. No
+    folder is written twice or moved. Returns the number of files.
+    """
+    root = _uri(root)
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.select("folder", "text").repartition(partitions, "folder").sortWithinPartitions("folder", "text")
+    return dealt.mapInPandas(lambda batches: _write(batches, root), "files long").agg(F.sum("files")).first()[0]
+
+
 def list_store(spark: SparkSession, roots: list[str], tasks: int | None = None) -> DataFrame:
     """Every name below the roots, as ``tree.list_tree`` has them; roots are paths or URIs.
 

@@ -182,3 +182,24 @@ def test_files_are_dealt_by_bytes(spark):
         sums.setdefault(r.task, []).append(r.size + store.FILE_BYTES)
     # Without its last file no task has more than its share.
     assert all(sum(s[:-1]) <= 1_000_000 for s in sums.values())
+
+
+def test_a_tree_is_written_in_one_step_a_folder(spark, tmp_path):
+    rows = [("a=1/b=1", "x\ny"), ("a=1/b=2", None), ("a=1/b=1", "é"), ("c", "")]
+    root = f"{tmp_path}/tree"
+    assert store.write_store(spark.createDataFrame(rows, "folder string, text string"), root) == 3
+    found = {r.path.rsplit("/", 1)[0]: r for r in store.list_store(spark, [root]).collect()}
+    read = {f: open(f"{root}/{r.path}", encoding="utf-8").read() for f, r in found.items()}
+    assert read == {"a=1/b=1": "x\ny\né\n", "a=1/b=2": "\n", "c": "\n"}
+
+
+def test_store_read_writes_its_tree_without_renames(spark, tmp_path):
+    """Partitions that Spark commits are moved one by one; they made most of the time."""
+    from checks import mechanisms
+    from checks.queries import REGISTRY
+
+    assert "partitionBy" not in mechanisms.store_read.__code__.co_names
+    rows = [(k, f"s{k}") for k in range(30)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    read = REGISTRY["store_read"][0](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, read)) == [(k, "ok", f"s{k}\neval(x)") for k in range(30)]
