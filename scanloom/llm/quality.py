@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,13 +15,15 @@ from scanloom.llm import arrays, store
 #: Numbers per word vector, and word vectors (words share them by hash): 2 MB as 32-bit numbers.
 DIMENSIONS = 32
 BUCKET_BITS = 14
-#: Labelled documents the model is fitted on, at most.
-FIT_DOCUMENTS = 12_000
-#: Of those, one in so many is held back to set the temperature.
+#: Of the labelled documents, one in so many is held back to choose among steps and set the temperature.
 CALIBRATE_ONE_IN = 5
+#: Passes over the labelled documents that improve the network, at most, and labelled rows of a task.
+STEPS = 50
+TASK_ROWS, MOST_TASKS = 10_000, 256
 
 _BUCKETS = 1 << BUCKET_BITS
 _NEIGHBOURS = 2
+_NOT_ZERO = 4
 _HIDDEN = 24
 #: Bytes that are neither blank nor part of a word: signs.
 _SIGN = arrays.NOT_BLANK & ~arrays.ALNUM
@@ -33,7 +35,7 @@ def index_vectors() -> np.ndarray:
     """Sparse random vectors of -1, 0 and 1, one a bucket, always the same."""
     rng = np.random.default_rng(7)
     out = np.zeros((_BUCKETS, DIMENSIONS), dtype=np.float32)
-    for _ in range(4):
+    for _ in range(_NOT_ZERO):
         at = rng.integers(0, DIMENSIONS, _BUCKETS)
         out[np.arange(_BUCKETS), at] += rng.choice([-1.0, 1.0], _BUCKETS).astype(np.float32)
     return out
@@ -75,6 +77,9 @@ def _tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 def context_vectors(docs: DataFrame) -> np.ndarray:
     """Word vectors: each bucket's own random vector and those of its neighbours in the documents."""
     vectors = index_vectors()
+    # A vector has few numbers that are not 0: their places and values.
+    places = np.argsort(vectors == 0, axis=1, kind="stable")[:, :_NOT_ZERO].astype(np.int64)
+    values = np.take_along_axis(vectors, places, axis=1)
 
     def share(batches):
         out = np.zeros(_BUCKETS * DIMENSIONS, dtype=np.float32)
@@ -84,10 +89,10 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
                 for step in range(1, _NEIGHBOURS + 1):
                     same = np.flatnonzero(row[step:] == row[:-step])
                     for a, b in ((same, same + step), (same + step, same)):
-                        near = bucket[b]
-                        for d in range(DIMENSIONS):
-                            out[d::DIMENSIONS] += np.bincount(
-                                bucket[a], weights=vectors[near, d], minlength=_BUCKETS
+                        near, row_of = bucket[b], bucket[a] * DIMENSIONS
+                        for d in range(_NOT_ZERO):
+                            out += np.bincount(
+                                row_of + places[near, d], weights=values[near, d], minlength=len(out)
                             ).astype(np.float32)
         return out
 
@@ -130,101 +135,186 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
 
 
-def _loss(logits: np.ndarray, y: np.ndarray) -> float:
-    return float(np.mean(np.logaddexp(0, logits) - y * logits))
+def fit(x: np.ndarray, y: np.ndarray, calibrate: np.ndarray) -> Network:
+    """The network fitted on the rows not held back, its temperature on those held back."""
+    return fit_sums(lambda of: of(x, y, calibrate), x.shape[1])
 
 
-def fit(x: np.ndarray, y: np.ndarray, calibrate: np.ndarray) -> Network:
-    """The network fitted by Adam on the rows not held back, its temperature on those held back.
+def _side(calibrate: np.ndarray, fitted: str) -> np.ndarray:
+    """Rows a step is taken from: those not held back, or all."""
+    return ~calibrate if fitted == "rest" else np.ones(len(calibrate), bool)
+
 
-    Without rows of both labels the score is the share of label 1 (a half without any label).
+def fit_sums(total: Callable[[Callable], np.ndarray], width: int) -> Network:
+    """The same from sums over all rows: ``total`` adds up what a function makes of parts ``x, y, calibrate``.
+
+    L-BFGS on the loss of the whole; of its steps the one best on the rows held back stays. Without rows
+    of both labels the score is the share of label 1 (a half without any label).
     """
-    width = x.shape[1]
-    centre, scale = np.zeros(width), np.ones(width)
-    if len(y) == 0 or y.min() == y.max():
-        share = (y.sum() + 1) / (len(y) + 2)
+    many, ones, back, back_ones = total(
+        lambda x, y, c: np.array([len(y), y.sum(), c.sum(), y[c].sum()], dtype=np.float64)
+    )
+    if ones in (0, many):
+        share = (ones + 1) / (many + 2)
         return Network(
-            centre, scale, np.zeros((width, 1)), np.zeros(1), np.zeros(1), float(np.log(share / (1 - share)))
-        )
-    fitted = ~calibrate if (~calibrate).any() and y[~calibrate].min() < y[~calibrate].max() else np.ones(len(y), bool)
-    a, b = x[fitted], y[fitted]
-    centre, scale = a.mean(axis=0), a.std(axis=0) + 1e-3
+            np.zeros(width), np.ones(width), np.zeros((width, 1)), np.zeros(1), np.zeros(1),
+            float(np.log(share / (1 - share))),
+        )
+    fitted = "rest" if 0 < ones - back_ones < many - back else "all"
+
+    def moments(x, y, c):
+        x = x[_side(c, fitted)].astype(np.float64)
+        return np.concatenate(([len(x)], x.sum(axis=0), (x * x).sum(axis=0)))
+
+    sums = total(moments)
+    rows = sums[0]
+    centre = sums[1 : width + 1] / rows
+    scale = np.sqrt(np.maximum(sums[width + 1 :] / rows - centre * centre, 0)) + 1e-3
     rng = np.random.default_rng(11)
-    net = Network(
-        centre, scale, rng.normal(0, width**-0.5, (width, _HIDDEN)), np.zeros(_HIDDEN),
-        rng.normal(0, _HIDDEN**-0.5, _HIDDEN), 0.0,
-    )
-    z = (a - centre) / scale
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (net.w1, net.b1, net.w2, np.zeros(1))]
-    step, epochs = 0, min(400, max(40, 300_000 // max(len(b), 1)))
-    for epoch in range(epochs):
-        order = rng.permutation(len(b))
-        rate = 0.01 * (1 - epoch / epochs) + 1e-4
-        for at in range(0, len(b), 256):
-            rows = order[at : at + 256]
-            h = np.tanh(z[rows] @ net.w1 + net.b1)
-            p = 1 / (1 + np.exp(-np.clip(h @ net.w2 + net.b2, -30, 30)))
-            d = (p - b[rows]) / len(rows)
-            back = np.outer(d, net.w2) * (1 - h * h)
-            grads = (z[rows].T @ back + 1e-4 * net.w1, back.sum(0), h.T @ d + 1e-4 * net.w2, np.array([d.sum()]))
-            step += 1
-            for k, g in enumerate(grads):
-                m, v = state[k]
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                change = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-                if k == 0:
-                    net.w1 -= change
-                elif k == 1:
-                    net.b1 -= change
-                elif k == 2:
-                    net.w2 -= change
-                else:
-                    net.b2 -= float(change[0])
-    back_x, back_y = (x[calibrate], y[calibrate]) if calibrate.any() else (a, b)
-    logits = net.logits(back_x)
-    net.temperature = float(min(np.geomspace(0.3, 8, 60), key=lambda t: _loss(logits / t, back_y)))
+    cut = np.cumsum([width * _HIDDEN, _HIDDEN, _HIDDEN])
+    start = np.concatenate(
+        (rng.normal(0, width**-0.5, width * _HIDDEN), np.zeros(_HIDDEN), rng.normal(0, _HIDDEN**-0.5, _HIDDEN), [0.0])
+    )
+
+    def network(p: np.ndarray) -> Network:
+        w1, b1, w2, b2 = np.split(p, cut)
+        return Network(centre, scale, w1.reshape(width, _HIDDEN), b1, w2, float(b2[0]))
+
+    def value(p: np.ndarray) -> tuple[float, np.ndarray, float]:
+        """Loss and its slope on the fitted rows, and the loss on those held back."""
+        net = network(p)
+
+        def part(x, y, c):
+            z = (x - centre) / scale
+            h = np.tanh(z @ net.w1 + net.b1)
+            logits = h @ net.w2 + net.b2
+            loss = np.logaddexp(0, logits) - y * logits
+            use = _side(c, fitted)
+            d = np.where(use, 1 / (1 + np.exp(-np.clip(logits, -30, 30))) - y, 0.0)
+            inner = np.outer(d, net.w2) * (1 - h * h)
+            return np.concatenate(
+                ([loss[use].sum(), loss[c].sum()], (z.T @ inner).ravel(), inner.sum(axis=0), h.T @ d, [d.sum()])
+            )
+
+        sums = total(part)
+        slope = sums[2:] / rows
+        slope[: cut[0]] += 1e-4 * p[: cut[0]]
+        loss = sums[0] / rows + 0.5e-4 * float(p[: cut[0]] @ p[: cut[0]])
+        return loss, slope, sums[1] / back if back else loss
+
+    best = descend(value, start)
+    net = network(best)
+    temperatures = np.geomspace(0.3, 8, 60)
+
+    def by_temperature(x, y, c):
+        use = c if back else np.ones(len(y), bool)
+        logits, labels = net.logits(x[use]), y[use]
+        return np.array([(np.logaddexp(0, logits / t) - labels * logits / t).sum() for t in temperatures])
+
+    net.temperature = float(temperatures[np.argmin(total(by_temperature))])
     return net
 
 
+def descend(value: Callable[[np.ndarray], tuple[float, np.ndarray, float]], p: np.ndarray) -> np.ndarray:
+    """L-BFGS from ``p``: of the points seen the one of the least third value."""
+    loss, slope, held = value(p)
+    best, least = p, held
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    length, since = 1 / max(float(np.linalg.norm(slope)), 1e-12), 0
+    for _ in range(STEPS):
+        # The inverse curvature of the last steps, applied to the slope.
+        way, kept = slope.copy(), []
+        for s, g in reversed(pairs):
+            kept.append((s @ way) / (s @ g))
+            way -= kept[-1] * g
+        if pairs:
+            s, g = pairs[-1]
+            way *= (s @ g) / (g @ g)
+        for (s, g), k in zip(pairs, reversed(kept), strict=True):
+            way += s * (k - (g @ way) / (s @ g))
+        down = float(slope @ way)
+        if down <= 1e-10:
+            break
+        for _ in range(6):
+            to = p - length * way
+            loss_to, slope_to, held_to = value(to)
+            if loss_to <= loss - 1e-4 * length * down:
+                break
+            length /= 4
+        else:
+            break
+        s, g = to - p, slope_to - slope
+        if s @ g > 1e-12:
+            pairs = [*pairs, (s, g)][-10:]
+        since = 0 if held_to < least * (1 - 1e-4) else since + 1
+        if held_to < least:
+            best, least = to, held_to
+        p, loss, slope, length = to, loss_to, slope_to, 1.0
+        if since >= 6:
+            break
+    return best
+
+
 def held_out(name: str = "doc_id"):
     """Whether a row is never learned from: crc32 of its id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> tuple[np.ndarray, Network]:
-    """Word vectors and network from at most about ``fit_documents`` labelled documents.
+def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
+    """Word vectors from the texts of all documents not held out, the network from all labelled ones of them.
 
-    Those are chosen by a hash of their ids among the labelled ones that are not held out, each label's
-    share as in the labels, so their number is bounded and the choice the same on every run.
+    Texts do not move: a filter of fixed size picks the labelled ones, whose few numbers meet the labels by
+    a join. Every step of the network is a pass over these numbers, of which sums of fixed size come back.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
-    known = known.where(~held_out() & F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
-    many = known.count()
-    share = min(1.0, fit_documents / max(many, 1))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000))
+    known = store.kept(known.where(~held_out() & F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # Bounded by the share above, so small enough to send to where the texts are.
-    sample = store.kept(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label"))
-    vectors = context_vectors(sample.select("text"))
-    shared = store.sent(sample, vectors)
+    texts = texts.where(~held_out() & F.col("doc_id").isNotNull())
+    vectors = context_vectors(texts.select("text"))
+    shared = store.sent(docs, (vectors, store.id_filter(known.select("doc_id"))))
 
-    def rows(batches):
-        known = store.received(shared)
+    def numbers(batches):
+        vectors, wanted = store.received(shared)
         for batch in batches:
-            x = pooled(batch.column(1), known)
-            flat = pa.array(np.ascontiguousarray(x).ravel())
+            batch = batch.filter(pa.array(store.passes(wanted, batch.column(0).to_numpy(zero_copy_only=False))))
+            x = pooled(batch.column(1), vectors).astype(np.float32)
             offsets = np.arange(len(x) + 1) * x.shape[1]
-            values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
-            yield pa.record_batch({"doc_id": batch.column(0), "label": batch.column(2), "x": values})
+            values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x.ravel()))
+            yield pa.record_batch({"doc_id": batch.column(0), "x": values})
+
+    width = DIMENSIONS + 1
+    tasks = min(MOST_TASKS, 1 + known.count() // TASK_ROWS)
+    labelled = texts.mapInArrow(numbers, "doc_id long, x array<float>").join(known, "doc_id")
+
+    def blocks(batches):
+        for batch in batches:
+            if len(batch):
+                x = batch.column(1).flatten().to_numpy().reshape(-1, width)
+                ids = batch.column(0).to_numpy().view(np.uint64)
+                back = arrays.mix(ids) % np.uint64(CALIBRATE_ONE_IN) == 0
+                block = np.column_stack((x, batch.column(2).to_numpy(), back)).astype(np.float32)
+                yield pa.record_batch({"block": pa.array([block.tobytes()], pa.binary())})
+
+    table = store.kept(
+        labelled.select("doc_id", "x", "label").repartition(tasks, "doc_id").mapInArrow(blocks, "block binary")
+    )
+
+    def total(of: Callable) -> np.ndarray:
+        def part(batches):
+            sums = None
+            for batch in batches:
+                for block in batch.column(0):
+                    rows = np.frombuffer(block.as_buffer(), dtype=np.float32).reshape(-1, width + 2)
+                    more = of(rows[:, :width].astype(np.float64), rows[:, width].astype(np.float64), rows[:, -1] > 0)
+                    sums = more if sums is None else sums + more
+            if sums is not None:
+                yield pa.record_batch({"sums": pa.array([sums.tobytes()], pa.binary())})
+
+        # One row of fixed size for each of a bounded number of tasks.
+        none = np.asarray(of(np.zeros((0, width)), np.zeros(0), np.zeros(0, bool)), dtype=np.float64)
+        return sum((np.frombuffer(bytes(r[0])) for r in table.mapInArrow(part, "sums binary").collect()), none)
 
-    # A few numbers for each of a bounded number of documents.
-    found = sample.mapInArrow(rows, "doc_id long, label int, x array<double>").toPandas()
-    found = found.sort_values(["doc_id", "label"], kind="stable")
-    x = np.stack(found["x"].to_numpy()) if len(found) else np.zeros((0, DIMENSIONS + 1))
-    ids = found["doc_id"].to_numpy(np.int64)
-    calibrate = arrays.mix(ids.view(np.uint64)) % np.uint64(CALIBRATE_ONE_IN) == 0
-    return vectors, fit(x, found["label"].to_numpy(np.float64), calibrate)
+    return vectors, fit_sums(total, width)
 
 
 def _scores(text_column: int, model):
@@ -239,7 +329,7 @@ def _scores(text_column: int, model):
     return rows
 
 
-def score(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` per row of ``docs`` (``doc_id, text``).
 
     The score is the calibrated probability of label 1 from the whole text alone; 0.7 or more predicts
@@ -247,7 +337,7 @@ def score(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS
     have equal scores. Labels other than 0 and 1, and null ones, are not learned from. Texts of any length
     are scored whole; an empty table has no rows; other columns, whatever their names, play no part.
     """
-    model = store.sent(docs, train(docs, labels, fit_documents))
+    model = store.sent(docs, train(docs, labels))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = texts.mapInArrow(_scores(1, model), "doc_id long, text string, score double")
     return scored.select(
@@ -255,9 +345,9 @@ def score(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS
     )
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
+def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier predicts to be of quality 1, all columns as they are."""
-    model = store.sent(docs, train(docs, labels, fit_documents))
+    model = store.sent(docs, train(docs, labels))
     packed = docs.select(F.struct("*").alias("row"))
     at = packed.schema["row"].dataType.names.index("text")
 

@@ -272,3 +272,21 @@ def test_licenses_hard_rows(hard, empty):
     assert sorted((r.doc_id or 0, r.n_words) for r in rows) == sorted((i or 0, len(alnum_words(t))) for i, t, *_ in HARD)
     assert all(r.score == 0 and r.labels == "" and r.first_word is None for r in rows)
     assert licenses.scan_licenses(empty).count() == 0
+
+
+def test_quality_is_fitted_on_every_labelled_document(spark, monkeypatch):
+    """More labelled documents than a sample once took; those held out and labels of other values are not among them."""
+    docs = spark.range(24_000).selectExpr("id as doc_id", "concat('word', id % 7, ' text ', id) as text")
+    labels = spark.range(24_000).selectExpr("id as doc_id", "cast(if(id % 9 = 8, 2, id % 2) as int) as quality")
+    wanted = labels.where("quality < 2 and crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2")
+    seen = {}
+
+    def count(total, width):
+        seen["rows"], seen["ones"] = total(lambda x, y, c: np.array([len(y), y.sum()], dtype=np.float64))
+        return fit_sums(total, width)
+
+    fit_sums = quality.fit_sums
+    monkeypatch.setattr(quality, "fit_sums", count)
+    monkeypatch.setattr(quality, "STEPS", 2)
+    assert quality.score(docs, labels).count() == 24_000
+    assert seen["rows"] == wanted.count() > 12_000 and seen["ones"] == wanted.where("quality = 1").count()
