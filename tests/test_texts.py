@@ -153,3 +153,13 @@ def test_python_rules(project):
         ("A.TS", "none"): "Rule none failed: 'NoneType' object is not iterable",
         ("x/b.ts", "none"): "Rule none failed: 'NoneType' object is not iterable",
     }
+
+
+def test_diffs_hold_few_texts_at_a_time(spark):
+    """A batch of Arrow holds ten thousand texts and all their lines; rows come in batches of a hundred."""
+    from pyspark.util import PythonEvalType
+
+    assert textdiff.text_hunks.evalType == textdiff.patched.evalType == PythonEvalType.SQL_BATCHED_UDF
+    texts = spark.createDataFrame([("a\nb", None), (None, "a"), ("a", "a"), ("", None)], "a string, b string")
+    got = texts.select(textdiff.text_hunks("a", "b").alias("h")).withColumn("n", F.size("h")).collect()
+    assert [r.n for r in got] == [3, 2, 0, 2]
