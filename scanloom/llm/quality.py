@@ -296,7 +296,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
                 yield pa.record_batch({"block": pa.array([block.tobytes()], pa.binary())})
 
     table = store.kept(
-        labelled.select("doc_id", "x", "label").repartition(tasks, "doc_id").mapInArrow(blocks, "block binary")
+        labelled.select("doc_id", "x", "label").repartition(tasks).mapInArrow(blocks, "block binary")
     )
 
     def total(of: Callable) -> np.ndarray:
