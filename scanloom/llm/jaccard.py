@@ -349,7 +349,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     groups = near_groups(
         entries,
         near,
-        lambda pairs: _verified(_candidates(pairs, classes, percent), docs, classes, words, percent),
+        lambda pairs, _: _verified(_candidates(pairs, classes, percent), docs, classes, words, percent),
         lambda some: _verified(
             _cross_candidates(some, classes, percent), docs, classes, words, percent
         ),

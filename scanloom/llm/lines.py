@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanloom.llm import arrays, store
 from scanloom.llm.links import by_tile, near_groups, smallest_labels, tiles
@@ -137,6 +139,8 @@ def _normalised(part: arrays.Part, lines: arrays.Spans, hashes: arrays.SpanHash,
     chosen = np.flatnonzero(np.diff(first) >= min_words)
     counts = np.diff(first)[chosen]
     start = np.concatenate(([0], np.cumsum(counts)))
+    if start[-1] == len(tokens):
+        return chosen, start, tokens
     place = np.repeat(first[chosen] - start[:-1], counts) + np.arange(start[-1])
     return chosen, start, tokens[place]
 
@@ -176,8 +180,9 @@ def _place(doc_id: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 
 def _wanted_lines(docs: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
-    """Class and words (32 bits of their hashes) of the lines at wanted places, and a few others that the
-    joins after it drop. The texts do not move: a filter of fixed size passes the places."""
+    """Class, words (32 bits of their hashes) and bands of the lines at wanted places, and a few others that
+    the joins after it drop. The texts do not move: a filter of fixed size passes the places."""
+    docs = docs.select("doc_id", "text")
 
     def numbered(batches):
         for batch in batches:
@@ -191,23 +196,27 @@ def _wanted_lines(docs: DataFrame, places: DataFrame, min_words: int) -> DataFra
         hashes = arrays.SpanHash()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for part in arrays.parts(batch.column(2)):
+            for part in arrays.parts(batch.column(1)):
                 lines = _line_spans(part)
                 passed = np.flatnonzero(store.passes(known, _place(ids[lines.row + part.first], lines.index())))
                 if not len(passed):
                     continue
-                data = arrays.LOWER[part.data]
-                cut = [data[lines.starts[k] : lines.ends[k]] for k in passed]
-                some = arrays.Part(0, np.concatenate(cut), np.concatenate(([0], np.cumsum([len(c) for c in cut]))))
-                _, start, tokens = _normalised(some, _line_spans(some), hashes, min_words)
+                cut = [part.data[lines.starts[k] : lines.ends[k]] for k in passed]
+                some = arrays.Part(0, arrays.LOWER[np.concatenate(cut)], np.concatenate(([0], np.cumsum([len(c) for c in cut]))))
+                chosen, start, tokens = _normalised(some, _line_spans(some), hashes, min_words)
+                if not len(chosen):
+                    continue
+                bits = bands(tokens, start).view(np.int64)
                 yield pa.record_batch(
                     {
                         "id": pa.array(arrays.signed(arrays.sequence_hash(tokens, start, 31)), pa.int64()),
                         "words": arrays.lists((tokens >> np.uint64(32)).astype(np.uint32).view(np.int32), start, pa.int32()),
+                        **{f"bits{k}": pa.array(bits[:, k], pa.int64()) for k in range(bits.shape[1])},
                     }
                 )
 
-    return docs.mapInArrow(rows, "id long, words array<int>").dropDuplicates(["id"])
+    bits = "".join(f", bits{k} long" for k in range(BANDS * BLOCK_BITS // 64))
+    return docs.mapInArrow(rows, f"id long, words array<int>{bits}").repartition("id").dropDuplicates(["id"])
 
 
 #: Words of a line up to which pairs are compared many at a time, and table cells of one comparison.
@@ -318,10 +327,16 @@ def _rows(column: pa.Array) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, min_words: int, percent: int) -> DataFrame:
+def _compared(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    """The ids of all classes whose words the two rounds of comparisons may need: those of the first round's
+    pairs, and of keys that more than two classes share."""
+    many = shared.join(shared.groupBy("key").count().where("count > 2").select("key"), "key", "left_semi")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    return ids.union(many.select("id")).distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes whose lines reach the edit similarity."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = store.kept(_wanted_lines(docs, _places(classes, ids), min_words))
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("words").alias("y")), "b"
     )
@@ -335,9 +350,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, min_words:
     return joined.select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
 
 
-def _cross_links(
-    members: DataFrame, docs: DataFrame, classes: DataFrame, bits: list[str], min_words: int, percent: int
-) -> DataFrame:
+def _cross_links(members: DataFrame, texts: DataFrame, bits: list[str], percent: int) -> DataFrame:
     """Links between members of a key that have different labels, found in tiles; no pair is a row.
 
     The two members of a key that has no others have been compared already. A pair that shares several blocks is compared in the first of them only. Of the links found in a
@@ -345,11 +358,8 @@ def _cross_links(
     """
     members = members.join(members.groupBy("key").count().where("count > 2").select("key"), "key", "left_semi")
     members = store.kept(members)
-    ids = members.select("id").distinct()
-    texts = _wanted_lines(docs, _places(classes, ids), min_words)
-    content = store.kept(texts.join(classes.select("id", *bits), "id"))
-    dealt = tiles(members.select("key", "id", "label")).join(content, "id")
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tiles(members.select("key", "id", "label")).join(texts, "id")
+    partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.select("tile", "key", "id", "label", "part", "alone", "words", *bits)
     dealt = dealt.repartition(partitions, "tile").sortWithinPartitions("tile")
 
@@ -446,19 +456,24 @@ def repeated_lines(docs: DataFrame, min_words: int = 5, percent: int = 90, short
         least, most = F.least(a("size"), b("size")), F.greatest(a("size"), b("size"))
         return least * 100 >= most * percent
 
-    groups = near_groups(
-        entries,
-        near,
-        lambda pairs: _verified(pairs, docs, classes, min_words, percent),
-        lambda members: _cross_links(members, docs, classes, bits, min_words, percent),
-    )
+    texts = []
+
+    def verify(pairs, shared):
+        # Both rounds read the words of their lines from one table, made in one pass over the texts.
+        texts.append(store.kept(_wanted_lines(docs, _places(classes, _compared(pairs, shared)), min_words)))
+        return _verified(pairs, texts[0], percent)
+
+    groups = near_groups(entries, near, verify, lambda members: _cross_links(members, texts[0], bits, percent))
+    # A component's smallest id has no row among the groups; a class of one line and no group stays as it is.
+    groups = groups.union(groups.select(F.col("component").alias("id"), "component").distinct())
     label = F.coalesce("component", F.col("id"))
-    grouped = classes.join(groups, "id", "left").select("id", "h2", "seat", "n", label.alias("label"))
+    grouped = classes.select("id", "h2", "seat", "n").join(groups, "id", "left").where("n > 1 or component is not null")
+    grouped = store.kept(grouped.select("id", "h2", "seat", "n", label.alias("label")))
     stay = grouped.groupBy("label").agg(F.min("seat").alias("stay"), F.sum("n").alias("many")).where("many > 1")
     repeated = grouped.join(stay, "label").select(F.col("id").alias("h1"), "h2", "stay")
     return (
         lines.select("doc_id", "version", "line", "h1", "h2")
-        .join(repeated, ["h1", "h2"])
+        .join(repeated.hint("shuffle_hash"), ["h1", "h2"])
         .where(f"{_SEAT} <> stay")
         .select("doc_id", "version", "line")
     )
@@ -476,10 +491,6 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = 5, percent: int = 90,
         F.struct("*").alias("row"),
         F.col("doc_id").cast("long").alias("id"),
         F.xxhash64("text").alias("version"),
-        F.when(F.col("text").isNull(), 0)
-        .otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)
-        .cast("long")
-        .alias("n_lines"),
     )
     searched = packed.select(F.col("id").alias("doc_id"), "version", F.col("row.text").alias("text"))
     searched = searched.where("doc_id is not null and text is not null")
@@ -491,31 +502,28 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = 5, percent: int = 90,
     )
     # A null id matches nothing. The lists are the small side of each partition; texts are not sorted.
     joined = packed.join(gone.hint("shuffle_hash"), F.expr("id = gone_id and version = gone_version"), "left")
-    joined = joined.select("row", "n_lines", "gone")
+    joined = joined.select("row", "gone")
     names = joined.schema["row"].dataType.names
+    schema = T.StructType([joined.schema["row"], *T.StructType.fromDDL("n_lines long, n_removed long").fields])
 
     def rows(batches):
         for batch in batches:
-            row, gone = batch.column(0), batch.column(2)
-            if gone.null_count == len(gone):
-                yield batch
-                continue
+            row, gone = batch.column(0), batch.column(1)
             columns = row.flatten()
             at = names.index("text")
             texts = columns[at]
-            cut = []
-            strings = arrays.strings(texts)
-            for k, valid in enumerate(gone.is_valid().to_numpy(zero_copy_only=False)):
-                text = strings[k]
-                if valid:
-                    drop = set(gone[k].as_py())
-                    text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
-                cut.append(text)
-            columns[at] = pa.array(cut, texts.type)
-            row = pa.StructArray.from_arrays(columns, fields=list(row.type))
-            yield pa.RecordBatch.from_arrays([row, batch.column(1), gone], schema=batch.schema)
-
-    out = joined.mapInArrow(rows, joined.schema)
-    return out.select(
-        "row", "n_lines", F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed")
-    )
+            n_lines = pc.add(pc.count_substring(texts, "\n").cast(pa.int64()), 1).fill_null(0)
+            n_removed = pc.list_value_length(gone).cast(pa.int64()).fill_null(0)
+            if gone.null_count < len(gone):
+                some = gone.is_valid()
+                cut = []
+                for text, drop in zip(arrays.strings(texts.filter(some)), _rows(gone.filter(some)), strict=True):
+                    left = text.split("\n")
+                    for k in sorted(drop.tolist(), reverse=True):
+                        del left[k]
+                    cut.append("\n".join(left))
+                columns[at] = pc.replace_with_mask(texts, some, pa.array(cut, texts.type))
+                row = pa.StructArray.from_arrays(columns, fields=list(row.type))
+            yield pa.RecordBatch.from_arrays([row, n_lines, n_removed], names=schema.names)
+
+    return joined.mapInArrow(rows, schema)

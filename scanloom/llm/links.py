@@ -21,15 +21,15 @@ def shared_entries(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries of keys with several entries, each with its key's hub; and pairs of hubs.
 
     ``entries`` holds longs and ints, ``key, id`` among them. They are dealt by ranges of (key, id), so a key
-    of very many entries is spread over tasks; the hub is a key's smallest id within a task. A task
-    passes once over its entries in order and holds one batch and one hub. Keys at the ends of a range
-    may go on in the next: their hubs (two a task at most) are paired afterwards, each with the key's
-    smallest.
+    of very many entries is spread over tasks; the hub is the smallest
+    id where a key's entries begin in a task: Spark sorts by key alone, a batch of rows is put in order by id
+    as well. A task passes once over its entries in order and holds one batch and one hub. Keys at the ends of a range may go on in the next: their hubs (two a task at most) are paired
+    afterwards, each with the one of the smallest id.
     """
     names = ["key", "id", *[c for c in entries.columns if c not in ("key", "id")]]
     entries = entries.select(*names)
     partitions = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = entries.repartitionByRange(partitions, "key", "id").sortWithinPartitions("key", "id")
+    ranged = entries.repartitionByRange(partitions, "key", "id").sortWithinPartitions("key")
     fields = list(entries.schema.fields)
     hub_fields = [T.StructField(f"hub_{f.name}", f.dataType) for f in fields[1:]]
     schema = T.StructType([*fields, *hub_fields, T.StructField("edge", T.BooleanType())])
@@ -40,6 +40,8 @@ def shared_entries(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
+            key, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            batch = batch.take(pa.array(np.lexsort((ids, key))))
             if hub is not None:
                 batch = pa.concat_batches([hub, batch])
             key = batch.column(0).to_numpy()
@@ -83,7 +85,7 @@ def shared_entries(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 def near_groups(
     entries: DataFrame,
     near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
-    verify: Callable[[DataFrame], DataFrame],
+    verify: Callable[[DataFrame, DataFrame], DataFrame],
     rest: Callable[[DataFrame], DataFrame],
     carry: Sequence[Column] = (),
 ) -> DataFrame:
@@ -91,7 +93,8 @@ def near_groups(
 
     ``entries`` holds ``key, id`` and what ``near`` compares. Two rounds reach the same components as
     all pairs would: first every entry is paired with its key's hub only, a star of as many rows as
-    the key has entries; what that links needs no further pairs among itself. Then ``rest`` finds the
+    the key has entries; what that links needs no further pairs among itself. ``verify`` gets these pairs
+    ``a, b`` and the entries of all shared keys. Then ``rest`` finds the
     links between different components of the first round that still share a key, from the entries
     of such keys, ``key, id, label`` and ``carry`` (columns over ``entries``). So a key with very many near copies costs its size, not its
     square, and no pair that could join two components is left out.
@@ -106,7 +109,7 @@ def near_groups(
     star = shared.where("id <> hub_id").where(near(lambda c: F.col(f"hub_{c}"), F.col))
     star = star.select(F.col("hub_id").alias("a"), F.col("id").alias("b")).union(sides(hubs))
     first = kept(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    found = components(verify(first))
+    found = components(verify(first, shared))
     label = F.coalesce("component", F.col("id")).alias("label")
     labelled = shared.join(found, "id", "left").select("key", "id", label, *carry)
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))

@@ -3,11 +3,13 @@
 import hashlib
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from scanloom.llm import arrays, decontaminate, jaccard, lines, mixing, vectors
+from scanloom.llm import arrays, decontaminate, jaccard, lines, links, mixing, store, vectors
 from scanloom.llm.components import components
 from scanloom.llm.fm_index import FMIndex
 
@@ -404,6 +406,44 @@ def test_lines_near_recall(spark):
     assert all(i % 2 for i in gone) and len(gone) >= 360
 
 
+def test_lines_are_fetched_in_one_pass(spark, monkeypatch):
+    """Both rounds of comparisons read the words of their lines from one table, made in one pass."""
+    passes, fetch = [], lines._wanted_lines
+    monkeypatch.setattr(lines, "_wanted_lines", lambda *a: passes.append(a) or fetch(*a))
+    body = [f"word{k}" for k in range(40)]
+    texts = {k: " ".join(f"x{k}" if i == 7 * k % 40 else w for i, w in enumerate(body)) for k in range(6)}
+    texts[6] = " ".join(body[:20] + [f"other{k}" for k in range(20)])
+    df = spark.createDataFrame([(k, f"{t}\nline {k}", "en", "s", 1) for k, t in texts.items()], DOCS)
+    got = {i: (n, gone) for i, _, n, gone in cut(df, short=True)}
+    assert got == {0: (2, 0), **{k: (2, 1) for k in range(1, 6)}, 6: (2, 0)}
+    assert len(passes) == 1
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    """Once a table is written its shuffle files go, without waiting for the driver's garbage."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {f for f in map(str, files.getAllFiles().mkString("\n").split("\n")) if "shuffle_" in f}
+
+    before = shuffled()
+    table = store.kept(spark.range(1000).repartition(5, "id"))
+    end = time.time() + 20
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not shuffled() - before and table.count() == 1000
+
+
+def test_shared_entries_have_one_hub_a_key(spark):
+    """Keys of few entries have their smallest id as hub, whatever order the entries come in."""
+    rows = [(k % 50, (k * 7919) % 100003, 1) for k in range(400)]
+    shared, _ = links.shared_entries(spark.createDataFrame(rows, "key long, id long, size int").repartition(4))
+    got = shared.groupBy("key").agg(F.count("*").alias("n"), F.collect_set("hub_id").alias("hubs")).collect()
+    least = {k: min(i for key, i, _ in rows if key == k) for k in range(50)}
+    assert {r.key: r.n for r in got} == dict.fromkeys(range(50), 8)
+    assert sum(least[r.key] in r.hubs for r in got) == 50 and sum(len(r.hubs) == 1 for r in got) >= 40
+
+
 def test_lines_short_ones_and_scripts_without_blanks(spark):
     passage = "".join(chr(0x4E00 + 37 * k) for k in range(60))
     changed = passage[:30] + "々" + passage[31:]
