@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,15 +29,28 @@ def needs(pattern: str, flags: str = "") -> tuple[tuple[str, ...], tuple[str, ..
     return found.plain, found.folded
 
 
+def lower_texts(plain: Sequence[str], folded: Sequence[str]) -> list[str]:
+    """Needed texts as they are looked for in lower-cased content."""
+    return sorted({t.lower() for t in (*plain, *folded)})
+
+
 @F.pandas_udf(
-    T.ArrayType(T.StructType([T.StructField("regex", T.StringType()), T.StructField("reason", T.StringType())]))
+    T.ArrayType(
+        T.StructType(
+            [
+                T.StructField("regex", T.StringType()),
+                T.StructField("reason", T.StringType()),
+                T.StructField("texts", T.ArrayType(T.StringType())),
+            ]
+        )
+    )
 )
 def translated_column(patterns: pd.Series, flags: pd.Series) -> pd.Series:
-    """Arrays of patterns, each translated or with the reason why it is not."""
+    """Arrays of patterns, each translated, with its needed texts, or with the reason why it is not."""
 
     def one(pattern: str, flag: str) -> dict:
         found = translate(pattern, flag)
-        return {"regex": found.regex, "reason": found.reason}
+        return {"regex": found.regex, "reason": found.reason, "texts": lower_texts(found.needs.plain, found.needs.folded)}
 
     return pd.Series(
         [

@@ -69,7 +69,7 @@ def env_changes(names: DataFrame) -> DataFrame:
 def content_counts(files: DataFrame, book: Rulebook | None = None) -> DataFrame:
     """A stream of files ``project_id, path, content`` as findings per project and severity so far."""
     book = book or Rulebook()
-    if len(book.rules) > PLANNED_RULES + len(catalog.BUILT_IN_RULES):
+    if book.custom is not None or len(book.rules) > PLANNED_RULES + len(catalog.BUILT_IN_RULES):
         raise ValueError(f"a stream takes up to {PLANNED_RULES} custom rules")
     rules = [r.rule_id for r in book.rules if r.rule_id != catalog.ENV.rule_id]
     hits = detect.detect(scannable(files), None, book, rules)
